@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlattice.llm import exact_dedup, neardup, packing
+from memlattice.llm import exact_dedup, langid, neardup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of `documents`; the held-out third is never learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.training_fold())
+    return found.select("doc_id", (~langid.training_fold()).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of `documents` into sequences of 2048 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
@@ -29,7 +36,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_best_two_fit, op5_minhash_components, op10_exact_dedup)
+    f.__name__: f for f in (op1_centroid_language, op4_best_two_fit, op5_minhash_components, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
