@@ -51,7 +51,7 @@ def exact_dedup(
         F.sha2(F.encode("_t", "UTF-8"), 256).alias("text_sha256"),
     )
     by_length = _shared(rows.select("_len"), "_len")
-    by_head = _shared(rows.select("_len", "_head").join(by_length, "_len", "left_semi"), "_len", "_head")
+    by_head = _shared(rows, "_len", "_head").join(by_length, "_len", "left_semi")
     groups = (
         rows.join(by_head, ["_len", "_head"], "left_semi")
         .groupBy("_len", "_head", "text_sha256")

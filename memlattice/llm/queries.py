@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memlattice.llm import exact_dedup, langid, neardup, packing
+from memlattice.llm import exact_dedup, gif_media, langid, neardup, ngram_lm, packing, rans_store, sharding
+from memlattice.llm.shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,12 @@ def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.training_fold()).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of `documents` stored as a GIF, read back and digested."""
+    media = gif_media.media_from_texts(_table(spark, sf_dir, "documents"))
+    return gif_media.digest_table(written(media, "media", compression="zstd"))
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of `documents` into sequences of 2048 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
@@ -30,13 +38,30 @@ def op5_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts of `documents` under a model of six sevenths of them."""
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"), ngram_lm.training_fold())
+
+
+def op8_rans_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of `documents`, coded into files in doc_id order and read back."""
+    return rans_store.encode_and_read(_table(spark, sf_dir, "documents"), end_id=2)
+
+
+def op9_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` in shards 0 to 7 of near-equal bytes, equal texts together."""
+    docs = _table(spark, sf_dir, "documents")
+    found = sharding.vector_shards(docs, 8, sharding.text_size(), sharding.text_tokens())
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of `documents`, refined by length, prefix hash and full hash."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_centroid_language, op4_best_two_fit, op5_minhash_components, op10_exact_dedup)
+    f.__name__: f for f in (op1_centroid_language, op3_gif_media, op4_best_two_fit, op5_minhash_components, op6_kneser_ney, op8_rans_store, op9_vector_shards, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
