@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import exact_dedup, gif_media, langid, neardup, ngram_lm, packing, rans_store, sharding
+from memlattice.llm import exact_dedup, gif_media, langid, neardup, ngram_lm, packing, rans_store, sharding, url_reputation, viterbi_pieces
 from memlattice.llm.shared import written
 
 
@@ -22,6 +22,22 @@ def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.training_fold()).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+#: Fixed rules of the page filter.
+URL_RULES = (
+    url_reputation.Rule("net", "/", "block"),
+    url_reputation.Rule("example.net", "/en/", "allow"),
+    url_reputation.Rule("example.com", "/de/", "block"),
+    url_reputation.Rule("org", "/fr/", "allow"),
+)
+
+
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url of `pages`; a page's outcome is the label of its number."""
+    outcomes = url_reputation.page_outcomes(_table(spark, sf_dir, "labels"))
+    found = url_reputation.judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "n_labelled")
+
+
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of `documents` stored as a GIF, read back and digested."""
     media = gif_media.media_from_texts(_table(spark, sf_dir, "documents"))
@@ -43,6 +59,11 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(_table(spark, sf_dir, "documents"), ngram_lm.training_fold())
 
 
+def op7_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of `documents` encoded to piece ids and decoded again."""
+    return viterbi_pieces.encode_and_decode(_table(spark, sf_dir, "documents"))
+
+
 def op8_rans_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of `documents`, coded into files in doc_id order and read back."""
     return rans_store.encode_and_read(_table(spark, sf_dir, "documents"), end_id=2)
@@ -61,10 +82,66 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_centroid_language, op3_gif_media, op4_best_two_fit, op5_minhash_components, op6_kneser_ney, op8_rans_store, op9_vector_shards, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_centroid_language,
+        op2_host_reputation,
+        op3_gif_media,
+        op4_best_two_fit,
+        op5_minhash_components,
+        op6_kneser_ney,
+        op7_streaming_viterbi,
+        op8_rans_store,
+        op9_vector_shards,
+        op10_exact_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_host_reputation": """
+        WITH parts AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), split AS (
+            SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+        ), worst AS (
+            SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN coalesce(toxic, quality) IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY 1
+        ), hosts AS (
+            SELECT host, count(bad) AS n, sum(bad) AS k,
+                   array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
+            FROM split JOIN worst USING (page_id) WHERE bad IS NOT NULL GROUP BY host
+        ), domains AS (
+            SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL
+        ), suffixes AS (
+            SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL
+        ), overall AS (
+            SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS m FROM suffixes
+        ), s0 AS (
+            SELECT suffix, n, k, m AS parent FROM suffixes, overall
+        ), r0 AS (
+            SELECT least(greatest(coalesce((sum(n * (k / n - parent) ** 2) - sum(parent * (1 - parent))) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), 0.001), 0.001), 0.5) AS rho FROM s0
+        ), s1 AS (
+            SELECT domain, d.suffix, d.n, d.k, (s0.k + (1 - rho) / rho * s0.parent) / (s0.n + (1 - rho) / rho) AS parent FROM domains d JOIN s0 USING (suffix), r0
+        ), r1 AS (
+            SELECT least(greatest(coalesce((sum(n * (k / n - parent) ** 2) - sum(parent * (1 - parent))) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), 0.001), 0.001), 0.5) AS rho FROM s1
+        ), s2 AS (
+            SELECT host, h.n, h.k, (s1.k + (1 - rho) / rho * s1.parent) / (s1.n + (1 - rho) / rho) AS parent FROM hosts h JOIN s1 USING (domain, suffix), r1
+        ), r2 AS (
+            SELECT least(greatest(coalesce((sum(n * (k / n - parent) ** 2) - sum(parent * (1 - parent))) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), 0.001), 0.001), 0.5) AS rho FROM s2
+        ), beta AS (
+            SELECT host, n, k + (1 - rho) / rho * parent AS a, n - k + (1 - rho) / rho * (1 - parent) AS b FROM s2, r2
+        ), ruled AS (
+            SELECT page_id, split.host, path, coalesce(n, 0)::BIGINT AS n_labelled,
+                   coalesce(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) > 0.5 AS bad,
+                   CASE WHEN ('.' || split.host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+                        WHEN ('.' || split.host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                        WHEN ('.' || split.host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+                        WHEN ('.' || split.host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule
+            FROM split LEFT JOIN beta ON split.host = beta.host
+        )
+        SELECT page_id, host, path, rule, n_labelled,
+               CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad THEN 'block' ELSE 'allow' END AS verdict
+        FROM ruled""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
