@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from memlattice.plans import consolidation, retrieval  # noqa: F401
+from memlattice.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "retrieve_ranked"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
