@@ -119,14 +119,18 @@ def _merged(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts from the numbers of entries counted 1, 2, 3 and 4 times."""
+    """Modified Kneser-Ney discounts from the numbers of entries counted 1, 2, 3 and 4 times.
+
+    Each is held between 0.1 and its count: on very little text the estimate may
+    be 0 or less, which would leave unseen words no probability.
+    """
     n1, n2, n3, n4 = (float(x) for x in n)
     if not (n1 and n2):
         return 0.5, 0.5, 0.5  # too little text to estimate from
     y = n1 / (n1 + 2 * n2)
     d1, d2 = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2
     d3 = 3 - 4 * y * n4 / n3 if n3 else d2
-    return tuple(min(max(d, 0.0), float(k)) for k, d in ((1, d1), (2, d2), (3, d3)))
+    return tuple(min(max(d, 0.1), float(k)) for k, d in ((1, d1), (2, d2), (3, d3)))
 
 
 @dataclass(frozen=True)
@@ -404,8 +408,7 @@ class Scorer:
         d, e = np.array([0.0, *m.pair_discounts]), np.array([0.0, *m.word_discounts])
         after = np.zeros(len(ids), np.int64)
         after[known] = self._take(self.after, ids[known])
-        lower = m.spread / (m.vocabulary + 1)
-        lower = lower + (np.maximum(after - e[np.minimum(after, 3)], 0) / m.contexts_total if m.contexts_total else 0.0)
+        lower = np.maximum(after - e[np.minimum(after, 3)], 0) / max(m.contexts_total, 1) + m.spread / (m.vocabulary + 1)
         w = ids[where]
         v = _contexts(w, starts, m.vocabulary)
         key = np.where((v >= 0) & (w >= 0), (v << 32) | w, -1)
