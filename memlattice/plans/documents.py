@@ -92,8 +92,8 @@ def cited_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + T.EDGES_SQL + """, sub AS (SELECT DISTINCT e.o AS center, n.s AS node FROM edges e JOIN edges n ON n.o = e.o AND n.p = 'in_session' WHERE e.p = 'in_session'),
-    both AS (SELECT a.center, a.node AS a, b.node AS b FROM sub a JOIN sub b ON a.center = b.center AND a.node < b.node),
-    free AS (SELECT * FROM both WHERE NOT EXISTS (SELECT 1 FROM edges WHERE p = 'follows' AND ((s = a AND o = b) OR (s = b AND o = a))))
+    cand AS (SELECT a.center, a.node AS a, b.node AS b FROM sub a JOIN sub b ON a.center = b.center AND a.node < b.node),
+    free AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM edges WHERE p = 'follows' AND ((s = a AND o = b) OR (s = b AND o = a))))
     SELECT center, a, b FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY a, b) AS r FROM free) WHERE r <= 6""")
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes of one session without a follows edge, six pairs at most."""
