@@ -22,8 +22,18 @@ _shipped: set[str] = set()
 _own: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch between the JVM and a worker, where the session has Spark's default.
+ARROW_BATCH, _DEFAULT_BATCH = "4m", ("67108864b", "64MB", "64m")
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application."""
+    """Make this package importable in Python workers, once per application.
+
+    Whole texts pass through Arrow, so batches are bounded by bytes: the session's own
+    bound is kept, Spark's default is lowered.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in _DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

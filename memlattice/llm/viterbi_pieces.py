@@ -36,8 +36,8 @@ from memlattice.llm.packing import text_slices
 from memlattice.llm.shared import BOOL, LONG, STR, narrow, schema, ship
 
 MARK = "▁"
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+#: Words in a generation of a worker's cache.
+CACHE_WORDS = 150_000
 #: Cost of an uncovered character below the lowest score.
 FALLBACK = 10.0
 
@@ -178,13 +178,18 @@ class WordCoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.pieces = Pieces(path)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def _of(self, word: str) -> bytes:
-        state = StreamingViterbi(self.pieces)
-        ids = np.array([*state.feed(word), *state.finish()], "<u2").tobytes()
-        if len(self.cache) < self.cache_words:
-            self.cache[word] = ids
+        """Ids of a word that is not in the young generation, which it joins."""
+        if len(self.cache) >= self.cache_words:
+            self.old, self.cache = self.cache, {}
+        ids = self.old.get(word)
+        if ids is None:
+            state = StreamingViterbi(self.pieces)
+            ids = np.array([*state.feed(word), *state.finish()], "<u2").tobytes()
+        self.cache[word] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -192,8 +197,7 @@ class WordCoder:
             return np.zeros(0, "<u2")
         marked = MARK + text.replace(" ", MARK)
         words = _WORDS.findall(marked) if self.pieces.word_begins else [marked]
-        get = self.cache.get
-        return np.frombuffer(b"".join([get(w) or self._of(w) for w in words]), "<u2")
+        return np.frombuffer(b"".join([self.cache.get(w) or self._of(w) for w in words]), "<u2")
 
     def decode(self, ids: np.ndarray) -> bytes:
         table = self.pieces.bytes_of

@@ -2,9 +2,9 @@
 
 The word-level BPE file never joins characters across white space, so a text's
 ids are the ids of its space-separated runs one after another.  Each worker
-keeps the ids of runs it has met; runs it has not met go to the tokenizers
-library in one batch.  The cache is bounded: once full, further new runs are
-encoded but not kept.
+keeps the ids of runs it has met lately; other runs go to the tokenizers library
+in one batch.  The cache is bounded by two generations: when the young one is
+full it becomes the old one, and runs met again move back into the young one.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Runs whose ids a worker keeps.
-CACHE_RUNS = 700_000
+#: Runs in a generation of a worker's cache.
+CACHE_RUNS = 400_000
 #: Marks that may close a word; none of them begins a contraction.
 _MARKS = ",.;:!?|"
 
@@ -48,6 +48,7 @@ class WordBpe:
         self.ends_word = np.zeros(self.size, bool)
         self.ends_word[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cache_runs = cache_runs
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -67,9 +68,19 @@ class WordBpe:
     def _runs(self, runs: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
 
+    def _missing(self, runs: set[str]) -> set[str]:
+        """The runs in neither generation; those in the old one move to the young one."""
+        gone = runs.difference(self.cache)
+        if self.old and gone:
+            again = gone.intersection(self.old)
+            self.cache.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            gone -= again
+        return gone
+
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """One id array per text; null and empty texts give none."""
-        cache = self.cache
+        if len(self.cache) > self.cache_runs:
+            self.old, self.cache = self.cache, {}
         split: list[list[str]] = []
         latin: set[str] = set()
         other: set[str] = set()
@@ -83,39 +94,27 @@ class WordBpe:
             else:
                 split.append(_split(t.lower()))
                 latin.update(split[-1])
-        latin = latin.difference(cache)
-        other = other.difference(cache)
+        latin, other = self._missing(latin), self._missing(other)
         latin -= other
-        if not latin and not other:
-            return self._joined(split)
-        found: dict[str, bytes] = {}
-        # letters and closing marks are encoded apart, as the file splits them
-        whole = [w for w in latin if w.isalpha()]
-        marked = [w for w in latin if not w.isalpha()]
-        bare = [w.rstrip(_MARKS) for w in marked]
-        parts = [(w, x, w[len(x) :]) for w, x in zip(marked, bare, strict=True) if x.isalpha()]
-        need = {x for _, x, _ in parts}
-        need = need.difference(cache)
-        need.update(whole)
-        words = list(need)
-        found.update(zip(words, self._words(words), strict=True))
-        rest = {p for _, _, p in parts}
-        rest = rest.difference(cache)
-        rest.update(w for w, x in zip(marked, bare, strict=True) if not x.isalpha())
-        rest |= other
-        rest.discard("")
-        runs = list(rest)
-        for lo in range(0, len(runs), 4096):
-            found.update(zip(runs[lo : lo + 4096], self._runs(runs[lo : lo + 4096]), strict=True))
-        both = lambda w: found[w] if w in found else cache[w]
-        found.update([(w, both(x) + both(p)) for w, x, p in parts])
-        full = len(cache) >= self.cache_runs
-        cache.update(found)
-        out = self._joined(split)
-        if full:
-            for w in found:
-                del cache[w]
-        return out
+        if latin or other:
+            # letters and closing marks are encoded apart, as the file splits them
+            whole = [w for w in latin if w.isalpha()]
+            marked = [w for w in latin if not w.isalpha()]
+            bare = [w.rstrip(_MARKS) for w in marked]
+            parts = [(w, x, w[len(x) :]) for w, x in zip(marked, bare, strict=True) if x.isalpha()]
+            words = list(self._missing({x for _, x, _ in parts}).union(whole))
+            self.cache.update(zip(words, self._words(words), strict=True))
+            rest = self._missing({p for _, _, p in parts})
+            rest.update(w for w, x in zip(marked, bare, strict=True) if not x.isalpha())
+            rest |= other
+            rest.discard("")
+            runs = list(rest)
+            for lo in range(0, len(runs), 4096):
+                self.cache.update(zip(runs[lo : lo + 4096], self._runs(runs[lo : lo + 4096]), strict=True))
+            ids = self.cache
+            ids.update([(w, ids[x] + ids[p]) for w, x, p in parts])
+        self.cache[""] = b""
+        return self._joined(split)
 
     def _joined(self, split: list[list[str]]) -> list[np.ndarray]:
         get, kind = self.cache.__getitem__, self.dtype
