@@ -61,10 +61,13 @@ def retrievals_in_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _retrievals(spark, sf_dir).select("edge", "event_id", F.count(F.lit(1)).over(w).alias("in_day"))
 
 
-@query()
+@query("WITH RECURSIVE " + _RETRIEVALS_SQL + """, n AS (SELECT edge, row_number() OVER w AS i, count(*) OVER (PARTITION BY edge ORDER BY seconds RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS recent FROM retrievals WINDOW w AS (PARTITION BY edge ORDER BY seconds)),
+    f AS (SELECT DISTINCT edge, 0::BIGINT AS i, 0.01::DOUBLE AS rate FROM n
+          UNION ALL SELECT f.edge, n.i, greatest(0.001::DOUBLE, CASE WHEN n.recent > 5 THEN least(0.05::DOUBLE, f.rate * 1.02::DOUBLE) ELSE f.rate * (1 - 0.05::DOUBLE / (1 + 0.3::DOUBLE * (n.i - 1))) END) FROM f JOIN n ON n.edge = f.edge AND n.i = f.i + 1)
+    SELECT edge, round(arg_max(rate, i), 8) AS rate, max(i) AS n FROM f GROUP BY edge""")
 def retrieval_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decay rate of every edge after its retrievals, in order."""
-    return L.retrieval_fold(_retrievals(spark, sf_dir).drop("event_id"))
+    return L.retrieval_fold(_retrievals(spark, sf_dir).drop("event_id")).withColumn("rate", F.round("rate", 8))
 
 
 @query("WITH " + _RETRIEVALS_SQL + """, r AS (SELECT edge, seconds / 86400.0::DOUBLE AS d FROM retrievals), n AS (SELECT max(d) AS now FROM r), g AS (
