@@ -47,8 +47,8 @@ def orphan_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New versions of one source's documents replace the old ones."""
     d = T.table(spark, sf_dir, "documents")
-    old = d.select("doc_id", F.lit("old").alias("version"), F.length("text").alias("n"))
-    new = d.where("source = 'src1'").select("doc_id", F.lit("new").alias("version"), (F.length("text") + 1).alias("n"))
+    old = d.select("doc_id", F.lit("old").alias("version"), F.length("text").cast("long").alias("n"))
+    new = d.where("source = 'src1'").select("doc_id", F.lit("new").alias("version"), (F.length("text") + 1).cast("long").alias("n"))
     return L.upsert(old, new, "doc_id")
 
 
@@ -71,7 +71,7 @@ def html_page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages."""
     p = T.table(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length("html").alias("n"))
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length("html").cast("long").alias("n"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -95,7 +95,7 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive turns of one speaker merged."""
     t = P.speaker_turns(T.table(spark, sf_dir, "conversations").withColumnRenamed("turn", "at"), "conv_id", "at", "role", "text")
-    return t.select("conv_id", "turn", "role", F.length("text").alias("n"))
+    return t.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
 
 
 @query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -103,7 +103,7 @@ def merged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, blank lines and the longest line per document."""
     lines = T.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count(F.when(F.trim("line") == "", 1)).alias("n_blank"), F.max(F.length("line")).alias("longest"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count(F.when(F.trim("line") == "", 1)).alias("n_blank"), F.max(F.length("line")).cast("long").alias("longest"))
 
 
 @query("WITH RECURSIVE " + """mails AS (SELECT o_orderkey AS msgid, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey - o_orderkey % 5 END AS reply, o_orderdate AS date FROM orders),

@@ -56,7 +56,7 @@ def episodes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes with the sizes of their axes."""
     e = T.episodes(spark, sf_dir)
     size = lambda c: F.size(c).cast("long")
-    return e.select("id", "session", "user", size("entities").alias("n_entities"), size("topics").alias("n_topics"), size("tones").alias("n_tones"), "follows", F.length("summary").alias("n_summary"))
+    return e.select("id", "session", "user", size("entities").alias("n_entities"), size("topics").alias("n_topics"), size("tones").alias("n_tones"), "follows", F.length("summary").cast("long").alias("n_summary"))
 
 
 @query("WITH " + T.EDGES_SQL + " SELECT p, count(*) AS n_edges, count(DISTINCT s) AS n_subjects, count(DISTINCT o) AS n_objects FROM edges GROUP BY p")

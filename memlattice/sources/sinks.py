@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,12 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of the driver's own only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return base or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="memlattice-tables-"))
+    app = spark.sparkContext.applicationId
+    if not base and app not in _own:
+        folder = tempfile.mkdtemp(prefix="memlattice-tables-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = f"file://{folder}"
+    return base or _own[app]
 
 
 def materialised(df: DataFrame) -> DataFrame:
