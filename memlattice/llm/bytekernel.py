@@ -76,11 +76,12 @@ def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[
         lo = hi
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of each row's first word and the total at the end)."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte and length of each word, index of each row's first word and the total at the end)."""
     n = len(offsets) - 1
+    none = np.zeros(0, np.int64)
     if len(raw) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(n + 1, np.int64)
     inside = _IS_WORD[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)  # a row begins here, so no word runs on
     edge[offsets] = True
@@ -88,15 +89,21 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     begins[1:] &= ~inside[:-1] | edge[1:-1]
     starts = np.flatnonzero(begins)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(n + 1, np.int64)
     at = np.flatnonzero(inside)
-    first = np.searchsorted(at, starts) if len(starts) < 64 else np.cumsum(inside)[starts] - 1
+    first = np.cumsum(inside)[starts] - 1
     lens = np.diff(np.append(first, len(at)))
     within = np.arange(len(at)) - np.repeat(first, lens)
     longest = int(lens.max())
     power = _POW if longest <= len(_POW) else _powers(longest)
     hashes = mix64(np.add.reduceat(_LOWER_CODE[raw[at]] * power[within], first))
-    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
+    return hashes, starts, lens, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of each row's first word and the total at the end)."""
+    hashes, _, _, rows = word_spans(raw, offsets)
+    return hashes, rows
 
 
 _MULT = _RNG.integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -36,7 +36,7 @@ from memlattice.llm.wordbpe import default_vocabulary, encoder
 
 CAPACITY = 2048
 #: Documents encoded at once in a task.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 PIECES = schema(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG, part=INT, nth=LONG)
 
@@ -61,9 +61,10 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
         for batch in batches:
             for lo, hi in text_slices(batch.column("text")):
                 some = batch.slice(lo, hi - lo)
-                ids, out = enc.encode_batch(some.column("text").to_pylist()), []
-                for doc, x in zip(some.column("doc_id").to_pylist(), ids, strict=True):
-                    raw = np.append(x, enc.dtype.type(end_id)).astype("<u4")
+                ids, at_row = enc.encode_column(some.column("text"))
+                ids, bounds, out = ids.astype("<u4"), at_row.tolist(), []
+                for doc, a, b in zip(some.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
+                    raw = np.append(ids[a:b], np.uint32(end_id))
                     for k, at in enumerate(range(0, len(raw), capacity)):
                         piece = raw[at : at + capacity]
                         n = len(piece)

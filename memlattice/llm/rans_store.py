@@ -43,7 +43,8 @@ from memlattice.llm.wordbpe import default_vocabulary, encoder
 MAGIC = b"RNB1"
 _HEAD = struct.Struct("<4s8I")
 _BITS = 16
-_ONE = np.uint64(1 << _BITS)
+_ONE = np.uint32(1 << _BITS)
+_SHIFT, _LOW = np.uint32(16), np.uint32(0xFFFF)
 #: Ids of a block, its lanes, and ids between checkpoints.
 BLOCK_TOKENS, LANES, CHECKPOINT = 1 << 18, 1024, 1 << 17
 
@@ -76,12 +77,17 @@ class Table:
         return cls(freq)
 
     @cached_property
-    def start(self) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.int64)
+    def coding(self) -> tuple[np.ndarray, np.ndarray]:
+        """Frequency and first slot of each id."""
+        start = np.concatenate([[0], np.cumsum(self.freq)[:-1]])
+        return self.freq.astype(np.uint32), start.astype(np.uint32)
 
     @cached_property
-    def symbol(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
+    def decoding(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id, its frequency and the place within it, of each slot."""
+        freq, start = self.coding
+        symbol = np.repeat(np.arange(len(freq)), self.freq)
+        return symbol.astype(np.uint32), freq[symbol], np.arange(len(symbol), dtype=np.uint32) - start[symbol]
 
     @cached_property
     def crc(self) -> int:
@@ -93,22 +99,22 @@ def encode_frame(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, tabl
     n, every = len(ids), checkpoint // lanes
     if n and table.freq[ids].min() < 1:
         raise ValueError("an id is not in the frequency table")
-    freq, start = table.freq.astype(np.uint64), table.start.astype(np.uint64)
-    state = np.full(lanes, _ONE, np.uint64)
-    steps = -(-n // lanes)
+    freq, start = (t[ids] for t in table.coding)
+    state = np.full(lanes, _ONE, np.uint32)
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
     count = 0
-    for step in range(steps - 1, -1, -1):
-        some = ids[step * lanes : (step + 1) * lanes]
-        f, c, x = freq[some], start[some], state[: len(some)]
-        over = x >= (f << np.uint64(16))
-        if over.any():
-            words.append((x[over] & np.uint64(0xFFFF)).astype("<u2"))
-            count += len(words[-1])
-            x = np.where(over, x >> np.uint64(16), x)
+    for step in range(-(-n // lanes) - 1, -1, -1):
+        f, c = freq[step * lanes : (step + 1) * lanes], start[step * lanes : (step + 1) * lanes]
+        x = state[: len(f)]
+        over = np.flatnonzero((x >> _SHIFT) >= f)
+        if len(over):
+            high = x[over]
+            words.append((high & _LOW).astype("<u2"))
+            count += len(over)
+            x[over] = high >> _SHIFT
         q = x // f
-        state[: len(some)] = (q << np.uint64(_BITS)) + (x - q * f) + c
+        state[: len(f)] = (q << _SHIFT) + (x - q * f) + c
         if step % every == 0:
             marks.append((count, state.astype("<u4")))
     marks.reverse()
@@ -160,20 +166,20 @@ class Frame:
         """Ids from checkpoint i to the next, checked."""
         first = i * self.checkpoint
         n = min(self.checkpoint, self.tokens - first)
-        freq, start, symbol = self.table.freq.astype(np.uint64), self.table.start.astype(np.uint64), self.table.symbol
-        state, words, at = self.states[i].astype(np.uint64), self.words, int(self.positions[i])
-        out = np.empty(n, np.uint32)
+        symbol, freq, place = self.table.decoding
+        state, words, at = self.states[i].astype(np.uint32), self.words, int(self.positions[i])
+        slots = np.empty(n, np.intp)
         for lo in range(0, n, self.lanes):
             x = state[: min(self.lanes, n - lo)]
-            slot = x & np.uint64(0xFFFF)
-            s = symbol[slot]
-            out[lo : lo + len(s)] = s
-            x = freq[s] * (x >> np.uint64(_BITS)) + slot - start[s]
+            slot = (x & _LOW).astype(np.intp)
+            slots[lo : lo + len(slot)] = slot
+            x = freq[slot] * (x >> _SHIFT) + place[slot]
             low = np.flatnonzero(x < _ONE)
             if len(low):
-                x[low] = (x[low] << np.uint64(16)) | words[at : at + len(low)]
+                x[low] = (x[low] << _SHIFT) | words[at : at + len(low)]
                 at += len(low)
-            state[: len(s)] = x
+            state[: len(slot)] = x
+        out = symbol[slots]
         if zlib.crc32(out.astype("<u4").tobytes()) != self.crcs[i]:
             raise ValueError("ids of a segment do not match their checksum")
         return out
@@ -214,10 +220,12 @@ def ordered_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_tokens:
         for batch in batches:
             for lo, hi in text_slices(batch.column("text")):
                 some = batch.slice(lo, hi - lo)
-                for doc, x in zip(some.column("doc_id").to_pylist(), enc.encode_batch(some.column("text").to_pylist()), strict=True):
-                    held.append(np.append(x, enc.dtype.type(end_id)))
+                ids, at_row = enc.encode_column(some.column("text"))
+                bounds = at_row.tolist()
+                for doc, a, b in zip(some.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
+                    held.append(np.append(ids[a:b], enc.dtype.type(end_id)))
                     names.append(doc)
-                    size += len(held[-1])
+                    size += b - a + 1
                     if size >= block_tokens:
                         yield flush()
                         first, block, size, held, names = first + size, block + 1, 0, [], []
@@ -253,7 +261,7 @@ def frequency_table(raw: DataFrame) -> Table:
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Table:
     """Tokenise `docs` and write coded files to `path`; returns the shared table."""
     spark = docs.sparkSession
-    raw = written(ordered_blocks(narrow(docs, id_col, text_col), vocabulary or default_vocabulary(), end_id), "ids", compression="zstd")
+    raw = written(ordered_blocks(narrow(docs, id_col, text_col), vocabulary or default_vocabulary(), end_id), "ids")
     table = frequency_table(raw)
     shared = spark.sparkContext.broadcast(table)  # 2^16 frequencies
 
