@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from memlattice.llm.packing import text_slices
 from memlattice.llm.shared import BIN, INT, LONG, STR, narrow, schema, ship
 
 SIDE = 24
@@ -246,12 +247,16 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
-def parse_gif(data: bytes) -> Gif:
+Stream = tuple[bytes, int, int]
+
+
+def _parsed(data: bytes) -> tuple[Gif, list[tuple[Stream, tuple]]]:
+    """A file without its samples, and each frame's code stream and place."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
     shared, at = _palette(data, 13, flags)
-    found: list[tuple[tuple[bytes, int, int], tuple]] = []
+    found: list[tuple[Stream, tuple]] = []
     delay, disposal, transparent = 0, 0, None
     while at < len(data):
         kind = data[at]
@@ -277,9 +282,16 @@ def parse_gif(data: bytes) -> Gif:
             delay, disposal, transparent = 0, 0, None
         else:
             raise ValueError("unknown block")
-    samples = lzw_decode_many([stream for stream, _ in found])
-    images = [Image(*place[:4], _shaped(x, *place[2:5]), *place[5:]) for x, (_, place) in zip(samples, found, strict=True)]
-    return Gif(width, height, background, shared, images)
+    return Gif(width, height, background, shared, []), found
+
+
+def parse_gifs(files: list[bytes]) -> list[Gif]:
+    """Several files, their code streams expanded together."""
+    parts = [_parsed(data) for data in files]
+    samples = iter(lzw_decode_many([stream for _, found in parts for stream, _ in found]))
+    for gif, found in parts:
+        gif.images.extend(Image(*place[:4], _shaped(next(samples), *place[2:5]), *place[5:]) for _, place in found)
+    return [gif for gif, _ in parts]
 
 
 def _shaped(samples: np.ndarray, w: int, h: int, interlaced: int) -> np.ndarray:
@@ -305,7 +317,10 @@ class Frame:
 
 def decode_gif(data: bytes) -> list[Frame]:
     """Frames as shown: each drawn over what disposal left of those before."""
-    gif = parse_gif(data)
+    return shown(parse_gifs([data])[0])
+
+
+def shown(gif: Gif) -> list[Frame]:
     canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
     out, clock, last, colours = [], 0, None, None
     for k, image in enumerate(gif.images):
@@ -330,19 +345,29 @@ def decode_gif(data: bytes) -> list[Frame]:
     return out
 
 
-def encode_gif(payload: bytes, delay: int = 4) -> bytes:
-    """A GIF whose frames of 24 x 24 grey samples are the payload, a multiple of 576 bytes."""
-    out = [b"GIF89a", struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0), _GREY]
+def encode_gifs(payloads: list[bytes], delay: int = 4) -> list[bytes]:
+    """GIFs whose frames of 24 x 24 grey samples are the payloads, each a multiple of 576 bytes."""
+    head = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + _GREY
     control = b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay, 0, 0)
-    place = b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    for codes in lzw_encode([payload[at : at + FRAME] for at in range(0, len(payload), FRAME)]):
-        out += [control, place]
-        for lo in range(0, len(codes), 255):
-            part = codes[lo : lo + 255]
-            out += [bytes([len(part)]), part]
-        out.append(b"\x00")
-    out.append(b"\x3b")
-    return b"".join(out)
+    place = control + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
+    coded = iter(lzw_encode([p[at : at + FRAME] for p in payloads for at in range(0, len(p), FRAME)]))
+    files = []
+    for payload in payloads:
+        out = [head]
+        for _ in range(0, len(payload), FRAME):
+            codes = next(coded)
+            out.append(place)
+            for lo in range(0, len(codes), 255):
+                part = codes[lo : lo + 255]
+                out += [bytes([len(part)]), part]
+            out.append(b"\x00")
+        out.append(b"\x3b")
+        files.append(b"".join(out))
+    return files
+
+
+def encode_gif(payload: bytes, delay: int = 4) -> bytes:
+    return encode_gifs([payload], delay)[0]
 
 
 def padded(raw: bytes) -> bytes:
@@ -354,8 +379,8 @@ def padded(raw: bytes) -> bytes:
 # --- tables --------------------------------------------------------------------
 
 MEDIA = schema(doc_id=LONG, n_bytes=LONG, media=BIN)
-#: Media bytes of one output batch.
-BATCH_BYTES = 4 << 20
+#: Bytes coded or decoded together in a task.
+BATCH_BYTES = 1 << 19
 
 
 def media_from_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,17 +388,11 @@ def media_from_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, media, total = [], [], [], 0
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                ids.append(doc.as_py())
-                sizes.append(len(raw))
-                media.append(encode_gif(padded(raw)))
-                total += len(media[-1])
-                if total >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=MEDIA.names)
-                    ids, sizes, media, total = [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=MEDIA.names)
+            for lo, hi in text_slices(batch.column("text"), BATCH_BYTES):
+                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")[lo:hi]]
+                media = encode_gifs([padded(raw) for raw in texts])
+                sizes = [len(raw) for raw in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=MEDIA.names)
 
     ship(docs.sparkSession)
     return narrow(docs, id_col, text_col).mapInArrow(run, MEDIA)
@@ -397,9 +416,10 @@ def frame_table(media: DataFrame, pixels: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
-                rows = []
-                for f in _frames(data.as_py()):
+            docs = batch.column("doc_id").to_pylist()
+            for row, _, frames in _decoded(batch.column("media")):
+                doc, rows = docs[row], []
+                for f in frames:
                     h = histogram(f.rgba).reshape(3, -1).tolist()
                     rows.append((doc, f.number, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], *h, f.rgba.tobytes() if pixels else None))
                 if rows:
@@ -412,11 +432,28 @@ def frame_table(media: DataFrame, pixels: bool = True) -> DataFrame:
 _FRAMES_ARROW = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
 
 
-def _frames(data: bytes | None) -> list[Frame]:
+_DAMAGED = (ValueError, IndexError, struct.error)
+
+
+def _decoded(col: pa.Array) -> Iterator[tuple[int, bytes | None, list[Frame]]]:
+    """(row, file, frames) of a binary column; a null or damaged file has no frames."""
+    for lo, hi in text_slices(col, BATCH_BYTES):
+        files = col[lo:hi].to_pylist()
+        some = [x for x in files if x]
+        try:
+            gifs = iter(parse_gifs(some))
+        except _DAMAGED:
+            gifs = iter([_one(x) for x in some])
+        for k, data in enumerate(files):
+            gif = next(gifs) if data else None
+            yield lo + k, data, shown(gif) if gif else []
+
+
+def _one(data: bytes) -> Gif | None:
     try:
-        return decode_gif(data) if data else []
-    except (ValueError, IndexError, struct.error):
-        return []
+        return parse_gifs([data])[0]
+    except _DAMAGED:
+        return None
 
 
 DIGEST = schema(doc_id=LONG, n_bytes=LONG, payload_bytes=LONG, payload_sha256=STR, tail_crc32=LONG, media_bytes=LONG, media_sha256=STR, feature=STR, frames=INT, duration_ms=LONG)
@@ -425,8 +462,7 @@ DIGEST = schema(doc_id=LONG, n_bytes=LONG, payload_bytes=LONG, payload_sha256=ST
 def digest_table(media: DataFrame) -> DataFrame:
     """Hashes, duration and summed grey histogram of the payload that each stored file holds."""
 
-    def one(doc: int | None, n: int | None, data: bytes | None) -> tuple:
-        frames = _frames(data)
+    def one(doc: int | None, n: int | None, data: bytes | None, frames: list[Frame]) -> tuple:
         if not frames:
             return (doc, n, *[None] * 8)
         grey = np.stack([f.rgba[:, :, 0] for f in frames])
@@ -441,7 +477,8 @@ def digest_table(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(d, n, m.as_py()) for d, n, m in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True)]
+            docs, sizes = batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist()
+            rows = [one(docs[k], sizes[k], data, frames) for k, data, frames in _decoded(batch.column("media"))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DIGEST_ARROW, strict=True)], names=DIGEST.names)
 

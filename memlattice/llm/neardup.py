@@ -13,9 +13,10 @@ Work stays linear in what is emitted:
 * within a key the pairs within the distance are walked breadth-first, and only
   a spanning forest leaves the task; keys with more than `HOT_ROWS` members are
   compared in blocks spread over tasks, every block against every other;
-* connected families of such pairs bring their full sets together once (large
-  families in blocks again), links are confirmed exactly there, and again only
-  a forest leaves.
+* connected families of such pairs bring their full sets together once, links are
+  confirmed exactly there, and again only a forest leaves; a large family is cut
+  into blocks that share a hub, and only members not linked to the hub's
+  component go on to meet every block.
 Components of the confirmed links are the result.
 
 Defined results: null or wordless text has an empty set and is linked with
@@ -41,10 +42,12 @@ from memlattice.llm.components import connected_components
 from memlattice.llm.membership import with_ids, without_ids
 from memlattice.llm.shared import BIN, LONG, narrow, partitions_for, schema, ship, written
 
+#: Bytes of the key rows of a signature, as a multiple of its own.
+KEYED_GROWTH = 24.0
 #: Members of a key that are compared in one task; larger keys are cut into blocks.
 HOT_ROWS = 8192
 #: Shingles of a family that are compared in one task; larger families are cut into blocks.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -221,8 +224,9 @@ def _links(keyed: DataFrame, plan: Plan, most: int | None) -> DataFrame:
     return keyed.mapInArrow(run, LINKS)
 
 
-def _dealt(df: DataFrame, *keys: str, order: tuple[str, ...] = ()) -> DataFrame:
-    return df.repartition(partitions_for(df), *keys).sortWithinPartitions(*keys, *order)
+def _dealt(df: DataFrame, key: str, growth: float = 1.0) -> DataFrame:
+    """Rows with one key next to each other."""
+    return df.repartition(partitions_for(df, growth), key).sortWithinPartitions(key)
 
 
 def _cells(df: DataFrame, key: str, blocks: str, own: str) -> DataFrame:
@@ -234,7 +238,7 @@ def _cells(df: DataFrame, key: str, blocks: str, own: str) -> DataFrame:
 def candidate_links(reps: DataFrame, plan: Plan) -> DataFrame:
     """A forest of all pairs of representatives (rid, sig) within the signature distance."""
     keyed = _keyed(reps, plan)
-    found = written(_links(_dealt(keyed, "key"), plan, HOT_ROWS), "links")
+    found = written(_links(_dealt(keyed, "key", KEYED_GROWTH), plan, HOT_ROWS), "links")
     hot = found.where("b IS NULL").select(F.col("a").alias("key")).distinct()
     links = found.where("b IS NOT NULL")
     if hot.isEmpty():
@@ -306,7 +310,13 @@ def _confirm(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed_links(docs: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
-    """A forest of the true links within families (node, component, n)."""
+    """A forest of the true links within families (node, component, n).
+
+    A family within the block size is one cell.  A larger one is cut into blocks, and
+    its smallest member, the hub, joins each of them: whoever is linked to the
+    hub's component in its block is settled.  Only the strays then meet all
+    blocks, so the work follows their number and not the square of the family.
+    """
     out = schema(family=LONG, rid=LONG, blocks=LONG, members=BIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +327,22 @@ def confirmed_links(docs: DataFrame, families: DataFrame, width: int, percent: i
     blocks = families.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("long").alias("blocks"))
     wanted = families.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks")
     sets = with_ids(docs, written(wanted, "families")).select("doc_id", "text", "family", "blocks").mapInArrow(run, out)
-    cells = _cells(sets, "family", "blocks", "rid").select("cell", "rid", "members")
-    return _confirm(_dealt(cells, "cell"), percent)
+    sets = written(sets, "sets").withColumn("_own", F.expr("pmod(xxhash64(rid), blocks)"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    hubs = sets.where("rid = family AND blocks > 1").withColumn("_in", every).where("_in <> _own")
+    home = sets.withColumn("_in", F.col("_own")).unionByName(hubs)
+    first = written(_confirm(_dealt(home.select(F.xxhash64("family", "_in").alias("cell"), "rid", "members"), "cell"), percent), "confirmed")
+    large = sets.where("blocks > 1")
+    if large.isEmpty():
+        return first
+    settled = connected_components(first).where("node <> component").select(F.col("node").alias("rid"), "component")
+    strays = large.join(settled, "rid", "left").where("coalesce(component, rid) <> family").drop("component")
+    groups = strays.groupBy("family").agg(F.ceil(F.sum(F.length("members")) / F.lit(8 * BLOCK_SHINGLES)).cast("long").alias("_groups"))
+    group = F.expr("pmod(xxhash64(rid, 1), _groups)")
+    some = strays.join(groups, "family").withColumn("_group", group).withColumn("_in", every)
+    rest = large.join(groups, "family").withColumn("_in", F.col("_own")).withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1)))
+    cells = some.select(F.xxhash64("family", "_group", "_in").alias("cell"), "rid", "members").union(rest.select(F.xxhash64("family", "_group", "_in").alias("cell"), "rid", "members"))
+    return first.union(written(_confirm(_dealt(cells, "cell"), percent), "strays"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

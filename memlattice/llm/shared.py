@@ -7,7 +7,9 @@ the driver's own is made.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -50,7 +52,11 @@ def shared_root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="memlattice-shared-"))
+        if app not in _own:
+            folder = tempfile.mkdtemp(prefix="memlattice-shared-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[app] = f"file://{folder}"
+        base = _own[app]
     return base.rstrip("/") + "/memlattice"
 
 
@@ -91,10 +97,21 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def partitions_for(df: DataFrame) -> int:
-    """Partitions for an explicit repartition: at least as many as Spark would shuffle into or read from."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions() if not df.isStreaming else 1)
+#: Bytes that one partition of an explicit repartition is to hold.
+PARTITION_BYTES = 64 << 20
+
+
+def partitions_for(df: DataFrame, growth: float = 1.0) -> int:
+    """Partitions for an explicit repartition: the session's number, or more for large tables.
+
+    The size is what the plan's tables hold, times `growth` where rows are multiplied
+    on the way; nothing is run to find it.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    known = min(size, 1 << 60)  # tables without statistics claim more
+    wanted = int(known * growth) // PARTITION_BYTES if known < 1 << 55 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, 200_000))
 
 
 LONG, INT, STR, BIN, BOOL, DBL = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType(), T.BooleanType(), T.DoubleType()
