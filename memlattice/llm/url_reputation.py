@@ -1,15 +1,17 @@
 """URL filtering by empirical-Bayes host reputation, with explicit rules first.
 
 Labelled page outcomes (bad or not) are counted per host, registered domain (the
-last two labels of a host) and suffix (the last label).  Each level's rate is
-shrunk towards its parent's by a beta-binomial prior,
+suffix and one label more) and suffix (the last label, or the longest of the 8,331
+longer ones in `public_suffixes.txt`).  Each level's rate is shrunk towards its
+parent's by a beta-binomial prior,
 
     suffix: (k + M0 m) / (n + M0)      domain: (k + M1 suffix) / (n + M1)
     host:   Beta(k + M2 domain, n - k + M2 (1 - domain))
 
 whose strengths M come from the moments of the observed rates at that level.  A
-host is blocked when the lower `z` bound of its posterior exceeds `threshold`:
-only hosts that are bad beyond doubt go.
+host, domain or suffix without labels has n = k = 0, that is its parent's rate, so
+every host of the pages has a posterior.  A host is blocked when the lower `z`
+bound of it exceeds `threshold`: only hosts that are bad beyond doubt go.
 
 All is DataFrame work; counts combine before they are shuffled, so a host
 with a third of all pages is one row per task, and nothing but two sums per
@@ -25,6 +27,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,10 +75,49 @@ def rule_for(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Column,
     return name, verdict
 
 
+@cache
+def _suffix_rules() -> tuple[dict[int, list[str]], dict[int, list[str]], list[str]]:
+    """Suffixes of two labels or more and parents of wildcards, both by number of labels, and names that no wildcard takes."""
+    names: dict[int, set[str]] = {}
+    wild: dict[int, set[str]] = {}
+    spared = set()
+    for rule in Path(__file__).with_name("public_suffixes.txt").read_text(encoding="utf-8").splitlines():
+        if rule.startswith("//"):
+            continue
+        n = rule.count(".") + 1
+        if rule.startswith("*."):
+            wild.setdefault(n, set()).add(rule[2:])
+        elif rule.startswith("!"):
+            spared.add(rule[1:])
+            names.setdefault(n - 1, set()).add(rule.partition(".")[2])
+        else:
+            names.setdefault(n, set()).add(rule)
+    return {n: sorted(v) for n, v in names.items()}, {n: sorted(v) for n, v in wild.items()}, sorted(spared)
+
+
+def _one_of(name: str, values: Sequence[str]) -> str:
+    quoted = ", ".join(f"'{v}'" for v in values)  # letters, digits, dots and hyphens only
+    return f"{name} IN ({quoted})" if values else "false"
+
+
+def with_domain(hosts: DataFrame) -> DataFrame:
+    """`hosts` with the registered domain and public suffix of column host."""
+    names, wild, spared = _suffix_rules()
+    cases = []
+    for n in sorted(names.keys() | wild.keys(), reverse=True):
+        if n > 1:
+            last, parent = f"substring_index(host, '.', -{n})", f"substring_index(host, '.', -{n - 1})"
+            taken = f"({_one_of(parent, wild.get(n, []))} AND NOT {_one_of(last, spared)})"
+            cases.append(f"WHEN {_one_of(last, names.get(n, []))} OR {taken} THEN {n}")
+    labelled = hosts.withColumn("_labels", F.expr(f"CASE {' '.join(cases)} ELSE 1 END"))
+    domain, suffix = F.expr("substring_index(host, '.', -_labels - 1)"), F.expr("substring_index(host, '.', -_labels)")
+    return labelled.withColumn("domain", domain).withColumn("suffix", suffix).drop("_labels")
+
+
 def _strength(level: DataFrame, settings: Settings) -> float:
     """Prior strength from rows (n, k, parent): the moment estimate of the correlation within a unit."""
     spread = F.col("parent") * (1 - F.col("parent"))
-    row = level.agg(
+    row = level.where("n > 0").agg(
         F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("parent"), 2)),
         F.sum(spread),
         F.sum(spread * (F.col("n") - 1)),
@@ -86,10 +129,10 @@ def _strength(level: DataFrame, settings: Settings) -> float:
 
 
 def host_reputation(outcomes: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, float]:
-    """(host, n, bad_rate, bad_bound) from rows (host, bad 0/1), and the overall rate."""
+    """(host, n, bad_rate, bad_bound) of every host from rows (host, bad 0, 1 or null), and the overall rate."""
     settings = settings or Settings()
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("k")).where("n > 0")
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+    hosts = with_domain(hosts)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n"), F.sum("k")).first()
@@ -126,7 +169,7 @@ def judge_urls(
     host, path = url_parts(F.col("_url"))
     parts = url.select("page_id", host.alias("host"), path.alias("path"))
     worst = outcomes.select(F.col("page_id").cast("long"), F.col("bad").cast("int")).where("bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    reputation, overall = host_reputation(parts.select("page_id", "host").join(worst, "page_id"), settings)
+    reputation, overall = host_reputation(parts.select("page_id", "host").join(worst, "page_id", "left"), settings)
     name, verdict = rule_for(rules, F.col("host"), F.col("path"))
     judged = F.when(F.col("bad_bound") > settings.threshold, F.lit("block")).otherwise(F.lit("allow"))
     return parts.join(reputation, "host", "left").select(

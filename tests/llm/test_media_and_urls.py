@@ -145,3 +145,27 @@ def test_reputation(spark):
     rates = {r.host: (r.verdict, r.bad_rate) for r in got.collect()}
     assert rates["bad.spam.com"][0] == "block" and rates["good.fine.com"][0] == "allow"
     assert rates["rare.fine.com"][0] == "allow" and rates["rare.fine.com"][1] < rates["new.spam.com"][1]  # shrunk to their domains
+
+
+def test_hosts_without_labels_follow_their_domain_and_suffix(spark):
+    pages, bad = [], []
+    for site, k in (("spam.com", 1), ("fine.com", 0), ("other.org", 0), ("bad.co.uk", 1), ("good.co.uk", 0), ("good.com.au", 0)):
+        for j in range(300):
+            bad.append((len(pages), k))
+            pages.append((len(pages), f"http://h{j % 3}.{site}/{j}"))
+    unseen = ("new.spam.com", "new.fine.com", "a.nowhere.org", "new.bad.co.uk", "new.good.co.uk", "unseen.co.uk", "x.unknown")
+    pages += [(len(pages) + j, f"http://{h}/") for j, h in enumerate(unseen)]
+    got = {r.host: r for r in U.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")).collect()}
+    assert [got[h].verdict for h in unseen] == ["block", "allow", "allow", "block", "allow", "allow", "allow"]
+    assert all(got[h].n_labelled == 0 for h in unseen) and got["new.spam.com"].bad_rate > 0.9 > 0.1 > got["new.fine.com"].bad_rate
+    assert got["a.nowhere.org"].bad_rate < got["x.unknown"].bad_rate  # a suffix without labels has the overall rate
+    assert abs(got["x.unknown"].bad_rate - 1 / 3) < 0.01
+
+
+def test_registered_domains(spark):
+    want = {
+        "a.b.com": "b.com", "com": "com", "": "", "www.shop.co.uk": "shop.co.uk", "co.uk": "co.uk", "x.y.com.au": "y.com.au", "a.b.c.ck": "b.c.ck",
+        "a.www.ck": "www.ck", "w.me.github.io": "me.github.io", "a.b.c.kawasaki.jp": "b.c.kawasaki.jp", "x.city.kawasaki.jp": "city.kawasaki.jp",
+    }
+    got = U.with_domain(spark.createDataFrame([(h,) for h in want], "host string")).collect()
+    assert {r.host: r.domain for r in got} == want
