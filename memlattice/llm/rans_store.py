@@ -19,7 +19,8 @@ Files are in ascending document order: a range partition of the ids gives
 
 Defined results: a null or empty text is the end id alone; rows that repeat an
 id follow one another; null ids come first; an empty table gives no rows; other
-columns are ignored; a document longer than a block makes a longer block.
+columns are ignored; a document longer than a block makes a longer block; an id
+of 2^16 or more raises an error.
 """
 
 from __future__ import annotations
@@ -68,12 +69,15 @@ class Table:
             spare = (1 << _BITS) - int(freq.sum())
             if spare > 0:
                 freq[order[0]] += spare
-            for i in order:
-                if spare >= 0:
-                    break
-                take = min(-spare, int(freq[i]) // 2)
-                freq[i] -= take
-                spare += take
+            while spare < 0:  # a round at most halves each, so many rare ids take several
+                for i in order:
+                    if spare >= 0:
+                        break
+                    take = min(-spare, int(freq[i]) // 2)
+                    freq[i] -= take
+                    spare += take
+            if freq.sum() != 1 << _BITS or freq[used].min() < 1:
+                raise AssertionError("frequencies do not fill the table")
         return cls(freq)
 
     @cached_property
@@ -195,6 +199,8 @@ CODED = schema(part=INT, block=INT, first=LONG, tokens=LONG, frame=BIN)
 
 def _planes(ids: np.ndarray) -> bytes:
     """Low bytes, then high bytes: general compressors do better on them."""
+    if len(ids) and int(ids.max()) >> 16:
+        raise ValueError(f"id {int(ids.max())} does not fit 16 bits")
     return np.ascontiguousarray(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes()
 
 

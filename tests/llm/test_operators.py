@@ -335,6 +335,23 @@ def test_rans_frames(n, size):
         rans_store.Frame.open(broken, table)
 
 
+def test_rans_table_of_many_rare_ids():
+    counts = np.zeros(1 << 16, np.int64)
+    counts[:49408] = 10**9 // np.arange(1, 49409)
+    for c in (counts, np.maximum(counts, 1), np.where(np.arange(1 << 16) == 9, 10**12, 1)):
+        table = rans_store.Table.from_counts(c)
+        assert table.freq.sum() == 1 << 16 and (table.freq[c > 0] >= 1).all()
+        ids = np.random.default_rng(3).permutation(np.append(np.flatnonzero(c), np.zeros(5000, np.int64))).astype("<u2")
+        frame = rans_store.Frame.open(rans_store.encode_frame(np.array([1]), np.array([len(ids)]), ids, table, 64, 1024), table)
+        assert (frame.ids() == ids).all()
+
+
+def test_rans_ids_beyond_16_bits_raise():
+    assert rans_store._unplaned(rans_store._planes(np.array([0, 65535], "<u4"))).tolist() == [0, 65535]
+    with pytest.raises(ValueError, match="65536"):
+        rans_store._planes(np.array([1, 65536], "<u4"))
+
+
 # --- 9: shards
 
 
