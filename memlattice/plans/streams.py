@@ -42,8 +42,9 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events once each, repeats within the watermark dropped."""
-    return _written(P.distinct_messages(_events(spark, sf_dir)), "append", "distinct").select("event_id", "user_id", "event_type")
+    """Events once each over all batches; the table that batches append to is the state."""
+    rows = _written(_events(spark, sf_dir).select("event_id", "user_id", "event_type"), "append", "distinct")
+    return P.distinct_messages(rows, "event_id", "user_id", "event_type")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
@@ -51,6 +52,6 @@ def stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
           UNION ALL SELECT e.user_id, e.event_id, e.i, 0.3::DOUBLE * e.value + 0.7::DOUBLE * 0.99::DOUBLE * f.state FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
     SELECT user_id, event_id, round(state, 4) AS state, least(i, 8)::INTEGER AS slots FROM f""")
 def stream_recurrent_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gated state and ring of every user over the stream."""
-    rows = _written(P.recurrent_state(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value")), "append", "state")
+    """Gated state and ring of every user over the stream, in the order of time, not of files."""
+    rows = P.recurrent_state(_written(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), "append", "state"))
     return rows.select("user_id", "event_id", F.round("state", 4).alias("state"), "slots")

@@ -172,3 +172,27 @@ def test_auc_and_ridge(spark):
     line = spark.createDataFrame([(float(i), float(i % 7), 3.0 * i - 2.0 * (i % 7) + 1) for i in range(200)], "a double, b double, y double")
     w = E.ridge(line, ["a", "b"], "y", 0.0)
     assert w[0] > 0 > w[1]
+
+
+@pytest.mark.parametrize("name", ["stream_distinct_events", "stream_recurrent_state"])
+def test_streams_do_not_depend_on_files(spark, tmp_path, name):
+    rng, rows = random.Random(4), []
+    for i in range(3000):
+        user = 7 if i % 3 else rng.randrange(40)
+        rows.append((i, 1_700_000_000 + i * 3600, user, f"t{i % 3}", rng.random() * 9 if i != 2501 else "NULL"))
+    rng.shuffle(rows)
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    con = duckdb.connect()
+    for k in range(150):  # more than two batches of 64 files
+        some = rows[k * 20 : k * 20 + 20] + (rows[:2] if k % 50 == 49 and "distinct" in name else [])
+        values = ", ".join(f"({i}::BIGINT, make_timestamp({ts * 10**6}), {u}::BIGINT, '{kind}', {v}::DOUBLE, '')" for i, ts, u, kind, v in some)
+        con.execute(f"COPY (SELECT * FROM (VALUES {values}) t(event_id, ts, user_id, event_type, value, props)) TO '{folder}/{k:03}.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/*.parquet'")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # user 7 lies in several blocks
+    try:
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert sorted(tuple(plain(v) for v in r) for r in df.collect()) == sorted(tuple(plain(v) for v in r) for r in want)
