@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions import text as X
+from memlattice.sources.sinks import materialised
 
 
 def document_results(hits: DataFrame, most: int = 5) -> DataFrame:
@@ -40,15 +41,14 @@ def cited_documents(texts: DataFrame, titles: DataFrame, words: int = 3) -> Data
     return pairs.join(body, "id").where(F.col("text").contains(F.col("title"))).select("id", "doc").distinct()
 
 
-def class_closure(classes: DataFrame, depth: int = 32) -> DataFrame:
-    """(child, ancestor, distance) of a subclass table (child, parent), least distances; cycles end."""
-    level = classes.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct()
-    out = level
-    for d in range(2, depth + 1):
+def class_closure(classes: DataFrame) -> DataFrame:
+    """(child, ancestor, distance) of a subclass table (child, parent), least distances; cycles end, depth has no bound."""
+    level = materialised(classes.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+    out, d = level, 1
+    while not level.isEmpty():
+        d += 1
         step = level.join(classes.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
-        level = step.join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("distance", F.lit(d))
-        if level.isEmpty():
-            break
+        level = materialised(step.join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("distance", F.lit(d)))
         out = out.unionByName(level)
     return out
 

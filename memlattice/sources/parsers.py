@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memlattice.sources.sinks import materialised
+
 #: File kinds by extension.
 KINDS = {
     "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "txt": "text", "eml": "email", "mbox": "email",
@@ -118,20 +120,32 @@ def html_sections(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 def mail_threads(mails: DataFrame) -> DataFrame:
     """(msgid, root, depth, path) of mails with msgid, in_reply_to, date; an unknown parent makes a root.
 
-    Repeated message ids count once.  `path` orders a thread depth-first by date.
+    Repeated message ids count once.  Every message on a cycle of replies is a root.  `path` orders a thread depth-first by date.
     """
     once = mails.withColumn("_n", F.row_number().over(Window.partitionBy("msgid").orderBy("date"))).where("_n = 1").drop("_n")
     parent = once.join(once.select(F.col("msgid").alias("in_reply_to"), F.lit(True).alias("_known")), "in_reply_to", "left")
     key = F.concat(F.date_format("date", "yyyyMMddHHmmss"), F.lit("|"), F.col("msgid"))
     tree = parent.select("msgid", F.when(F.col("_known") & (F.col("in_reply_to") != F.col("msgid")), F.col("in_reply_to")).alias("parent"), key.alias("k"))
-    level = tree.where("parent IS NULL").select("msgid", F.col("msgid").alias("root"), F.lit(0).alias("depth"), F.col("k").alias("path"))
-    out = level
-    for depth in range(1, 33):
-        level = level.select(F.col("msgid").alias("parent"), "root", "path").join(tree, "parent").select("msgid", "root", F.lit(depth).alias("depth"), F.concat("path", F.lit("/"), "k").alias("path"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    tree = materialised(tree)
+    start = lambda roots: roots.select("msgid", F.col("msgid").alias("root"), F.lit(0).alias("depth"), F.col("k").alias("path"))
+
+    def descend(level: DataFrame, tree: DataFrame) -> DataFrame:
+        out, depth = level, 0
+        while not level.isEmpty():
+            depth += 1
+            level = materialised(level.select(F.col("msgid").alias("parent"), "root", "path").join(tree, "parent").select("msgid", "root", F.lit(depth).alias("depth"), F.concat("path", F.lit("/"), "k").alias("path")))
+            out = out.unionByName(level)
+        return out
+
+    out = descend(start(tree.where("parent IS NULL")), tree)
+    cycles = materialised(tree.where("parent IS NOT NULL").join(out, "msgid", "left_anti"))
+    if cycles.isEmpty():
+        return out
+    below, n, left = cycles, -1, cycles.count()
+    while n != left:  # who has no reply is on no cycle
+        cycles = materialised(cycles.join(cycles.select(F.col("parent").alias("msgid")).distinct(), "msgid", "left_semi"))
+        n, left = left, cycles.count()
+    return out.unionByName(descend(start(cycles), below.join(cycles, "msgid", "left_anti")))
 
 
 def speaker_turns(lines: DataFrame, key: str, order: str, speaker: str, text: str) -> DataFrame:

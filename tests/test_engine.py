@@ -12,6 +12,7 @@ from memlattice import catalog
 from memlattice.functions import language as N
 from memlattice.functions import scoring as S
 from memlattice.functions import text as X
+from memlattice.operators import documents as D
 from memlattice.operators import evaluation as E
 from memlattice.operators import graph as G
 from memlattice.operators import lifecycle as L
@@ -196,3 +197,17 @@ def test_streams_do_not_depend_on_files(spark, tmp_path, name):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
     assert sorted(tuple(plain(v) for v in r) for r in df.collect()) == sorted(tuple(plain(v) for v in r) for r in want)
+
+
+def test_threads_and_closures_beyond_32_levels(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        mails = [(i, i - 1 if i else None) for i in range(36)] + [(100, 101), (101, 100), (102, 101), (103, 102)]
+        df = spark.createDataFrame(mails, "msgid long, in_reply_to long").withColumn("date", F.lit("2024-01-01").cast("date"))
+        got = {r.msgid: (r.root, r.depth) for r in P.mail_threads(df).collect()}
+        assert got == {i: (0, i) for i in range(36)} | {100: (100, 0), 101: (101, 0), 102: (101, 1), 103: (101, 2)}
+        chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(36)] + [("x", "y"), ("y", "x")], "child string, parent string")
+        far = {r.ancestor: r.distance for r in D.class_closure(chain).where("child IN ('c0', 'x')").collect()}
+        assert far == {f"c{i}": i for i in range(1, 37)} | {"y": 1, "x": 2}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
