@@ -2,7 +2,8 @@
 
 Both steps are joins and partial aggregates on node ids; edges are written to
 the shared folder after each round, so lineage stays short and a lost
-executor costs one round.  Nothing but two counters reaches the driver.
+executor costs one round; a round's table goes when the next one is written.
+Nothing but two counters reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlattice.llm.shared import written
+from memlattice.llm.shared import Scratch, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,12 +37,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     `edges` has columns a and b (long); direction, repeats and loops don't matter.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    spark = edges.sparkSession
+    step = Scratch(spark)
+    now = step.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     state = _state(now)
     while state[0]:
-        now = written(_small_star(_large_star(now)), "cc")
-        before, state = state, _state(now)
+        after = Scratch(spark)
+        now = after.written(_small_star(_large_star(now)), "cc")
+        step.clear()
+        step, before, state = after, state, _state(now)
         if before == state:
             break
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = written(leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "nodes")
+    step.clear()
+    return out

@@ -17,12 +17,15 @@ Work stays linear in what is emitted:
   confirmed exactly there, and again only a forest leaves; a large family is cut
   into blocks that share a hub, and only members not linked to the hub's
   component go on to meet every block.
-Components of the confirmed links are the result.
+Components of the confirmed links are the result.  Sets, not ids, are the nodes, so rows
+that share an id but not a text stay apart.
 
 Defined results: null or wordless text has an empty set and is linked with
-nothing; a text of fewer words than the shingle width is one shingle; rows that
-repeat an id are all reported; an empty table gives an empty result; other
-columns are ignored.
+nothing, and so is a row without an id; a text of fewer words than the shingle width is
+one shingle; rows that repeat an id are all reported; an empty table gives an empty
+result; other columns are ignored.  `drop_near_duplicates` leaves one row of each
+component: of the smallest id, of several texts of that id the one of the smallest hash, of
+repeated rows the one whose JSON form comes first.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ from pyspark.sql import functions as F
 
 from memlattice.llm.bytekernel import mix64, row_blocks, shingle_set, text_bytes, word_hashes
 from memlattice.llm.components import connected_components
-from memlattice.llm.membership import with_ids, without_ids
-from memlattice.llm.shared import BIN, LONG, narrow, partitions_for, schema, ship, written
+from memlattice.llm.membership import with_ids, without_rows
+from memlattice.llm.shared import BIN, LONG, Scratch, narrow, partitions_for, schema, ship, written
 
 #: Bytes of the key rows of a signature, as a multiple of its own.
 KEYED_GROWTH = 24.0
@@ -98,11 +101,18 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
             yield shingle_set(h[at[i] : at[i + 1]], width)
 
 
-SIGNED = schema(doc_id=LONG, n=LONG, d1=LONG, d2=LONG, sig=BIN)
+SIGNED = schema(doc_id=LONG, n=LONG, d1=LONG, d2=LONG, sig=BIN, digest=LONG)
+
+
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, two 64-bit digests) of each set."""
+    d1 = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
+    d2 = np.array([mix64(s * np.uint64(0xDA942042E4DD58B5)).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return np.array([len(s) for s in sets], np.int64), d1.view(np.int64), d2.view(np.int64)
 
 
 def signed_sets(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
-    """doc_id, set size n, a 128-bit digest of the set (d1, d2) and the signature (null without words)."""
+    """doc_id, set size n, a 128-bit digest of the set (d1, d2), the signature (null without words) and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,15 +120,11 @@ def signed_sets(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
             full = [s for s in sets if len(s)]
             rows = iter(signatures(full, plan))
             sig = [next(rows).tobytes() if len(s) else None for s in sets]
-            d1 = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
-            d2 = np.array([mix64(s * np.uint64(0xDA942042E4DD58B5)).sum(dtype=np.uint64) for s in sets], np.uint64)
-            n = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig, pa.binary())], names=SIGNED.names
-            )
+            arrays = [batch.column("doc_id"), *map(pa.array, _digests(sets)), pa.array(sig, pa.binary()), batch.column("digest")]
+            yield pa.RecordBatch.from_arrays(arrays, names=SIGNED.names)
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, SIGNED)
+    return docs.withColumn("digest", F.xxhash64("text")).mapInArrow(run, SIGNED)
 
 
 KEYED = schema(key=LONG, member=BIN)
@@ -235,10 +241,10 @@ def _cells(df: DataFrame, key: str, blocks: str, own: str) -> DataFrame:
     return out.withColumn("cell", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")))
 
 
-def candidate_links(reps: DataFrame, plan: Plan) -> DataFrame:
+def candidate_links(reps: DataFrame, plan: Plan, step: Scratch) -> DataFrame:
     """A forest of all pairs of representatives (rid, sig) within the signature distance."""
     keyed = _keyed(reps, plan)
-    found = written(_links(_dealt(keyed, "key", KEYED_GROWTH), plan, HOT_ROWS), "links")
+    found = step.written(_links(_dealt(keyed, "key", KEYED_GROWTH), plan, HOT_ROWS), "links")
     hot = found.where("b IS NULL").select(F.col("a").alias("key")).distinct()
     links = found.where("b IS NOT NULL")
     if hot.isEmpty():
@@ -246,7 +252,7 @@ def candidate_links(reps: DataFrame, plan: Plan) -> DataFrame:
     rows = keyed.join(hot, "key")
     sized = rows.join(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT_ROWS // 2)).alias("_blocks")), "key")
     cells = _cells(sized, "key", "_blocks", "member").select(F.col("cell").alias("key"), "member")
-    return links.union(written(_links(_dealt(cells, "key"), plan, None), "hotlinks"))
+    return links.union(step.written(_links(_dealt(cells, "key"), plan, None), "hotlinks"))
 
 
 def _confirmed(sizes: np.ndarray, flat: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -309,8 +315,8 @@ def _confirm(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, LINKS)
 
 
-def confirmed_links(docs: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
-    """A forest of the true links within families (node, component, n).
+def confirmed_links(docs: DataFrame, families: DataFrame, width: int, percent: int, step: Scratch) -> DataFrame:
+    """A forest of the true links within families (node, component, n, doc, d1, d2).
 
     A family within the block size is one cell.  A larger one is cut into blocks, and
     its smallest member, the hub, joins each of them: whoever is linked to the
@@ -321,17 +327,21 @@ def confirmed_links(docs: DataFrame, families: DataFrame, width: int, percent: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in _sets(batch, width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("doc_id"), batch.column("blocks"), sets], names=out.names)
+            sets = list(_sets(batch, width))
+            wanted = np.ones(len(sets), bool)  # another text of the same id has another set
+            for name, values in zip(("n", "d1", "d2"), _digests(sets), strict=True):
+                wanted &= batch.column(name).to_numpy(zero_copy_only=False) == values
+            arrays = [batch.column("family"), batch.column("rid"), batch.column("blocks"), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=out.names).filter(pa.array(wanted))
 
     blocks = families.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    wanted = families.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks")
-    sets = with_ids(docs, written(wanted, "families")).select("doc_id", "text", "family", "blocks").mapInArrow(run, out)
-    sets = written(sets, "sets").withColumn("_own", F.expr("pmod(xxhash64(rid), blocks)"))
+    wanted = families.join(blocks, "component").select(F.col("doc").alias("doc_id"), F.col("node").alias("rid"), "n", "d1", "d2", F.col("component").alias("family"), "blocks")
+    sets = with_ids(docs, step.written(wanted, "families")).select("text", "family", "rid", "blocks", "n", "d1", "d2").mapInArrow(run, out)
+    sets = step.written(sets, "sets").withColumn("_own", F.expr("pmod(xxhash64(rid), blocks)"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     hubs = sets.where("rid = family AND blocks > 1").withColumn("_in", every).where("_in <> _own")
     home = sets.withColumn("_in", F.col("_own")).unionByName(hubs)
-    first = written(_confirm(_dealt(home.select(F.xxhash64("family", "_in").alias("cell"), "rid", "members"), "cell"), percent), "confirmed")
+    first = step.written(_confirm(_dealt(home.select(F.xxhash64("family", "_in").alias("cell"), "rid", "members"), "cell"), percent), "confirmed")
     large = sets.where("blocks > 1")
     if large.isEmpty():
         return first
@@ -342,7 +352,7 @@ def confirmed_links(docs: DataFrame, families: DataFrame, width: int, percent: i
     some = strays.join(groups, "family").withColumn("_group", group).withColumn("_in", every)
     rest = large.join(groups, "family").withColumn("_in", F.col("_own")).withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1)))
     cells = some.select(F.xxhash64("family", "_group", "_in").alias("cell"), "rid", "members").union(rest.select(F.xxhash64("family", "_group", "_in").alias("cell"), "rid", "members"))
-    return first.union(written(_confirm(_dealt(cells, "cell"), percent), "strays"))
+    return first.union(step.written(_confirm(_dealt(cells, "cell"), percent), "strays"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,22 +362,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, plan: Pl
     similarity of at least percent/100 are linked; a component's id is its
     smallest doc_id, and that document is kept.
     """
-    plan = plan or Plan()
+    found = _labelled(docs, width, percent, plan, id_col, text_col)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, plan: Plan | None, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest, n, root (the component's number; null where the set is alone or empty) and component_id of every row."""
+    plan, spark = plan or Plan(), docs.sparkSession
     docs = narrow(docs, id_col, text_col)
     signed = written(signed_sets(docs, width, plan), "signed")
-    groups = written(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")), "groups")
-    families = connected_components(candidate_links(groups.select("rid", "sig"), plan))
-    families = written(families.join(groups.select(F.col("rid").alias("node"), "n"), "node"), "family")
-    links = confirmed_links(docs, families, width, percent)
-    merged = connected_components(links).withColumnRenamed("node", "rid")
-    named = groups.drop("sig").join(merged, "rid", "left").select("n", "d1", "d2", F.coalesce("component", "rid").alias("_c"))
-    component = F.coalesce("_c", "doc_id")
+    groups = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+    groups = written(groups.withColumn("rid", F.monotonically_increasing_id()), "groups")  # numbers are settled by writing
+    step = Scratch(spark)
+    nodes = connected_components(candidate_links(groups.select("rid", "sig"), plan, step))
+    families = step.written(nodes.join(groups.drop("sig").withColumnRenamed("rid", "node"), "node"), "family")
+    confirmed = connected_components(confirmed_links(docs, families, width, percent, step)).withColumnRenamed("node", "rid")
+    step.clear()
+    members = confirmed.join(groups.select("rid", "doc"), "rid")
+    least = members.groupBy("component").agg(F.min("doc").alias("_least"))
+    linked = members.join(least, "component").select("rid", "component", "_least")
+    named = groups.drop("sig").join(linked, "rid", "left").select("n", "d1", "d2", F.coalesce("component", "rid").alias("root"), F.coalesce("_least", "doc").alias("_c"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return signed.drop("sig").join(named, ["n", "d1", "d2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "digest", "n", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"), component.alias("component_id")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each near-duplicate component, the one of the smallest id."""
-    gone = near_duplicates(docs, width, percent, plan, id_col, text_col).where("NOT kept").select("doc_id")
-    return without_ids(docs, gone, id_col)
+    found = written(_labelled(docs, width, percent, plan, id_col, text_col).where("root IS NOT NULL").groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")), "roots")
+    keepers = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("keeper"), F.sum("copies").alias("rows")).where("rows > 1")
+    once = F.struct("doc_id", "digest") == F.col("keeper")
+    marks = found.join(keepers, "root").where(~once | (F.col("copies") > 1))
+    return without_rows(docs, marks.select("doc_id", "digest", once.alias("once")), F.xxhash64(F.col(text_col).cast("string")), id_col)

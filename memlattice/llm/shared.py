@@ -72,6 +72,27 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one step, which are removed together once the step's result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, scratch_path(spark, "step")
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        remove(self.spark, self.folder)
+
+
+def remove(spark: SparkSession, url: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(url)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def posix_path(url: str) -> str:
     """The mounted path of a shared folder; only file: URLs and plain paths have one."""
     if url.startswith("file:"):
@@ -83,9 +104,7 @@ def posix_path(url: str) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that `written` left in this session's shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, shared_root(spark))
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -1,29 +1,32 @@
 """SentencePiece encoding and decoding by streaming Viterbi over a public piece file.
 
-The best segmentation has the highest sum of piece scores.  `StreamingViterbi`
-takes characters as they come and keeps scores only of the last `longest`
-positions, the longest piece's length.  Whenever the backpointer paths of all those
-positions meet in one boundary, everything before it is settled: its ids are
-committed and the backpointers dropped.  Characters that no piece covers fall
-back to byte pieces at a fixed cost below the lowest score.
-
-In this file no piece has a word mark after another character, so each word begin
-is a boundary on every path.  Workers use that to keep the ids of words they have
-met (a bounded number) and run the Viterbi on new words only; the ids are the same as for
-the whole text at once.
+The best segmentation has the highest sum of piece scores.  A path's score at a
+position depends on scores of the last `longest` positions only, the longest
+piece's length, and as soon as the backpointer paths of all of them meet in one
+boundary, everything before it is settled: its ids are committed.  Characters that no
+piece covers fall back to byte pieces at a fixed cost below the lowest score.
+
+Two forms give the same ids.  `StreamingViterbi` takes one text's characters as they
+come, keeps that window and traces paths back until they meet.  `LaneViterbi` encodes
+whole columns: a trie walk over all positions at once finds every piece at every place; a
+boundary that no piece found spans is one that all paths pass, so the text is
+committed there, and the stretches in between advance side by side, one position a
+step.  It takes a block of characters at a time and carries what is not settled at
+its end over to the next; a stretch beyond `LONGEST_LANE` goes through
+`StreamingViterbi`.
 
 Decoding joins the pieces' bytes and turns word marks into spaces; a text
 comes back exactly unless it has the word mark (U+2581) itself.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 rows that repeat are encoded each; an empty table gives no rows; other columns are
-ignored; text length is bounded by memory for the text alone.
+ignored; text length is bounded by memory for the text alone.  Sums of scores are
+taken from the last boundary on; whole-number scores, as of this file, add exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -36,8 +39,8 @@ from memlattice.llm.packing import text_slices
 from memlattice.llm.shared import BOOL, LONG, STR, narrow, schema, ship
 
 MARK = "▁"
-#: Words in a generation of a worker's cache.
-CACHE_WORDS = 500_000
+#: Characters matched at once, and the longest stretch that is worked on side by side with others.
+BLOCK_CHARS, LONGEST_LANE = 1 << 18, 512
 #: Cost of an uncovered character below the lowest score.
 FALLBACK = 10.0
 
@@ -58,7 +61,7 @@ class Pieces:
         self.trie: dict = {}
         self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
-        self.longest, lowest, self.word_begins = 1, 0.0, True
+        self.longest, lowest = 1, 0.0
         for i in range(sp.get_piece_size()):
             text = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -75,7 +78,6 @@ class Pieces:
                 node[""] = (sp.get_score(i), i)
                 self.longest = max(self.longest, len(text))
                 lowest = min(lowest, sp.get_score(i))
-                self.word_begins &= MARK not in text.lstrip(MARK)
         self.fallback = lowest - FALLBACK
 
 
@@ -169,44 +171,201 @@ def stream_ids(parts: Iterable[str], pieces: Pieces) -> Iterator[int]:
         yield from state.finish()
 
 
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+class Automaton:
+    """The pieces' trie in arrays: transitions in a hash table of (node, character)."""
 
+    def __init__(self, pieces: Pieces):
+        nodes, keys, queue = 1, [], [(0, pieces.trie)]
+        piece_of, score_of, letters = {}, {}, {}
+        for node, children in queue:
+            for c, below in children.items():
+                if c == "":
+                    score_of[node], piece_of[node] = below
+                else:
+                    keys.append((node, letters.setdefault(c, len(letters) + 1), nodes))
+                    queue.append((nodes, below))
+                    nodes += 1
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in letters]] = list(letters.values())
+        self.letters = len(letters) + 1
+        table = np.array(keys, np.int64).reshape(-1, 3)
+        self.piece = np.full(nodes, -1, np.int32)
+        self.piece[list(piece_of)] = list(piece_of.values())
+        self.score = np.full(int(self.piece.max(initial=0)) + 2, -np.inf)  # the last one, at index -1, is no piece
+        self.score[list(piece_of.values())] = [score_of[n] for n in piece_of]
+        self.bits = max(int(4 * len(table)).bit_length(), 4)
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.child = np.zeros(1 << self.bits, np.int32)
+        left = np.arange(len(table))
+        key = table[:, 0] * self.letters + table[:, 1]
+        slot = self._slot(key)
+        while len(left):
+            free = self.keys[slot[left]] < 0
+            first = left[free][np.unique(slot[left][free], return_index=True)[1]]
+            self.keys[slot[first]], self.child[slot[first]] = key[first], table[first, 2]
+            left = np.setdiff1d(left, first)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The child of each node, 0 where there is none."""
+        key = node.astype(np.int64) * self.letters + code
+        slot = self._slot(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.child[slot], 0)
+        again = np.flatnonzero((found != key) & (found >= 0))
+        while len(again):
+            slot[again] = (slot[again] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot[again]]
+            hit = found == key[again]
+            out[again[hit]] = self.child[slot[again[hit]]]
+            again = again[~hit & (found >= 0)]
+        return out
+
+    def matches(self, codes: np.ndarray, size: int, longest: int) -> np.ndarray:
+        """(longest + 1, size) ids of the piece of each length that begins at each of the first `size` places; -1 where none does."""
+        out = np.full((longest + 1, size), -1, np.int32)
+        at, node = np.flatnonzero(codes[:size]), np.zeros(0, np.int32)
+        node = np.zeros(len(at), np.int32)
+        for length in range(1, longest + 1):
+            inside = at + length <= len(codes)
+            at, node = at[inside], node[inside]
+            node = self.step(node, codes[at + length - 1])
+            on = node > 0
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+            out[length, at] = self.piece[node]
+        return out
 
-class WordCoder:
-    """Ids of whole texts, word by word."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+class LaneViterbi:
+    """Ids of columns of texts, and their bytes again."""
+
+    def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.cache_words = cache_words
-
-    def _of(self, word: str) -> bytes:
-        """Ids of a word that is not in the young generation, which it joins."""
-        if len(self.cache) >= self.cache_words:
-            self.old, self.cache = self.cache, {}
-        ids = self.old.get(word)
-        if ids is None:
-            state = StreamingViterbi(self.pieces)
-            ids = np.array([*state.feed(word), *state.finish()], "<u2").tobytes()
-        self.cache[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u2")
-        marked = MARK + text.replace(" ", MARK)
-        words = _WORDS.findall(marked) if self.pieces.word_begins else [marked]
-        return np.frombuffer(b"".join([self.cache.get(w) or self._of(w) for w in words]), "<u2")
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        table = self.pieces.bytes_of
-        return b"".join([table[i] for i in ids.tolist()])[1:]
+        self.auto = Automaton(self.pieces)
+        sizes = np.array([len(b) for b in self.pieces.bytes_of], np.int64)
+        self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
+        self.flat = np.frombuffer(b"".join(self.pieces.bytes_of), np.uint8)
+        self.byte_ids = np.array(self.pieces.byte_ids, np.int32)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the total)."""
+        parts = [MARK + t.replace(" ", MARK) + "\0" if t else "" for t in texts]
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+        closing = ends[[bool(p) for p in parts]] - 1
+        codes = self.auto.code[points]
+        codes[closing] = 0  # no piece spans the end of a text
+        shown = np.ones(len(points), bool)
+        shown[closing] = False
+        found, where, at = [], [], 0
+        while at < len(codes):
+            ids, places, done = self._block(points, codes, shown, at)
+            found.append(ids)
+            where.append(places)
+            at = done
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        place = np.concatenate(where)
+        return np.concatenate(found), np.concatenate([[0], np.searchsorted(place, ends)])
+
+    def _block(self, points: np.ndarray, codes: np.ndarray, shown: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids settled from `base` on, their places, and up to where they are settled."""
+        longest, size = self.pieces.longest, min(BLOCK_CHARS, len(codes) - base)
+        piece = self.auto.matches(codes[base : base + size + longest], size, longest)
+        spans = np.zeros(size + longest + 1, np.int64)
+        for length in range(2, longest + 1):
+            begins = np.flatnonzero(piece[length] >= 0)
+            np.add.at(spans, begins + 1, 1) if len(begins) < 64 else spans.__iadd__(np.bincount(begins + 1, minlength=len(spans)))
+            np.add.at(spans, begins + length, -1) if len(begins) < 64 else spans.__isub__(np.bincount(begins + length, minlength=len(spans)))
+        cuts = np.flatnonzero(np.cumsum(spans)[: size + 1] == 0)  # boundaries that all paths pass; 0 is one
+        if len(cuts) == 1:
+            return self._alone(points, codes, shown, base)
+        starts, lens = cuts[:-1], np.diff(cuts)
+        long = np.flatnonzero(lens > LONGEST_LANE)
+        end = int(cuts[long[0]]) if len(long) else int(cuts[-1])
+        if end == 0:
+            return self._alone(points, codes, shown, base)
+        lanes = starts < end
+        ids, places = self._lanes(points[base : base + end], shown[base : base + end], piece, starts[lanes], lens[lanes])
+        return ids, places + base, base + end
+
+    def _lanes(self, points: np.ndarray, shown: np.ndarray, piece: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        longest, score = self.pieces.longest, self.auto.score
+        order = np.argsort(-lens, kind="stable")
+        starts, lens = starts[order], lens[order]
+        best, back = np.zeros(len(points) + 1), np.zeros(len(points) + 1, np.uint8)
+        open_ = np.searchsorted(-lens, -np.arange(1, int(lens[0]) + 1), side="right")  # lanes that have a t-th position
+        for t, n in enumerate(open_.tolist(), 1):
+            end = starts[:n] + t
+            top, own = None, None
+            for length in [*range(min(t, longest), 1, -1), 0, 1]:  # earlier starts win ties; 0 is the fallback
+                at = end - max(length, 1)
+                before = best[at] if t > max(length, 1) else 0.0
+                value = before + (score[piece[length, at]] if length else self.pieces.fallback)
+                if top is None:
+                    top, own = np.broadcast_to(value, (n,)).copy(), np.full(n, length, np.uint8)
+                else:
+                    higher = value > top
+                    top = np.where(higher, value, top)
+                    own[higher] = length
+            best[end], back[end] = top, own
+        stops = np.zeros(len(points) + 1, bool)
+        at, first = starts + lens, starts
+        while len(at):
+            stops[at] = True
+            at = at - np.maximum(back[at], 1)
+            on = at > first
+            at, first = at[on], first[on]
+        at = np.flatnonzero(stops)
+        length = back[at].astype(np.int64)
+        begins = at - np.maximum(length, 1)
+        seen = shown[begins]
+        return self._ids(points, piece, begins[seen], length[seen])
+
+    def _ids(self, points: np.ndarray, piece: np.ndarray, begins: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids at places; an uncovered character gives those of its bytes."""
+        bare = np.flatnonzero(length == 0)
+        ids = piece[length, begins]
+        if not len(bare):
+            return ids, begins
+        raw = ["".join(map(chr, (p,))).encode("utf-8", "surrogatepass") for p in points[begins[bare]].tolist()]
+        copies = np.ones(len(ids), np.int64)
+        copies[bare] = [len(r) for r in raw]
+        at = np.repeat(np.arange(len(ids)), copies)
+        out = ids[at]
+        out[length[at] == 0] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        return out, begins[at]
+
+    def _alone(self, points: np.ndarray, codes: np.ndarray, shown: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """One stretch without a boundary within reach: it streams on until one comes or the text ends."""
+        end = base + 1 + int(np.argmin(shown[base:])) if not shown[base:].all() else len(codes)
+        longest, state, ids, at = self.pieces.longest, StreamingViterbi(self.pieces), [], base
+        if not shown[base]:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), base + 1
+        end -= not shown[end - 1]
+        while at < end:
+            stop = min(at + 4 * longest, end)
+            ids += state.feed(points[at:stop].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"))
+            at = stop
+        ids += state.finish()
+        return np.array(ids, np.int32), np.full(len(ids), base), end
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, where each id's begin and the total), with the leading space of each text."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.begins[ids] - (ends - sizes), sizes)], np.concatenate([[0], ends])
 
 
 @lru_cache(maxsize=2)
-def coder(path: str) -> WordCoder:
-    return WordCoder(path)
+def coder(path: str) -> LaneViterbi:
+    return LaneViterbi(path)
 
 
 CODED = schema(doc_id=LONG, n_ids=LONG, ids_crc32=LONG, decoded_bytes=LONG, decoded_sha256=STR, round_trip=BOOL)
@@ -220,12 +379,14 @@ def encode_and_decode(docs: DataFrame, pieces: str | None = None, id_col: str =
         own = coder(path)
         for batch in batches:
             for lo, hi in text_slices(batch.column("text")):
-                rows = []
-                for doc, text in zip(batch.column("doc_id")[lo:hi].to_pylist(), batch.column("text")[lo:hi].to_pylist(), strict=True):
-                    ids = own.encode(text)
-                    back = own.decode(ids)
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    rows.append((doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(back), hashlib.sha256(back).hexdigest(), back == raw))
+                texts, rows = batch.column("text")[lo:hi].to_pylist(), []
+                ids, bounds = own.encode(texts)
+                raw, begins = own.decode(ids)
+                wide, data = ids.astype("<u4").tobytes(), raw.tobytes()
+                for doc, text, a, b in zip(batch.column("doc_id")[lo:hi].to_pylist(), texts, bounds.tolist(), bounds[1:].tolist(), strict=False):
+                    back = data[begins[a] + 1 : begins[b]] if b > a else b""
+                    same = back == (text or "").encode("utf-8", "surrogatepass")
+                    rows.append((doc, b - a, zlib.crc32(wide[4 * a : 4 * b]), len(back), hashlib.sha256(back).hexdigest(), same))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CODED_ARROW, strict=True)], names=CODED.names)
 
     ship(docs.sparkSession)

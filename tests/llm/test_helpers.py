@@ -5,22 +5,30 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from memlattice.llm import bytekernel as B
 from memlattice.llm.components import connected_components
-from memlattice.llm.membership import with_ids, without_ids
+from memlattice.llm.membership import with_ids, without_rows
 from memlattice.llm.wordbpe import WordBpe, default_vocabulary
 
 
 @pytest.mark.parametrize("buckets", [1, 64])
 def test_id_sets_are_exact_even_when_the_bitmap_is_full(spark, buckets):
-    docs = spark.range(3000).selectExpr("id AS doc_id", "id % 7 AS _own").union(spark.createDataFrame([(None, 1)], "doc_id long, _own long"))
-    ids = spark.range(0, 3000, 3).selectExpr("id AS doc_id")
-    left = {r.doc_id for r in without_ids(docs, ids, buckets=buckets).collect()}
-    assert left == {None, *(i for i in range(3000) if i % 3)}
+    docs = spark.range(3000).selectExpr("id AS doc_id", "id % 7 AS _own", "id % 5 AS _p", "'x' AS _maybe", "1 AS _row").union(spark.createDataFrame([(None, 1, 1, "x", 1)], "doc_id long, _own long, _p long, _maybe string, _row int"))
+    ids = spark.range(0, 3000, 3).selectExpr("id AS doc_id", "id % 7 AS digest", "false AS once")
+    kept = without_rows(docs, ids, F.col("_own"), buckets=buckets)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {None, *(i for i in range(3000) if i % 3)}
     assert {r.doc_id for r in with_ids(docs, ids, buckets=buckets).collect()} == set(range(0, 3000, 3))
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, "a", 9), (1, "a", 8), (1, "b", 7), (2, "b", 6), (None, "a", 5), (None, "a", 4)], "doc_id long, text string, _bits int")
+    marks = spark.createDataFrame([(1, "a", True), (2, "b", False), (None, "a", True)], "doc_id long, digest string, once boolean")
+    assert sorted(map(tuple, without_rows(docs, marks, F.col("text")).collect()), key=str) == sorted([(1, "a", 8), (1, "b", 7), (None, "a", 4)], key=str)
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -51,6 +52,24 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 1, True), (0, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True)]
 
 
+def test_exact_duplicates_go_by_row(spark):
+    df = spark.createDataFrame(
+        [(1, "a", 1), (2, "a", 2), (1, "b", 3), (3, "c", 5), (3, "c", 4), (None, "d", 6), (None, "d", 7), (5, None, 8), (5, "", 9), (6, "e", 0)], "doc_id long, text string, _p int"
+    )
+    got = exact_dedup.drop_exact_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(r._p for r in got.collect() if r.doc_id != 5) == [0, 2, 3, 4, 6]
+    assert [r.doc_id for r in got.collect()].count(5) == 1
+
+
+def test_whole_texts_are_hashed_for_survivors_only(docs):
+    """No plan that decides on duplicates hashes a text before its length and beginning were met twice."""
+    rows = exact_dedup.refined(docs.selectExpr("doc_id", "coalesce(text, '') AS _t"))
+    assert "sha2" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    plan = exact_dedup.equal_groups(rows.where("_close").selectExpr("doc_id", "sha2(encode(_t, 'UTF-8'), 256) AS _sha"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and "isnotnull(sha2" not in plan
+
+
 def test_exact_dedup_runs_no_python(docs):
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -105,6 +124,13 @@ def test_near_duplicates_in_blocks(docs, rows, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_duplicates_go_by_row(spark):
+    same, other = "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4", "p o i u y t r e w q"
+    rows = [(1, same, 1), (2, same + " 5", 2), (2, other, 3), (3, other, 4), (3, other, 5), (4, "", 6), (4, None, 7), (None, same, 8), (9, "x", 9), (9, "x", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _n int")
+    assert sorted(r._n for r in neardup.drop_near_duplicates(df, 5, 80).collect()) in ([1, 3, 6, 7, 8, 9], [1, 3, 6, 7, 8, 10])
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty, 2, 80).count() == 0
 
@@ -198,6 +224,69 @@ def test_language_identification(spark, empty):
     assert langid.identify(empty, langid.training_fold()).count() == 0
 
 
+def test_language_against_a_plain_model(spark):
+    """Counts, weights and the nearest centroid, letter by letter; held-out labels are never read."""
+    rows = _speech()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    settings = langid.Settings(dims=512, fit_rows=10_000)
+    fold = [zlib.crc32(str(i).encode()) % 3 != 1 for i, *_ in rows]
+    model = langid.fit(df.where(langid.training_fold()).where("lang IS NOT NULL AND text IS NOT NULL"), settings)
+
+    def counts(text):
+        raw = [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in (" " + text + " ").encode()]
+        cells = Counter()
+        for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+            if (a, b) != (32, 32) and (b, c) != (32, 32):
+                cells[((a << 16 | b << 8 | c) * 0x9E3779B1 % (1 << 32)) >> 23] += 1
+        return cells
+
+    learned = [counts(t) for (_, t, lang), own in zip(rows, fold, strict=True) if own and lang and t is not None]
+    frequency = Counter(cell for c in learned for cell in c)
+    idf = [math.log((1 + len(learned)) / (1 + frequency[k])) + 1 for k in range(512)]
+    assert np.allclose(model.idf, idf, rtol=1e-4)
+    got = {r.doc_id: r for r in langid.identify(df, langid.training_fold(), settings).collect()}
+    for i, t, _ in rows:
+        vector = np.zeros(512)
+        for cell, n in counts(t or "").items():
+            vector[cell] = math.log(1 + n) * idf[cell]
+        if vector.any():
+            cosine = model.centroids @ (vector / np.linalg.norm(vector))
+            assert abs(got[i].score - min(max(cosine.max(), 0), 1)) < 1e-4
+            assert cosine[[k for k, lang in enumerate(model.langs) if lang == got[i].lang_pred]].max() > cosine.max() - 1e-5
+    other = [(i, t, lang if own else "xx") for (i, t, lang), own in zip(rows, fold, strict=True)]
+    again = langid.identify(spark.createDataFrame(other, "doc_id long, text string, lang string"), langid.training_fold(), settings)
+    assert {r.doc_id: (r.lang_pred, r.score) for r in again.collect()} == {i: (r.lang_pred, r.score) for i, r in got.items()}
+
+
+def test_language_rejects_by_distance(spark):
+    """Gibberish of any length goes, short and repeating texts of a learned language stay."""
+    rng = random.Random(4)
+    gibberish = lambda n, letters: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n))
+    rows = _speech()
+    junk = [(10_000 + i, gibberish(n, a), None) for i, (n, a) in enumerate((n, a) for n in (50, 500, 2000) for a in ("bcdfghjklmnpqrstvwxz", "абвгдежзийклмнопрсту", "abcdefghijklmnopqrstuvwxyz"))]
+    short = [(20_000 + i, t, None) for i, t in enumerate([rows[0][1].split()[0], " ".join(rows[1][1].split()[:2]), "a", (rows[0][1].split()[0] + " ") * 800])]
+    df = spark.createDataFrame(rows + junk + short, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rejected for r in langid.identify(df, langid.training_fold()).collect()}
+    assert all(got[i] for i, *_ in junk)
+    assert not any(got[i] for i, t, _ in rows if t) and not any(got[i] for i, *_ in short[:2] + short[3:])
+
+
+def test_language_drops_by_row(spark):
+    rows = [(i, t, lang) for i, t, lang in _speech() if t]
+    df = spark.createDataFrame([*rows, (rows[0][0], "12 34", None), (rows[0][0], "12 34", None), (None, "56", None), (None, rows[1][1], None)], "doc_id long, text string, lang string")
+    kept = Counter(r.text for r in langid.drop_unidentified(df).collect())
+    assert not {"12 34", "56"} & set(kept) and sum(kept.values()) == len(rows) + 1
+
+
+def _speech():
+    """Rows of two invented languages and a few without text."""
+    rng = random.Random(8)
+    syllables = {"en": ["the", "shing", "wor", "ath", "ing"], "fr": ["lou", "eau", "ment", "que", "oir"]}
+    word = lambda lang: "".join(rng.choices(syllables[lang], k=rng.randint(1, 3)))
+    rows = [(i, " ".join(word(lang) for _ in range(rng.randint(1, 200))), lang) for i, lang in enumerate(["en", "fr"] * 150)]
+    return [*rows, (900, None, "en"), (901, "", "fr"), (902, "the shing", None)]
+
+
 def test_language_needs_training_rows(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.rejected) for r in langid.identify(df, langid.training_fold()).collect()] == [("und", True)]
@@ -263,8 +352,8 @@ def test_kneser_ney_without_text(empty, spark):
 # --- 7: pieces
 
 
-def test_streaming_viterbi(docs, rows, empty):
-    coder = viterbi_pieces.WordCoder(viterbi_pieces.default_pieces(), cache_words=50)
+def test_streaming_viterbi(docs, rows, empty, monkeypatch):
+    coder = viterbi_pieces.LaneViterbi(viterbi_pieces.default_pieces())
     p = coder.pieces
 
     def whole(text):
@@ -290,13 +379,25 @@ def test_streaming_viterbi(docs, rows, empty):
     got = {r.doc_id: r for r in viterbi_pieces.encode_and_decode(docs).collect()}
     for i, t, *_ in rows:
         want = whole(t or "")
-        assert coder.encode(t).tolist() == want
+        assert coder.encode([t])[0].tolist() == want
         text = t or ""
         assert list(viterbi_pieces.stream_ids([text[:3], text[3:10], text[10:]], p)) == want
         r = got[i]
         assert (r.n_ids, r.round_trip, r.decoded_bytes) == (len(want), True, len(text.encode()))
         assert r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
     assert viterbi_pieces.encode_and_decode(empty).count() == 0
+    unspaced = [(t or "").replace(" ", "") for _, t, *_ in rows] + ["nul\0 in it", "ab\u2581cd"]
+    for block, lane in ((1 << 18, 512), (500, 40), (64, 8)):
+        monkeypatch.setattr(viterbi_pieces, "BLOCK_CHARS", block)
+        monkeypatch.setattr(viterbi_pieces, "LONGEST_LANE", lane)
+        ids, at = coder.encode([None, *unspaced, ""])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[], *map(whole, unspaced), []]
+
+
+def test_viterbi_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "c")], "doc_id long, text string")
+    got = viterbi_pieces.encode_and_decode(df).collect()
+    assert len(got) == 4 and len({r.ids_crc32 for r in got}) == 2
 
 
 def test_streaming_viterbi_keeps_a_short_window():
