@@ -1,29 +1,32 @@
-"""Interpolated modified Kneser-Ney bigram model over the whole corpus.
+"""Interpolated modified Kneser-Ney n-gram model over the whole corpus, of order three or two.
 
-Counting runs in Spark; the model is a folder of sorted hash arrays that the
+Counting runs in Spark; the model is a folder of sorted arrays that the
 scoring tasks memory-map:
 
 * words-<b>: word hashes in ascending order, bucketed by their top bits, with
   counts; a word's id is its rank over all buckets;
-* pairs-<b>: (context id << 32 | word id) in ascending order with counts, in
-  the context's bucket, and per context the numbers of words seen once, twice
-  and more often after it;
-* after-<b>: per word, the number of different contexts it follows.
+* <k>-<b>, for orders k from 2 up: contexts (the ids of k - 1 words) in ascending order
+  of a one-to-one hash, in the bucket of another, each with the sum of its counts, the numbers of
+  words counted once and twice after it, and its followers' ids, ascending, with counts;
+  contexts of one follower that was counted once are kept apart, with that id only;
+* after-<b>: per word, the number of different words it follows.
 
-Tasks combine counts before anything is shuffled: pair counts travel as sorted,
-delta-coded blobs per bucket and are merged by streaming.  Files are written
-under a name of their own and renamed, so a repeated task leaves the same model.
+Counts of the highest order are occurrences; a lower order counts the different words
+before a sequence, but occurrences where the sequence begins a text, as nothing is before it.
+
+Tasks combine counts before anything is shuffled: they travel as sorted,
+delta-coded blobs per bucket and are merged by streaming.  There are as many buckets as
+64 MB parts of input, up to 2^18.  Files are written under a name of their own and
+renamed, so a repeated task leaves the same model.
 
 A text is its words (bytes other than space and 0x09-0x0D, A-Z lower-cased)
-and one end token.  With c pair counts, D the modified Kneser-Ney discounts and
-a the continuation counts,
+and one end token.  With c the counts of an order, h the context and h' the same
+without its first word, D the modified Kneser-Ney discounts of the order,
 
-    p(w|v) = max(c(v,w) - D(c(v,w)), 0) / c(v) + g(v) p1(w)
-    p1(w)  = max(a(w) - D'(a(w)), 0) / A + g' / (V + 1)
+    p(w|h) = max(c(h,w) - D(c(h,w)), 0) / c(h) + g(h) p(w|h')
+    p(w)   = max(a(w) - D'(a(w)), 0) / A + g' / (V + 1)
 
-and a context never seen leaves p1.  The order is two: on these texts nearly every
-trigram is new, so a third order would cost the input's size again in shuffle
-and storage for hardly any hit.
+and a context never seen leaves p(w|h').
 
 Defined results: a null or empty text is the end token alone; rows that repeat are
 scored (and learned) each; without training text every probability is 1 / (V + 1);
@@ -35,16 +38,17 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlattice.llm.bytekernel import row_blocks, text_bytes, word_hashes
+from memlattice.llm.bytekernel import mix64, row_blocks, text_bytes, word_hashes
 from memlattice.llm.shared import BIN, BOOL, DBL, INT, LONG, partitions_for, posix_path, schema, scratch_path, ship
 
 #: Hashes of the end token and of the beginning of a text; no word hash is likely to equal them.
@@ -54,8 +58,8 @@ GATHER = 1 << 21
 
 
 def buckets_for(parts: int) -> int:
-    """A power of two, as many files as there are input partitions, 16 to 4096."""
-    return 1 << min(12, max(4, (parts - 1).bit_length()))
+    """A power of two, as many as there are input partitions, from 16 to 2^18."""
+    return 1 << min(18, max(4, (parts - 1).bit_length()))
 
 
 def tokens_of(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -82,8 +86,113 @@ def _save(path: str, **arrays: np.ndarray) -> None:
 
 
 def _map(path: str, name: str) -> np.ndarray:
-    values = np.load(f"{path}.{name}.npy", mmap_mode="r")
-    return values
+    return np.load(f"{path}.{name}.npy", mmap_mode="r").view(np.ndarray)  # mapped still, with plain indexing
+
+
+class Counts:
+    """Counts in a byte each; larger ones stand in a short list of places and values."""
+
+    def __init__(self, path: str, name: str):
+        self.small, self.at, self.large = _map(path, name), *(_map(path, f"{name}-{x}") for x in ("at", "large"))
+
+    @staticmethod
+    def arrays(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+        at = np.flatnonzero(values >= 255)
+        return {name: np.minimum(values, 255).astype(np.uint8), f"{name}-at": at, f"{name}-large": values[at].astype(np.int64)}
+
+    def __getitem__(self, index: np.ndarray) -> np.ndarray:
+        out = self.small[index].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            out[big] = self.large[np.searchsorted(self.at, index[big])]
+        return out
+
+
+class Ids:
+    """Word ids in three bytes each, or four where the vocabulary is that large."""
+
+    def __init__(self, path: str, name: str):
+        self.raw = _map(path, name)
+
+    @staticmethod
+    def arrays(name: str, values: np.ndarray, vocabulary: int) -> dict[str, np.ndarray]:
+        wide = values.astype("<u4")
+        return {name: wide if vocabulary >= 1 << 24 else np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 4)[:, :3])}
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def __getitem__(self, index: np.ndarray) -> np.ndarray:
+        found = self.raw[index]
+        if found.ndim == 1:
+            return found
+        return found[:, 0] | (found[:, 1].astype(np.uint32) << np.uint32(8)) | (found[:, 2].astype(np.uint32) << np.uint32(16))
+
+
+def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted value in its own ascending stretch of `values`; -1 where it is not."""
+    if not len(values):
+        return np.full(len(wanted), -1)
+    out = np.full(len(wanted), -1)
+    open_ = np.flatnonzero(low < high)
+    low, high, wanted = low[open_], high[open_], wanted[open_]
+    while len(open_):
+        middle = (low + high) >> 1
+        found = values[middle]
+        hit = found == wanted
+        out[open_[hit]] = middle[hit]
+        less = found < wanted
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        on = np.flatnonzero((low < high) & ~hit)
+        open_, low, high, wanted = open_[on], low[on], high[on], wanted[on]
+    return out
+
+
+def _scattered(contexts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """High and low part of a one-to-one hash of each context: 32 + 16 bits, or 32 + 32 for vocabularies of 2^24 ids or more."""
+    if vocabulary >= (1 << 24) - 1:
+        x = mix64(contexts)
+        return (x >> np.uint64(32)).astype(np.uint32), x.astype(np.uint32)
+    mask, half = np.uint64((1 << 48) - 1), np.uint64(24)
+    x = ((contexts >> np.uint64(32)) << half) | (contexts & np.uint64(0xFFFFFF))
+    for odd in (0x9E3779B97F4B, 0xC2B2AE3D27D5):
+        x = ((x ^ (x >> half)) * np.uint64(odd)) & mask
+    x ^= x >> half
+    return (x >> np.uint64(16)).astype(np.uint32), x.astype(np.uint16)
+
+
+class Contexts:
+    """Contexts sorted by their one-to-one hash."""
+
+    def __init__(self, path: str, name: str):
+        self.high, self.low = _map(path, name), _map(path, f"{name}-low")
+
+    @staticmethod
+    def arrays(name: str, contexts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The order they stand in, and their arrays."""
+        high, low = _scattered(contexts, vocabulary)
+        order = np.lexsort((low, high))
+        return order, {name: high[order], f"{name}-low": low[order]}
+
+    def find(self, contexts: np.ndarray, vocabulary: int) -> np.ndarray:
+        """Place of each context; -1 where it is not."""
+        high, low = _scattered(contexts, vocabulary)
+        out = np.full(len(high), -1)
+        if not len(self.high):
+            return out
+        order = np.argsort(high)  # neighbours are looked up one after another
+        high, low = high[order], low[order]
+        at = np.searchsorted(self.high, high)
+        at[at == len(self.high)] = 0
+        left = np.flatnonzero(self.high[at] == high)
+        while len(left):
+            place = at[left]
+            hit = (self.high[place] == high[left]) & (self.low[place] == low[left])
+            out[order[left[hit]]] = place[hit]
+            left = left[~hit & (place + 1 < len(self.high))]
+            at[left] += 1
+            left = left[self.high[at[left]] == high[left]]
+        return out
 
 
 def _packed(values: np.ndarray, counts: np.ndarray) -> bytes:
@@ -118,6 +227,10 @@ def _merged(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return v[first], (np.add.reduceat(c, first) if len(v) else c)
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _merged([v for v, _ in parts], [c for _, c in parts])
+
+
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from the numbers of entries counted 1, 2, 3 and 4 times.
 
@@ -142,9 +255,8 @@ class Model:
     base: tuple[int, ...]
     tokens: int
     vocabulary: int
-    texts: int
-    pair_discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
-    word_discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
+    order: int = 3
+    discounts: tuple[tuple[float, float, float], ...] = ()  # of words, pairs, ...
     contexts_total: int = 0
     spread: float = 1.0
 
@@ -152,20 +264,33 @@ class Model:
         return f"{self.folder}/{kind}-{bucket}"
 
 
-@lru_cache(maxsize=2)
-def _words(folder: str, bits: int) -> list[np.ndarray]:
-    return [_map(f"{folder}/words-{b}", "hash") for b in range(1 << bits)]
+#: Buckets whose files a worker keeps open at once.
+OPEN_BUCKETS = 1 << 12
+_FORMS = {"count": Counts, "total": Counts, "once": Counts, "twice": Counts, "word": Ids, "follower": Ids, "context": Contexts, "lone": Contexts}
+
+
+@lru_cache(maxsize=OPEN_BUCKETS)
+def _opened_files(path: str, names: tuple[str, ...]) -> tuple | None:
+    return tuple(_FORMS.get(n, _map)(path, n) for n in names) if os.path.exists(f"{path}.{names[0]}.npy") else None
+
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of runs of equal values."""
+    if not len(sorted_values):
+        return
+    cut = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])).tolist()
+    for lo, hi in zip(cut, [*cut[1:], len(sorted_values)], strict=True):
+        yield int(sorted_values[lo]), lo, hi
 
 
 def word_ids(hashes: np.ndarray, model: Model) -> np.ndarray:
     """Ranks of ascending distinct hashes in the vocabulary; -1 where unknown."""
-    files = _words(model.folder, model.bits)
     out = np.full(len(hashes), -1, np.int64)
-    cut = np.searchsorted(hashes, np.arange(1 << model.bits, dtype=np.uint64) << np.uint64(64 - model.bits)).tolist() + [len(hashes)]
-    for b, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
-        if hi > lo and len(files[b]):
-            at = np.minimum(np.searchsorted(files[b], hashes[lo:hi]), len(files[b]) - 1)
-            out[lo:hi] = np.where(files[b][at] == hashes[lo:hi], at + model.base[b], -1)
+    for b, lo, hi in _runs(hashes >> np.uint64(64 - model.bits)):
+        files = _opened_files(model.file("words", b), ("hash",))
+        if files is not None:
+            at = np.minimum(np.searchsorted(files[0], hashes[lo:hi]), len(files[0]) - 1)
+            out[lo:hi] = np.where(files[0][at] == hashes[lo:hi], at + model.base[b], -1)
     return out
 
 
@@ -175,226 +300,325 @@ def _block_ids(tokens: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray
     return distinct, word_ids(distinct, model), where
 
 
-def _contexts(ids: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[starts[:-1]] = begin
-    return before
+def _contexts(ids: np.ndarray, starts: np.ndarray, begin: int, order: int) -> np.ndarray:
+    """The context of each token in 64 bits; -1 where it has an unknown word."""
+    one = np.empty_like(ids)
+    one[1:] = ids[:-1]
+    one[starts[:-1]] = begin
+    if order == 2:
+        return one
+    two = np.empty_like(ids)
+    two[1:] = one[:-1]
+    two[starts[:-1]] = begin
+    return np.where((one >= 0) & (two >= 0), (two << 32) | one, -1)
+
+
+def bucket_of(contexts: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(contexts.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-WORDS = schema(hash=LONG, n=LONG)
+WORDS = schema(bucket=INT, blob=BIN)
 
 
 def _unigrams(train: DataFrame, bits: int, folder: str) -> tuple[tuple[int, ...], int, int]:
+    """Write the words of each bucket; their first ids, and the numbers of tokens and words."""
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values: list[np.ndarray] = []
         counts: list[np.ndarray] = []
+        held = 0
+
+        def send() -> pa.RecordBatch:
+            v, c = _merged(values, counts)
+            cut = np.searchsorted(v, edges).tolist() + [len(v)]
+            parts = [(b, _packed(v[lo:hi], c[lo:hi])) for b, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=WORDS.names)
+
         for batch in batches:
             for _, _, tokens, _ in tokens_of(batch.column("text")):
                 v, c = np.unique(tokens, return_counts=True)
                 values.append(v)
                 counts.append(c)
-                if sum(map(len, values)) > GATHER:
+                held += len(v)
+                if held > GATHER:
                     v, c = _merged(values, counts)
-                    values, counts = [v], [c]
-                    if len(v) > GATHER // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c)], names=WORDS.names)
-                        values, counts = [], []
+                    values, counts, held = [v], [c], len(v)
+                    if held > GATHER // 2:
+                        yield send()
+                        values, counts, held = [], [], 0
         if values:
-            v, c = _merged(values, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c)], names=WORDS.names)
+            yield send()
 
     done = schema(bucket=INT, words=LONG, tokens=LONG)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts = None, []
-
-        def close() -> pa.RecordBatch:
-            h = np.concatenate([p[0] for p in parts])
-            n = np.concatenate([p[1] for p in parts])
-            order = np.argsort(h)
-            _save(f"{folder}/words-{bucket}", hash=h[order], count=n[order])
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(h)]), pa.array([int(n.sum())])], names=done.names)
+        for bucket, (h, n) in _merged_blobs(batches, _unpacked, _added):
+            _save(f"{folder}/words-{bucket}", hash=h, **Counts.arrays("count", n))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(h)]), pa.array([int(n.sum())])], names=done.names)
 
-        for batch in batches:
-            b = batch.column("bucket").to_numpy(zero_copy_only=False)
-            h = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
-            n = batch.column("n").to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
-            for lo, hi in zip(cut, [*cut[1:], len(b)], strict=True):
-                if bucket is not None and b[lo] != bucket:
-                    yield close()
-                    parts = []
-                bucket = int(b[lo])
-                parts.append((h[lo:hi], n[lo:hi]))
-        if bucket is not None:
-            yield close()
-
-    counted = train.select("text").mapInArrow(count, WORDS).groupBy("hash").agg(F.sum("n").alias("n"))
-    dealt = counted.withColumn("bucket", F.shiftrightunsigned("hash", 64 - bits).cast("int")).repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    dealt = train.select("text").mapInArrow(count, WORDS).repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
     sizes = {r["bucket"]: (r["words"], r["tokens"]) for r in dealt.mapInArrow(save, done).collect()}  # a row per bucket
-    for b in range(1 << bits):
-        if b not in sizes:
-            _save(f"{folder}/words-{b}", hash=np.zeros(0, np.uint64), count=np.zeros(0, np.int64))
     words = [sizes.get(b, (0, 0))[0] for b in range(1 << bits)]
     base = tuple(int(x) for x in np.concatenate([[0], np.cumsum(words)[:-1]]))
     return base, sum(t for _, t in sizes.values()), sum(words)
 
 
-BLOBS = schema(bucket=INT, blob=BIN)
+#: Blobs by bucket; rows with a level hold that level's counts of counts instead.
+BLOBS = schema(bucket=INT, blob=BIN, level=INT, n1=LONG, n2=LONG, n3=LONG, n4=LONG, more=LONG, entries=LONG)
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # contexts (uint64), words (uint32), counts, sorted by both
+
+
+def _rows(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    none = pa.nulls(len(blobs), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary()), none.cast(pa.int32()), *[none] * 6], names=BLOBS.names)
+
+
+def _told(level: int, counts: np.ndarray) -> pa.RecordBatch:
+    """Numbers of entries counted 1, 2, 3 and 4 times, 3 or more times, and all."""
+    values = [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts >= 3).sum()), len(counts)]
+    return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([level], pa.int32()), *(pa.array([v]) for v in values)], names=BLOBS.names)
+
 
+def _combined(parts: list[Entries]) -> Entries:
+    """Entries of several sorted or unsorted parts, equal ones added."""
+    context, word, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((word, context))
+    context, word, count = context[order], word[order], count[order]
+    if not len(context):
+        return context, word, count
+    first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
+    return context[first], word[first], np.add.reduceat(count, first)
 
-def _bucket_rows(values: np.ndarray, counts: np.ndarray, ids: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blobs by the bucket that `ids` (ascending) fall into."""
-    cut = np.searchsorted(ids, base).tolist() + [len(ids)]
-    rows = [(b, _packed(values[lo:hi], counts[lo:hi])) for b, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=BLOBS.names)
 
+def _numbers(values: np.ndarray) -> bytes:
+    """Unsigned numbers in byte planes; planes of nothing but zeros are left out."""
+    wide = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = [p for p in range(8) if wide[p].any()]
+    return bytes([len(used), *used]) + wide[used].tobytes()
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, values, counts) of blobs sorted by bucket, merged as they come."""
-    bucket, values, counts, size = None, [], [], 0
+
+def _parsed(raw: memoryview, at: int, n: int) -> tuple[np.ndarray, int]:
+    used = list(raw[at + 1 : at + 1 + raw[at]])
+    at += 1 + len(used)
+    planes = np.zeros((8, n), np.uint8)
+    planes[used] = np.frombuffer(raw, np.uint8, n * len(used), at).reshape(len(used), n)
+    return np.ascontiguousarray(planes.T).view("<u8")[:, 0], at + n * len(used)
+
+
+def _blob(entries: Entries) -> bytes:
+    context, word, count = entries
+    first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    heads = context[first]
+    step = np.diff(word.astype(np.int64), prepend=0)
+    step[first] = word[first]
+    sizes = np.diff(np.append(first, len(word)))
+    raw = np.array([len(heads), len(word)], "<u4").tobytes() + b"".join(map(_numbers, (np.diff(heads, prepend=np.uint64(0)), sizes, step, count)))
+    return zlib.compress(raw, 1)
+
+
+def _opened(blob: bytes) -> Entries:
+    raw = memoryview(zlib.decompress(blob))
+    n, m = (int(x) for x in np.frombuffer(raw, "<u4", 2))
+    heads, at = _parsed(raw, 8, n)
+    sizes, at = _parsed(raw, at, n)
+    step, at = _parsed(raw, at, m)
+    count, _ = _parsed(raw, at, m)
+    heads, sizes = np.cumsum(heads, dtype=np.uint64), sizes.astype(np.int64)
+    total = np.cumsum(step.astype(np.int64))
+    before = (np.cumsum(sizes) - sizes).astype(np.int64)
+    word = total - np.repeat(total[before] - step[before].astype(np.int64), sizes)
+    return np.repeat(heads, sizes), word.astype(np.uint32), count.astype(np.int64)
+
+
+def _by_bucket(entries: Entries, bits: int) -> pa.RecordBatch | None:
+    context, word, count = entries
+    if not len(context):
+        return None
+    bucket = bucket_of(context, bits)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(bucket)]
+    parts = [(int(bucket[lo]), _blob(tuple(x[order[lo:hi]] for x in entries))) for lo, hi in zip(cut, cut[1:], strict=False)]
+    return _rows(parts)
+
+
+def _merged_blobs(batches: Iterator[pa.RecordBatch], opened: Callable, combined: Callable) -> Iterator[pa.RecordBatch | tuple[int, tuple]]:
+    """(bucket, what its blobs combine to) of rows sorted by bucket, merged as they come; rows with a level pass."""
+    bucket, parts, size = None, [], 0
     for batch in batches:
+        if "level" in batch.schema.names:
+            told = batch.filter(pc.is_valid(batch.column("level")))
+            if len(told):
+                yield told
         for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+            if not blob.is_valid:
+                continue
             if b != bucket:
                 if bucket is not None:
-                    yield bucket, *_merged(values, counts)
-                bucket, values, counts, size = b, [], [], 0
-            v, c = _unpacked(blob.as_py())
-            values.append(v)
-            counts.append(c)
-            size += len(v)
-            if size > 2 * len(values[0]) + GATHER:
-                v, c = _merged(values, counts)
-                values, counts, size = [v], [c], len(v)
+                    yield bucket, combined(parts)
+                bucket, parts, size = b, [], 0
+            parts.append(opened(blob.as_py()))
+            size += len(parts[-1][0])
+            if size > 2 * len(parts[0][0]) + GATHER:
+                parts = [combined(parts)]
+                size = len(parts[0][0])
     if bucket is not None:
-        yield bucket, *_merged(values, counts)
+        yield bucket, combined(parts)
 
 
-def _pairs(train: DataFrame, model: Model) -> tuple[list[int], list[int], int, int]:
-    """Write pairs and continuation counts; returns counts of counts 1-4 of both and totals."""
-    begin, size = model.vocabulary, model.vocabulary + 1
-    base = np.array(model.base, np.uint64)
-    low = np.uint64(0xFFFFFFFF)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        held = 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            v, c = _merged(values, counts)
-            yield from _bucket_rows(v, c, v >> np.uint64(32), base)
+def _gathered(train: DataFrame, model: Model) -> DataFrame:
+    """Counts of the highest order, by bucket, combined within each task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for _, _, tokens, starts in tokens_of(batch.column("text")):
                 _, ids, where = _block_ids(tokens, model)
                 w = ids[where]
-                v, c = np.unique((_contexts(w, starts, begin).astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_counts=True)
-                values.append(v)
-                counts.append(c)
-                held += len(v)
+                heads, at = np.unique(_contexts(w, starts, model.vocabulary, model.order).astype(np.uint64), return_inverse=True)
+                key, count = np.unique((at.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_counts=True)
+                parts.append((heads[(key >> np.uint64(32)).astype(np.int64)], (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), count))
+                held += len(key)
                 if held > GATHER:
-                    yield from send()
-                    values, counts, held = [], [], 0
-        if values:
-            yield from send()
-
-    stats = schema(bucket=INT, blob=BIN, n1=LONG, n2=LONG, n3=LONG, n4=LONG, pairs=LONG)
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, v, c in _grouped(batches):
-            first = int(base[bucket])
-            last = int(base[bucket + 1]) if bucket + 1 < len(base) else size
-            context = (v >> np.uint64(32)).astype(np.int64) - first
-            n = last - first
-            kinds = [np.bincount(context[c == 1], minlength=n), np.bincount(context[c == 2], minlength=n), np.bincount(context[c >= 3], minlength=n)]
-            _save(f"{model.folder}/pairs-{bucket}", key=v, count=np.minimum(c, 0xFFFFFFFF).astype(np.uint32), kinds=np.stack(kinds, axis=1).astype(np.uint32))
-            words, times = np.unique(v & low, return_counts=True)
-            parts = list(_bucket_rows(words, times, words, base))
-            for part in parts or [pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=BLOBS.names)]:
-                zero = np.zeros((5, len(part)), np.int64)
-                if part is parts[0]:
-                    zero[:, 0] = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [len(v)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(z) for z in zero)], names=stats.names)
-
-    done = schema(n1=LONG, n2=LONG, n3=LONG, n4=LONG, pairs=LONG, a1=LONG, a2=LONG, a3=LONG, a4=LONG, a_more=LONG, a_words=LONG)
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(5, np.int64)
-
-        def seen() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, k in enumerate(("n1", "n2", "n3", "n4", "pairs")):
-                    totals[i] += int(batch.column(k).to_numpy(zero_copy_only=False).sum())
-                yield batch
-
-        a = np.zeros(6, np.int64)
-        for bucket, v, c in _grouped(seen()):
-            first = int(base[bucket])
-            last = int(base[bucket + 1]) if bucket + 1 < len(base) else model.vocabulary
-            values = np.zeros(last - first, np.uint32)
-            values[v.astype(np.int64) - first] = c
-            _save(f"{model.folder}/after-{bucket}", count=values)
-            a += [int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum()), len(c)]
-        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (*totals, *a)], names=done.names)
-
-    buckets = 1 << model.bits
-    blobs = train.select("text").mapInArrow(gather, BLOBS).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(store, stats)
-    rows = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(follow, done).agg(*(F.sum(c).alias(c) for c in done.names)).first()
-    get = lambda *names: [int(rows[n] or 0) for n in names]
-    return get("n1", "n2", "n3", "n4"), get("a1", "a2", "a3", "a4"), get("pairs")[0], get("a_more")[0]
-
-
-def train_model(train: DataFrame, folder_url: str) -> Model:
+                    yield _by_bucket(_combined(parts), model.bits)
+                    parts, held = [], 0
+        if parts and (rows := _by_bucket(_combined(parts), model.bits)) is not None:
+            yield rows
+
+    return train.select("text").mapInArrow(run, BLOBS)
+
+
+def _stored(blobs: DataFrame, model: Model, level: int) -> DataFrame:
+    """Write the arrays of a level; rows are blobs of the level below and counts of counts."""
+    base, begin = np.array(model.base, np.uint64), np.uint64(model.vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _merged_blobs(batches, _opened, _combined):
+            if isinstance(found, pa.RecordBatch):
+                yield found
+                continue
+            bucket, (context, word, count) = found
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            sizes = np.diff(np.append(first, len(word)))
+            single = (sizes == 1) & (count[first] == 1)
+            lone, heads = first[single], first[~single]
+            own, arrays = Contexts.arrays("lone", context[lone], model.vocabulary)
+            _save(model.file(level, bucket), **arrays, **Ids.arrays("follower", word[lone][own], model.vocabulary))
+            own, arrays = Contexts.arrays("context", context[heads], model.vocabulary)
+            heads, sizes = heads[own], sizes[~single][own]
+            start = np.cumsum(np.append(0, sizes))
+            at = np.arange(start[-1]) + np.repeat(heads - start[:-1], sizes)
+            own_word, own_count = word[at], count[at]
+            sums = [np.add.reduceat(x, start[:-1]) if len(heads) else np.zeros(0, np.int64) for x in (own_count, (own_count == 1).astype(np.int64), (own_count == 2).astype(np.int64))]
+            named = {k: v for name, x in zip(("total", "once", "twice", "count"), (*sums, own_count), strict=True) for k, v in Counts.arrays(name, x).items()}
+            _save(model.file(level, bucket), **arrays, start=start.astype(np.uint32 if len(own_word) < 1 << 32 else np.int64), **Ids.arrays("word", own_word, model.vocabulary), **named)
+            yield _told(level, count)
+            if level > 2:
+                shorter = context & np.uint64(0xFFFFFFFF)
+                rows = _by_bucket(_combined([(shorter, word, np.where(shorter == begin, count, 1))]), model.bits)
+                if rows is not None:
+                    yield rows
+            else:
+                values, times = np.unique(word, return_counts=True)
+                cut = np.searchsorted(values, base).tolist() + [len(values)]
+                parts = [(b, _packed(values[lo:hi].astype(np.uint64), times[lo:hi])) for b, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
+                yield _rows(parts)
+
+    return _dealt(blobs, model).mapInArrow(run, BLOBS)
+
+
+def _followed(blobs: DataFrame, model: Model) -> DataFrame:
+    """Write how many different words each word follows; rows are counts of counts of all levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _merged_blobs(batches, _unpacked, _added):
+            if isinstance(found, pa.RecordBatch):
+                yield found
+                continue
+            bucket, (values, counts) = found
+            last = model.base[bucket + 1] if bucket + 1 < len(model.base) else model.vocabulary
+            after = np.zeros(last - model.base[bucket], np.int64)
+            after[values.astype(np.int64) - model.base[bucket]] = counts
+            _save(model.file("after", bucket), **Counts.arrays("count", after))
+            yield _told(1, counts)
+
+    return _dealt(blobs, model).mapInArrow(run, BLOBS)
+
+
+def _dealt(blobs: DataFrame, model: Model) -> DataFrame:
+    return blobs.repartition(1 << model.bits, "bucket").sortWithinPartitions("bucket")
+
+
+def train_model(train: DataFrame, folder_url: str, order: int = 3) -> Model:
     """Count the texts of `train` (column text) and write the model into a mounted shared folder."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3: a context is at most two 32-bit ids")
     spark = train.sparkSession
     ship(spark)
     folder = posix_path(folder_url)
     os.makedirs(folder, exist_ok=True)
     bits = buckets_for(partitions_for(train)).bit_length() - 1
     base, tokens, words = _unigrams(train, bits, folder)
-    if words >= 1 << 32:
-        raise ValueError("the vocabulary has more than 2^32 words")
-    texts = train.count()
-    model = Model(folder, bits, base, tokens, words, texts)
-    n, a, pairs, more = _pairs(train, model)
-    d, e = discounts(n), discounts(a)
-    spread = (e[0] * a[0] + e[1] * a[1] + e[2] * more) / pairs if pairs else 1.0
-    return Model(folder, bits, base, tokens, words, texts, d, e, pairs, spread)
-
-
-@lru_cache(maxsize=2)
-def _bucket_files(folder: str, kind: str, name: str, buckets: int) -> list[np.ndarray | None]:
-    return [_map(f"{folder}/{kind}-{b}", name) if os.path.exists(f"{folder}/{kind}-{b}.{name}.npy") else None for b in range(buckets)]
+    if words >= (1 << 32) - 1:
+        raise ValueError("the vocabulary has 2^32 words or more")
+    model = Model(folder, bits, base, tokens, words, order)
+    blobs = _gathered(train, model)
+    for level in range(order, 1, -1):
+        blobs = _stored(blobs, model, level)
+    names = ("n1", "n2", "n3", "n4", "more", "entries")
+    rows = _followed(blobs, model).where("level IS NOT NULL").groupBy("level").agg(*(F.sum(n).alias(n) for n in names)).collect()  # a row per order
+    told = {r["level"]: [int(r[n]) for n in names] for r in rows}
+    found = tuple(discounts(told[k][:4]) if k in told else (0.5, 0.5, 0.5) for k in range(1, order + 1))
+    pairs = told[2][5] if 2 in told else 0
+    spread = (found[0][0] * told[1][0] + found[0][1] * told[1][1] + found[0][2] * told[1][4]) / pairs if pairs else 1.0
+    return Model(folder, bits, base, tokens, words, order, found, pairs, spread)
 
 
 class Scorer:
     """Log probabilities from the mapped arrays of a model."""
 
     def __init__(self, model: Model):
-        self.model, self.buckets = model, 1 << model.bits
-        self.base = np.array(model.base, np.int64)
-        opened = lambda kind, name: _bucket_files.__wrapped__(model.folder, kind, name, self.buckets)
-        self.counts = opened("words", "count")
-        self.after = opened("after", "count")
-        self.pairs, self.pair_counts, self.kinds = opened("pairs", "key"), opened("pairs", "count"), opened("pairs", "kinds")
-
-    def _by_bucket(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        cut = np.searchsorted(ids, self.base).tolist() + [len(ids)]
-        for b, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
-            if hi > lo:
-                yield b, lo, hi
-
-    def _take(self, files: list, ids: np.ndarray, width: tuple[int, ...] = ()) -> np.ndarray:
-        """Rows of per-word arrays for ascending ids; zero where there is none."""
-        out = np.zeros((len(ids), *width), np.int64)
-        for b, lo, hi in self._by_bucket(ids):
-            if files[b] is not None:
-                at = ids[lo:hi] - self.base[b]
-                inside = (at >= 0) & (at < len(files[b]))
-                out[lo:hi][inside] = files[b][at[inside]]
+        self.model, self.base = model, np.array(model.base, np.int64)
+
+    def _take(self, kind: str, ids: np.ndarray) -> np.ndarray:
+        """Per-word counts for ascending ids; zero where there is none."""
+        out = np.zeros(len(ids), np.int64)
+        for b, lo, hi in _runs(np.searchsorted(self.base, ids, side="right") - 1):
+            files = _opened_files(self.model.file(kind, b), ("count",))
+            if files is not None:
+                out[lo:hi] = files[0][ids[lo:hi] - self.base[b]]
+        return out
+
+    def _level(self, level: int, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probabilities of words after contexts of one order, from those of the order below."""
+        d = np.array([0.0, *self.model.discounts[level - 1]])
+        out = lower.copy()
+        order = np.flatnonzero(context >= 0)
+        bucket = bucket_of(context[order], self.model.bits)
+        by_bucket = np.argsort(bucket, kind="stable")
+        order, bucket = order[by_bucket], bucket[by_bucket]
+        for b, lo, hi in _runs(bucket):
+            files = _opened_files(self.model.file(level, b), ("context", "start", "total", "once", "twice", "word", "count", "lone", "follower"))
+            if files is None:
+                continue
+            contexts, start, total, once, twice, words, counts, lone, follower = files
+            rows = order[lo:hi]
+            heads, own = np.unique(context[rows].astype(np.uint64), return_inverse=True)
+            at = lone.find(heads, self.model.vocabulary)[own]
+            some, at = rows[at >= 0], at[at >= 0]
+            out[some] = np.where(follower[at] == word[some], max(1 - d[1], 0), 0.0) + d[1] * lower[some]
+            at = contexts.find(heads, self.model.vocabulary)
+            seen = at[own] >= 0
+            rows, own, at = rows[seen], own[seen], np.maximum(at, 0)
+            if not len(rows):
+                continue
+            first, last = start[at].astype(np.int64), start[at + 1].astype(np.int64)
+            one, two, whole = once[at], twice[at], total[at]
+            rest = (d[1] * one + d[2] * two + d[3] * (last - first - one - two)) / whole
+            place = _within(words, first[own], last[own], word[rows])
+            c = np.where(place >= 0, counts[np.maximum(place, 0)], 0)
+            out[rows] = np.maximum(c - d[np.minimum(c, 3)], 0) / whole[own] + rest[own] * lower[rows]
         return out
 
     def score(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -402,44 +626,19 @@ class Scorer:
         m = self.model
         _, ids, where = _block_ids(tokens, m)
         known = ids >= 0
-        counts = np.zeros(len(ids), np.int64)
-        counts[known] = self._take(self.counts, ids[known])
+        by_id = np.argsort(ids[known])
+        counts, after = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        here = np.flatnonzero(known)[by_id]
+        counts[here], after[here] = self._take("words", ids[here]), self._take("after", ids[here])
         base = np.log10((counts + 1) / (m.tokens + m.vocabulary + 1))
-        d, e = np.array([0.0, *m.pair_discounts]), np.array([0.0, *m.word_discounts])
-        after = np.zeros(len(ids), np.int64)
-        after[known] = self._take(self.after, ids[known])
+        e = np.array([0.0, *(m.discounts[0] if m.discounts else (0.5, 0.5, 0.5))])
         lower = np.maximum(after - e[np.minimum(after, 3)], 0) / max(m.contexts_total, 1) + m.spread / (m.vocabulary + 1)
-        w = ids[where]
-        v = _contexts(w, starts, m.vocabulary)
-        key = np.where((v >= 0) & (w >= 0), (v << 32) | w, -1)
-        pair, back = np.unique(key, return_inverse=True)
-        c = np.zeros(len(pair), np.int64)
-        real = pair >= 0
-        c[real] = self._pair_counts(pair[real])
-        heads, at = np.unique(v, return_inverse=True)
-        seen = heads >= 0
-        kinds = np.zeros((len(heads), 3), np.int64)
-        kinds[seen] = self._take(self.kinds, heads[seen], (3,))
-        total = np.zeros(len(heads), np.int64)
-        total[seen] = self._take(self.counts, heads[seen])
-        total[heads == m.vocabulary] = m.texts
-        has = (total > 0) & (kinds.sum(axis=1) > 0)
-        gamma = np.where(has, kinds @ d[1:] / np.maximum(total, 1), 1.0)
-        high = np.maximum(c - d[np.minimum(c, 3)], 0)[back] / np.maximum(total, 1)[at]
-        p = np.where(has[at], high, 0.0) + gamma[at] * lower[where]
+        w, p = ids[where], lower[where]
+        for level in range(2, m.order + 1):
+            p = self._level(level, _contexts(w, starts, m.vocabulary, level), w, p)
         add = lambda x: np.add.reduceat(x, starts[:-1])
         return add(base[where]), add(np.log10(p)), add(known[where].astype(np.int64))
 
-    def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        for b, lo, hi in self._by_bucket(keys >> 32):
-            file = self.pairs[b]
-            if file is not None and len(file):
-                want = keys[lo:hi].astype(np.uint64)
-                at = np.minimum(np.searchsorted(file, want), len(file) - 1)
-                out[lo:hi] = np.where(file[at] == want, self.pair_counts[b][at], 0)
-        return out
-
 
 @lru_cache(maxsize=1)
 def _scorer(model: Model) -> Scorer:
@@ -449,7 +648,7 @@ def _scorer(model: Model) -> Scorer:
 SCORED = schema(doc_id=LONG, held_out=BOOL, n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DBL, score=DBL, perplexity=DBL)
 
 
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", model_dir: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", model_dir: str | None = None, order: int = 3) -> DataFrame:
     """Log10 probability and perplexity of every row under a model of the rows where `train` holds.
 
     `model_dir` is a folder that driver and executors mount at one path;
@@ -457,7 +656,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("_train"))
-    model = train_model(rows.where("_train").select("text"), model_dir or scratch_path(spark, "lm"))
+    model = train_model(rows.where("_train").select("text"), model_dir or scratch_path(spark, "lm"), order)
     shared = spark.sparkContext.broadcast(model)  # paths and a number per bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

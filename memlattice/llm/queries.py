@@ -72,7 +72,7 @@ def op8_rans_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` in shards 0 to 7 of near-equal bytes, equal texts together."""
     docs = _table(spark, sf_dir, "documents")
-    found = sharding.vector_shards(docs, 8, sharding.text_size(), sharding.text_tokens())
+    found = sharding.vector_shards(docs, 8)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -107,9 +107,9 @@ ORACLE_SQL: dict[str, str] = {
         ), worst AS (
             SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN coalesce(toxic, quality) IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY 1
         ), hosts AS (
-            SELECT host, count(bad) AS n, sum(bad) AS k,
+            SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k,
                    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
-            FROM split JOIN worst USING (page_id) WHERE bad IS NOT NULL GROUP BY host
+            FROM split LEFT JOIN worst USING (page_id) GROUP BY host
         ), domains AS (
             SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL
         ), suffixes AS (
@@ -119,15 +119,15 @@ ORACLE_SQL: dict[str, str] = {
         ), s0 AS (
             SELECT suffix, n, k, m AS parent FROM suffixes, overall
         ), r0 AS (
-            SELECT least(greatest(coalesce((sum(n * (k / n - parent) ** 2) - sum(parent * (1 - parent))) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), 0.001), 0.001), 0.5) AS rho FROM s0
+            SELECT least(greatest(coalesce((sum(n * (k / n - parent) ** 2) - sum(parent * (1 - parent))) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), 0.001), 0.001), 0.5) AS rho FROM s0 WHERE n > 0
         ), s1 AS (
             SELECT domain, d.suffix, d.n, d.k, (s0.k + (1 - rho) / rho * s0.parent) / (s0.n + (1 - rho) / rho) AS parent FROM domains d JOIN s0 USING (suffix), r0
         ), r1 AS (
-            SELECT least(greatest(coalesce((sum(n * (k / n - parent) ** 2) - sum(parent * (1 - parent))) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), 0.001), 0.001), 0.5) AS rho FROM s1
+            SELECT least(greatest(coalesce((sum(n * (k / n - parent) ** 2) - sum(parent * (1 - parent))) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), 0.001), 0.001), 0.5) AS rho FROM s1 WHERE n > 0
         ), s2 AS (
             SELECT host, h.n, h.k, (s1.k + (1 - rho) / rho * s1.parent) / (s1.n + (1 - rho) / rho) AS parent FROM hosts h JOIN s1 USING (domain, suffix), r1
         ), r2 AS (
-            SELECT least(greatest(coalesce((sum(n * (k / n - parent) ** 2) - sum(parent * (1 - parent))) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), 0.001), 0.001), 0.5) AS rho FROM s2
+            SELECT least(greatest(coalesce((sum(n * (k / n - parent) ** 2) - sum(parent * (1 - parent))) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), 0.001), 0.001), 0.5) AS rho FROM s2 WHERE n > 0
         ), beta AS (
             SELECT host, n, k + (1 - rho) / rho * parent AS a, n - k + (1 - rho) / rho * (1 - parent) AS b FROM s2, r2
         ), ruled AS (

@@ -14,8 +14,9 @@ the word position before its first token, so the segments of a frame decode in
 parallel and are checked one by one.  The frequency table is shared by all
 frames: counts of all ids of the corpus scaled to 2^16 slots, none below 1.
 
-Files are in ascending document order: a range partition of the ids gives
-`part`, and `block` counts within it.
+Texts are encoded where they are read; what is shuffled is their ids, 16 bits each.
+Files are in ascending document order: a range partition of the document ids
+gives `part`, and `block` counts within it.
 
 Defined results: a null or empty text is the end id alone; rows that repeat an
 id follow one another; null ids come first; an empty table gives no rows; other
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlattice.llm.packing import text_slices
-from memlattice.llm.shared import BIN, INT, LONG, narrow, partitions_for, schema, scratch_path, ship, written
+from memlattice.llm.shared import BIN, INT, LONG, Scratch, narrow, partitions_for, schema, scratch_path, ship
 from memlattice.llm.wordbpe import default_vocabulary, encoder
 
 MAGIC = b"RNB1"
@@ -208,11 +209,31 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<u2")[:, 0]
 
 
-def ordered_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Ids of (doc_id, text) in ascending doc_id order, in blocks of whole documents."""
+TOKENS = schema(doc_id=LONG, n=LONG, ids=BIN)
+
+
+def token_rows(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """Ids of each (doc_id, text) with the end id, in byte planes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in batches:
+            for lo, hi in text_slices(batch.column("text")):
+                some = batch.slice(lo, hi - lo)
+                ids, at = enc.encode_column(some.column("text"))
+                bounds = at.tolist()
+                data = [_planes(np.append(ids[a:b], enc.dtype.type(end_id))) for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.diff(at) + 1), pa.array(data, pa.binary())], names=TOKENS.names)
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, TOKENS)
+
+
+def ordered_blocks(tokens: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Rows of `token_rows` in ascending doc_id order, in blocks of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(vocabulary), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         names: list[int | None] = []
         block = first = size = 0
@@ -224,22 +245,17 @@ def ordered_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_tokens:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _RAW_ARROW, strict=True)], names=RAW.names)
 
         for batch in batches:
-            for lo, hi in text_slices(batch.column("text")):
-                some = batch.slice(lo, hi - lo)
-                ids, at_row = enc.encode_column(some.column("text"))
-                bounds = at_row.tolist()
-                for doc, a, b in zip(some.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
-                    held.append(np.append(ids[a:b], enc.dtype.type(end_id)))
-                    names.append(doc)
-                    size += b - a + 1
-                    if size >= block_tokens:
-                        yield flush()
-                        first, block, size, held, names = first + size, block + 1, 0, [], []
+            for doc, n, data in zip(*(batch.column(c).to_pylist() for c in TOKENS.names), strict=True):
+                held.append(_unplaned(data))
+                names.append(doc)
+                size += n
+                if size >= block_tokens:
+                    yield flush()
+                    first, block, size, held, names = first + size, block + 1, 0, [], []
         if held:
             yield flush()
 
-    ship(docs.sparkSession)
-    ranged = docs.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
+    ranged = tokens.repartitionByRange(partitions_for(tokens), "doc_id").sortWithinPartitions("doc_id")
     return ranged.mapInArrow(run, RAW)
 
 
@@ -267,7 +283,10 @@ def frequency_table(raw: DataFrame) -> Table:
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Table:
     """Tokenise `docs` and write coded files to `path`; returns the shared table."""
     spark = docs.sparkSession
-    raw = written(ordered_blocks(narrow(docs, id_col, text_col), vocabulary or default_vocabulary(), end_id), "ids")
+    step, blocks = Scratch(spark), Scratch(spark)
+    tokens = step.written(token_rows(narrow(docs, id_col, text_col), vocabulary or default_vocabulary(), end_id), "tokens")
+    raw = blocks.written(ordered_blocks(tokens), "ids")
+    step.clear()
     table = frequency_table(raw)
     shared = spark.sparkContext.broadcast(table)  # 2^16 frequencies
 
@@ -282,6 +301,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("part", "block", "first", "tokens")), pa.array([frame], pa.binary())], names=CODED.names)
 
     raw.mapInArrow(code, CODED).write.option("compression", "none").parquet(path)
+    blocks.clear()
     return table
 
 

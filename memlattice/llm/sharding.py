@@ -5,19 +5,21 @@ residual capacity (as shares of the fair bytes, tokens and rows) has the highest
 dot product with the group's own vector; shards without room for the group's
 bytes come last.
 
-Two levels keep this parallel.  Groups are dealt by hash over a fixed number of
-cells; each cell streams its groups, largest first, into its own bins by the
-rule above, with constant memory.  Then the cells' bins (cells x bins vectors,
-a number that does not follow the data) are placed into the shards by the same
-rule, largest first.  A group larger than half a fair shard is first cut into
-pieces of about a `split`th of a shard by a hash of the row's id: kept whole, it
-would leave no balance to find.
+One scan of the texts leaves a narrow table (id, bytes, tokens, digest); all else works on
+that.  Two levels keep the placing parallel.  Groups are dealt by hash over cells, of
+which there are more for more rows; each cell streams its groups, largest first, into its
+own bins by the rule above, with constant memory.  Then the cells' bins (at most
+`MOST_CELLS * BINS` vectors, whatever the data) are placed into the shards by the
+same rule, largest first.
+
+Groups stay whole as long as the law can hold: only a group of more bytes than
+`split_above` fair shards, which no placing could balance, is cut, into pieces of about a
+`split`th of a shard, by a hash of the row's id.  `split_above=None` keeps those too.
 
 Slots are numbered without a gap from 0 in each shard from counters within each
 task plus offsets per task.
 
-Defined results: a null text has size 1, tokens 0 and is grouped with other null
-texts, apart from empty ones; rows that repeat are placed each; an empty table
+Defined results: a null text has size 1, tokens 0 and counts as empty; rows that repeat are placed each; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -28,12 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlattice.llm.shared import INT, LONG, schema, ship, written
+from memlattice.llm.packing import text_slices
+from memlattice.llm.shared import INT, LONG, partitions_for, schema, ship, written
+from memlattice.llm.wordbpe import default_vocabulary, encoder
 
-CELLS, BINS, SPLIT = 256, 16, 64
+#: Cells at least and at most, rows of a cell in between, bins of a cell and pieces of a shard.
+CELLS, MOST_CELLS, CELL_ROWS, BINS, SPLIT = 256, 16_384, 1 << 16, 16, 64
+#: Groups of most rows that are joined by broadcast.
+LARGEST = 1024
 
 
 class Bins:
@@ -77,39 +84,66 @@ def _binned(groups: DataFrame, bins: int, capacity: np.ndarray) -> DataFrame:
     return groups.mapInArrow(run, GROUP)
 
 
-def vector_shards(docs: DataFrame, shards: int, size: Column, tokens: Column, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, bins: int = BINS, split: int = SPLIT) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row."""
-    spark = docs.sparkSession
-    ship(spark)
-    digest = F.sha2(F.col(text_col).cast("string"), 256)
+MEASURED = schema(doc_id=LONG, size=LONG, text_crc32=LONG, _h=LONG, _g=LONG, _tokens=LONG)
+
+
+def measured(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Bytes plus one, crc32, 120-bit digest (_h, _g) and number of token ids of every text."""
+    text = F.col(text_col).cast("string")
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        size.cast("long").alias("size"),
-        tokens.cast("long").alias("_tokens"),
-        F.crc32(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")).alias("text_crc32"),
-        F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(-1)).alias("_h"),
-        F.coalesce(F.conv(F.substring(digest, 16, 15), 16, 10).cast("long"), F.lit(-1)).alias("_g"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
+        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_h"),
+        F.conv(F.substring(digest, 16, 15), 16, 10).cast("long").alias("_g"),
+        text.alias("_text"),
     )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in batches:
+            for lo, hi in text_slices(batch.column("_text")):
+                _, at = enc.encode_column(batch.column("_text").slice(lo, hi - lo))
+                kept = [batch.column(c).slice(lo, hi - lo) for c in MEASURED.names[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(at).astype(np.int64))], names=MEASURED.names)
+
+    ship(docs.sparkSession)
+    return rows.mapInArrow(run, MEASURED)
+
+
+def vector_shards(
+    docs: DataFrame, shards: int, vocabulary: str | None = None, split_above: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None, bins: int = BINS, split: int = SPLIT
+) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every row."""
+    spark = docs.sparkSession
+    rows = written(measured(docs, vocabulary or default_vocabulary(), id_col, text_col), "measured")
     total = rows.agg(F.sum("size"), F.sum("_tokens"), F.count(F.lit(1))).first()
     capacity = np.array([float(x or 0) for x in total])
-    large = rows.groupBy("_h", "_g").agg(F.sum("size").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    large = large.where((F.col("_all") * 2 * shards > capacity[0]) | (F.col("_rows") * 2 * shards > capacity[2]))
-    share = F.greatest(F.col("_all") / F.lit(max(capacity[0], 1)), F.col("_rows") / F.lit(max(capacity[2], 1)))
-    large = large.select("_h", "_g", F.ceil(share * shards * split).cast("int").alias("_pieces"))  # at most 4 * shards groups are that large
-    rows = rows.join(F.broadcast(large), ["_h", "_g"], "left").withColumn(
-        "_piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_pieces").cast("long")).cast("int"), F.lit(0))
-    )
+    cells = cells or min(max(CELLS, 1 << (int(capacity[2]) // CELL_ROWS).bit_length()), MOST_CELLS)
+    pieces = F.lit(0)
+    if split_above is not None:
+        large = rows.groupBy("_h", "_g").agg(F.sum("size").alias("_all")).where(F.col("_all") * shards > capacity[0] * split_above)
+        large = large.select("_h", "_g", F.ceil(F.col("_all") / F.lit(max(capacity[0], 1)) * shards * split).alias("_pieces"))  # fewer than shards / split_above
+        rows = rows.join(F.broadcast(large), ["_h", "_g"], "left")
+        pieces = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_pieces")).cast("int"), F.lit(0))
+    rows = rows.withColumn("_piece", pieces)
     groups = rows.groupBy("_h", "_g", "_piece").agg(F.sum("size").alias("n_bytes"), F.sum("_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_rows"))
     groups = groups.withColumn("cell", F.pmod(F.xxhash64("_h", "_g", "_piece"), F.lit(cells)).cast("int"))
-    dealt = groups.repartition(cells, "cell").sortWithinPartitions("cell", F.desc("n_bytes"), "_h", "_g", "_piece")
+    dealt = groups.repartition(min(cells, partitions_for(groups)), "cell").sortWithinPartitions("cell", F.desc("n_bytes"), "_h", "_g", "_piece")
     placed = written(_binned(dealt, bins, capacity / cells), "bins")
     sums = placed.groupBy("cell", "bin").agg(F.sum("n_bytes"), F.sum("n_tokens"), F.sum("n_rows")).collect()  # cells * bins rows at most
     final, chosen = Bins(capacity, shards), []
     for r in sorted(sums, key=lambda r: (-r[2], r[0], r[1])):
         chosen.append((r[0], r[1], final.place(np.array(r[2:], float))))
     names = spark.createDataFrame(chosen, schema(cell=INT, bin=INT, shard=INT))
-    homes = placed.join(F.broadcast(names), ["cell", "bin"]).select("_h", "_g", "_piece", "shard")
-    return numbered(rows.join(homes, ["_h", "_g", "_piece"]).select("doc_id", "size", "text_crc32", "shard"), shards)
+    homes = placed.join(F.broadcast(names), ["cell", "bin"]).select("_h", "_g", "_piece", "shard", "n_rows")
+    key = ["_h", "_g", "_piece"]
+    largest = homes.orderBy(F.desc("n_rows"), *key).limit(LARGEST).select(*key, F.col("shard").alias("_shard"))
+    met = rows.select("doc_id", "size", "text_crc32", *key).join(F.broadcast(largest), key, "left")
+    rest = met.where("_shard IS NULL").drop("_shard").join(homes.drop("n_rows"), key)
+    out = ["doc_id", "size", "text_crc32"]
+    return numbered(met.where("_shard IS NOT NULL").select(*out, F.col("_shard").alias("shard")).union(rest.select(*out, "shard")), shards)
 
 
 def numbered(rows: DataFrame, shards: int) -> DataFrame:
@@ -134,13 +168,3 @@ def numbered(rows: DataFrame, shards: int) -> DataFrame:
     per_task = counted.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))  # shards rows per task
     offsets = per_task.select("shard", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return counted.join(offsets, ["shard", "_part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("_nth") + F.col("_before")).alias("slot"))
-
-
-def text_size(text_col: str = "text") -> Column:
-    """UTF-8 bytes plus one; a null text has none."""
-    return F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 1
-
-
-def text_tokens(text_col: str = "text") -> Column:
-    """Words between white space."""
-    return F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"\S+")), F.lit(0))

@@ -2,7 +2,7 @@
 
 Labelled page outcomes (bad or not) are counted per host, registered domain (the
 suffix and one label more) and suffix (the last label, or the longest of the 8,331
-longer ones in `public_suffixes.txt`).  Each level's rate is shrunk towards its
+longer ones in `public_suffixes.txt`, or of another list in its form: `Settings.suffixes`).  Each level's rate is shrunk towards its
 parent's by a beta-binomial prior,
 
     suffix: (k + M0 m) / (n + M0)      domain: (k + M1 suffix) / (n + M1)
@@ -13,9 +13,10 @@ host, domain or suffix without labels has n = k = 0, that is its parent's rate,
 every host of the pages has a posterior.  A host is blocked when the lower `z`
 bound of it exceeds `threshold`: only hosts that are bad beyond doubt go.
 
-All is DataFrame work; counts combine before they are shuffled, so a host
-with a third of all pages is one row per task, and nothing but two sums per
-level reaches the driver.
+All is DataFrame work; pages and outcomes meet once, counts combine before they are shuffled,
+so a host with a third of all pages is one row per task, and the counts of hosts, a
+small table, are written; strengths and posteriors work on it alone.  Nothing but
+two sums per level reaches the driver.
 
 Defined results: a null url, or one without ://, has empty host and path and is
 judged by the overall rate; rows that repeat are judged each; without labels
@@ -33,6 +34,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlattice.llm.shared import written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,6 +56,7 @@ class Settings:
     z: float = 1.645
     least_correlation: float = 0.001
     most_correlation: float = 0.5
+    suffixes: str = str(Path(__file__).with_name("public_suffixes.txt"))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -76,12 +80,12 @@ def rule_for(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Column,
 
 
 @cache
-def _suffix_rules() -> tuple[dict[int, list[str]], dict[int, list[str]], list[str]]:
+def _suffix_rules(path: str) -> tuple[dict[int, list[str]], dict[int, list[str]], list[str]]:
     """Suffixes of two labels or more and parents of wildcards, both by number of labels, and names that no wildcard takes."""
     names: dict[int, set[str]] = {}
     wild: dict[int, set[str]] = {}
     spared = set()
-    for rule in Path(__file__).with_name("public_suffixes.txt").read_text(encoding="utf-8").splitlines():
+    for rule in Path(path).read_text(encoding="utf-8").splitlines():
         if rule.startswith("//"):
             continue
         n = rule.count(".") + 1
@@ -100,9 +104,9 @@ def _one_of(name: str, values: Sequence[str]) -> str:
     return f"{name} IN ({quoted})" if values else "false"
 
 
-def with_domain(hosts: DataFrame) -> DataFrame:
+def with_domain(hosts: DataFrame, suffixes: str = Settings.suffixes) -> DataFrame:
     """`hosts` with the registered domain and public suffix of column host."""
-    names, wild, spared = _suffix_rules()
+    names, wild, spared = _suffix_rules(suffixes)
     cases = []
     for n in sorted(names.keys() | wild.keys(), reverse=True):
         if n > 1:
@@ -132,7 +136,7 @@ def host_reputation(outcomes: DataFrame, settings: Settings | None = None) -> tu
     """(host, n, bad_rate, bad_bound) of every host from rows (host, bad 0, 1 or null), and the overall rate."""
     settings = settings or Settings()
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    hosts = with_domain(hosts)
+    hosts = written(with_domain(hosts, settings.suffixes), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n"), F.sum("k")).first()

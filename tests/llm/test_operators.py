@@ -295,42 +295,62 @@ def test_language_needs_training_rows(spark):
 # --- 6: language model
 
 
-def test_kneser_ney(docs, rows):
-    got = {r.doc_id: r for r in ngram_lm.score_documents(docs, ngram_lm.training_fold()).collect()}
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney(docs, rows, order, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "GATHER", 500)
+    got = {r.doc_id: r for r in ngram_lm.score_documents(docs, ngram_lm.training_fold(), order=order).collect()}
     tokens = {i: [*WORD.findall(lower(t)), None] for i, t, *_ in rows}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
     count = Counter(w for i in train for w in tokens[i])
     total, size = sum(count.values()), len(count)
-    pairs = Counter(p for i in train for p in zip([0, *tokens[i]], tokens[i], strict=False))
-    kinds, heads, after = defaultdict(lambda: [0, 0, 0]), Counter(), Counter()
-    for (v, w), n in pairs.items():
-        kinds[v][min(n, 3) - 1] += 1
-        heads[v] += n
-        after[w] += 1
+    grams = lambda words, n: list(zip(*[([0] * (n - 1) + words)[k:] for k in range(n)], strict=False))
+    top = Counter(g for i in train for g in grams(tokens[i], order))
+    levels = {order: top}
+    for n in range(order - 1, 0, -1):
+        occurrences = Counter(g for i in train for g in grams(tokens[i], n))
+        different = Counter(g[1:] for g in levels[n + 1])
+        levels[n] = {g: occurrences[g] if g[0] == 0 else c for g, c in different.items()}
     of = lambda c: [sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]
-    d, e = (0, *ngram_lm.discounts(of(pairs))), (0, *ngram_lm.discounts(of(after)))
-    a = of(after)
-    spread = (e[1] * a[0] + e[2] * a[1] + e[3] * sum(1 for x in after.values() if x >= 3)) / len(pairs)
+    d = {n: (0, *ngram_lm.discounts(of(c))) for n, c in levels.items()}
+    heads, mass = Counter(), Counter()
+    for c in levels.values():
+        for g, x in c.items():
+            heads[g[:-1]] += x
+            mass[g[:-1]] += d[len(g)][min(x, 3)]
+
+    def probability(gram):
+        if not gram:
+            return 1 / (size + 1)
+        below, head, x = probability(gram[1:]), gram[:-1], levels[len(gram)].get(gram, 0)
+        return (max(x - d[len(gram)][min(x, 3)], 0) + mass[head] * below) / heads[head] if heads[head] else below
+
     assert len(got) == len(rows)
     for i, words in tokens.items():
         base = sum(math.log10((count[w] + 1) / (total + size + 1)) for w in words)
-        score, v = 0.0, 0
-        for w in words:
-            p1 = max(after[w] - e[min(after[w], 3)], 0) / len(pairs) + spread / (size + 1)
-            n = pairs.get((v, w), 0)
-            p = (max(n - d[min(n, 3)], 0) + sum(x * y for x, y in zip(kinds[v], d[1:], strict=True)) * p1) / heads[v] if heads[v] else p1
-            score += math.log10(p)
-            v = w
+        score = sum(math.log10(probability(g)) for g in grams(words, order))
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(count[w] > 0 for w in words), total)
         assert r.held_out == (i not in train)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_ngram_blobs_round_trip():
+    rng = np.random.default_rng(2)
+    parts = [(rng.integers(0, 1 << 40, 50, dtype=np.uint64) >> np.uint64(rng.integers(0, 39)), rng.integers(0, 9, 50).astype(np.uint32), rng.integers(1, 1 << 33, 50)) for _ in range(20)]
+    whole = ngram_lm._combined(parts)
+    want = Counter()
+    for c, w, n in parts:
+        for key in zip(c.tolist(), w.tolist(), n.tolist(), strict=True):
+            want[key[:2]] += key[2]
+    assert list(zip(whole[0].tolist(), whole[1].tolist(), strict=True)) == sorted(want)
+    for x, y in zip(ngram_lm._opened(ngram_lm._blob(whole)), whole, strict=True):
+        assert x.tolist() == y.tolist()
+
+
 def test_kneser_ney_probabilities_sum_to_one(docs, rows, spark, tmp_path):
     model = ngram_lm.train_model(docs.select("text"), f"file://{tmp_path}/lm")
     scorer = ngram_lm.Scorer(model)
-    hashes = np.concatenate([np.asarray(x) for x in ngram_lm._words(model.folder, model.bits)])
+    hashes = np.concatenate([np.load(f) for f in sorted((tmp_path / "lm").glob("words-*.hash.npy"))])
     for head in hashes[:5]:
         tokens = np.stack([np.full(len(hashes), head), hashes], axis=1).reshape(-1).astype(np.uint64)
         starts = np.arange(0, len(tokens) + 1, 2)
@@ -457,22 +477,47 @@ def test_rans_ids_beyond_16_bits_raise():
 
 
 def test_vector_shards(docs, rows, empty):
-    got = sharding.vector_shards(docs, 8, sharding.text_size(), sharding.text_tokens()).collect()
+    got = sharding.vector_shards(docs, 8).collect()
     texts = {i: t for i, t, *_ in rows}
     assert len(got) == len(rows)
     homes, slots = defaultdict(set), defaultdict(list)
     for r in got:
         t = texts[r.doc_id]
         assert (r.size, r.text_crc32) == (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
-        homes[t].add(r.shard)
+        homes[t or ""].add(r.shard)
         slots[r.shard].append(r.slot)
     assert all(len(h) == 1 for h in homes.values()) and set(slots) <= set(range(8))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert sharding.vector_shards(empty, 8, sharding.text_size(), sharding.text_tokens()).count() == 0
+    assert sharding.vector_shards(empty, 8).count() == 0
 
 
 def test_a_hot_group_is_split(spark):
     df = spark.createDataFrame([(i, "same text" if i % 3 == 0 else f"text {i}") for i in range(3000)], "doc_id long, text string")
-    got = sharding.vector_shards(df, 8, sharding.text_size(), sharding.text_tokens()).groupBy("shard").sum("size").collect()
+    got = sharding.vector_shards(df, 8).groupBy("shard").sum("size").collect()
     sizes = [r[1] for r in got]
     assert len(sizes) == 8 and max(sizes) < 1.05 * min(sizes)
+    whole = sharding.vector_shards(df, 8, split_above=None).where("doc_id % 3 = 0").select("shard").distinct().count()
+    assert whole == 1
+
+
+def test_groups_within_a_shard_stay_whole(spark):
+    """A tenth of all rows is one text: it stays together, repeated rows too, and bytes are near equal."""
+    rng = random.Random(3)
+    rows = [(i, "the same text again" if i % 10 == 0 else "word " * rng.randint(1, 8) + str(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows + rows[:200], "doc_id long, text string")
+    got = sharding.vector_shards(df, 8).collect()
+    assert len(got) == 3200
+    assert len({r.shard for r in got if r.doc_id % 10 == 0}) == 1
+    bytes_ = Counter()
+    for r in got:
+        bytes_[r.shard] += r.size
+    assert max(bytes_.values()) < 1.02 * min(bytes_.values())
+
+
+def test_shards_of_many_cells(spark):
+    df = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id % 700) AS text")
+    got = sharding.vector_shards(df, 3, cells=7, bins=4).collect()
+    homes = defaultdict(set)
+    for r in got:
+        homes[r.text_crc32].add(r.shard)
+    assert all(len(h) == 1 for h in homes.values()) and len(got) == 5000
