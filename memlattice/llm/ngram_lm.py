@@ -112,39 +112,49 @@ class Ids:
     """Word ids in three bytes each, or four where the vocabulary is that large."""
 
     def __init__(self, path: str, name: str):
-        self.raw = _map(path, name)
+        raw = _map(path, name)
+        self.short = raw.dtype == np.uint8
+        self.raw = np.ndarray((len(raw) // 3,), "<u4", raw, 0, (3,)) if self.short else raw
 
     @staticmethod
     def arrays(name: str, values: np.ndarray, vocabulary: int) -> dict[str, np.ndarray]:
         wide = values.astype("<u4")
-        return {name: wide if vocabulary >= 1 << 24 else np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 4)[:, :3])}
+        # three bytes and a last one, so that each id can be read as four
+        return {name: wide if vocabulary >= 1 << 24 else np.append(wide.view(np.uint8).reshape(-1, 4)[:, :3].reshape(-1), np.uint8(0))}
 
     def __len__(self) -> int:
         return len(self.raw)
 
     def __getitem__(self, index: np.ndarray) -> np.ndarray:
         found = self.raw[index]
-        if found.ndim == 1:
-            return found
-        return found[:, 0] | (found[:, 1].astype(np.uint32) << np.uint32(8)) | (found[:, 2].astype(np.uint32) << np.uint32(16))
+        return found & np.uint32(0xFFFFFF) if self.short else found
 
 
-def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted value in its own ascending stretch of `values`; -1 where it is not."""
-    if not len(values):
-        return np.full(len(wanted), -1)
+def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
+    """Place of each wanted value in its own ascending stretch of `values`, which are below `most`; -1 where it is not.
+
+    Word ids are ranks of hashes, so they lie evenly and places are interpolated; each
+    third step halves the stretch, whatever it holds.
+    """
     out = np.full(len(wanted), -1)
     open_ = np.flatnonzero(low < high)
-    low, high, wanted = low[open_], high[open_], wanted[open_]
+    low, high, wanted = low[open_], high[open_], wanted[open_].astype(np.int64)
+    below, above = np.full(len(open_), -1), np.full(len(open_), most)
+    step = 0
     while len(open_):
-        middle = (low + high) >> 1
-        found = values[middle]
+        if step % 3 == 2:
+            middle = (low + high) >> 1
+        else:
+            middle = low + ((wanted - below) * (high - low)) // (above - below + 1)
+        found = values[middle].astype(np.int64)
         hit = found == wanted
         out[open_[hit]] = middle[hit]
         less = found < wanted
-        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        low, below = np.where(less, middle + 1, low), np.where(less, found, below)
+        high, above = np.where(less, high, middle), np.where(less, above, found)
         on = np.flatnonzero((low < high) & ~hit)
-        open_, low, high, wanted = open_[on], low[on], high[on], wanted[on]
+        open_, low, high, wanted, below, above = (x[on] for x in (open_, low, high, wanted, below, above))
+        step += 1
     return out
 
 
@@ -174,21 +184,18 @@ class Contexts:
         order = np.lexsort((low, high))
         return order, {name: high[order], f"{name}-low": low[order]}
 
-    def find(self, contexts: np.ndarray, vocabulary: int) -> np.ndarray:
-        """Place of each context; -1 where it is not."""
-        high, low = _scattered(contexts, vocabulary)
+    def find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Place of each hash of ascending ones; -1 where it is not."""
         out = np.full(len(high), -1)
         if not len(self.high):
             return out
-        order = np.argsort(high)  # neighbours are looked up one after another
-        high, low = high[order], low[order]
         at = np.searchsorted(self.high, high)
         at[at == len(self.high)] = 0
         left = np.flatnonzero(self.high[at] == high)
         while len(left):
             place = at[left]
             hit = (self.high[place] == high[left]) & (self.low[place] == low[left])
-            out[order[left[hit]]] = place[hit]
+            out[left[hit]] = place[hit]
             left = left[~hit & (place + 1 < len(self.high))]
             at[left] += 1
             left = left[self.high[at[left]] == high[left]]
@@ -604,11 +611,15 @@ class Scorer:
                 continue
             contexts, start, total, once, twice, words, counts, lone, follower = files
             rows = order[lo:hi]
-            heads, own = np.unique(context[rows].astype(np.uint64), return_inverse=True)
-            at = lone.find(heads, self.model.vocabulary)[own]
+            high, low = _scattered(context[rows].astype(np.uint64), self.model.vocabulary)
+            own = np.argsort(high)  # neighbours are looked up one after another
+            rows, high, low = rows[own], high[own], low[own]
+            fresh = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))
+            own, high, low = np.cumsum(fresh) - 1, high[fresh], low[fresh]
+            at = lone.find(high, low)[own]
             some, at = rows[at >= 0], at[at >= 0]
             out[some] = np.where(follower[at] == word[some], max(1 - d[1], 0), 0.0) + d[1] * lower[some]
-            at = contexts.find(heads, self.model.vocabulary)
+            at = contexts.find(high, low)
             seen = at[own] >= 0
             rows, own, at = rows[seen], own[seen], np.maximum(at, 0)
             if not len(rows):
@@ -616,7 +627,7 @@ class Scorer:
             first, last = start[at].astype(np.int64), start[at + 1].astype(np.int64)
             one, two, whole = once[at], twice[at], total[at]
             rest = (d[1] * one + d[2] * two + d[3] * (last - first - one - two)) / whole
-            place = _within(words, first[own], last[own], word[rows])
+            place = _within(words, first[own], last[own], word[rows], self.model.vocabulary)
             c = np.where(place >= 0, counts[np.maximum(place, 0)], 0)
             out[rows] = np.maximum(c - d[np.minimum(c, 3)], 0) / whole[own] + rest[own] * lower[rows]
         return out
