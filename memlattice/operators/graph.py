@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlattice.sources.sinks import materialised
+
 
 def out_hop(seeds: DataFrame, edges: DataFrame, predicate: str) -> DataFrame:
     """(node, next): objects of `predicate` from seed nodes."""
@@ -45,18 +47,19 @@ def capped(neighbours: DataFrame, cap: int) -> DataFrame:
     return neighbours.withColumn("_n", nth).where(F.col("_n") <= cap).drop("_n")
 
 
-def bounded_bfs(centers: DataFrame, neighbours: DataFrame, radius: int) -> DataFrame:
+def bounded_bfs(centers: DataFrame, neighbours: DataFrame, radius: int, both_ways: bool = False) -> DataFrame:
     """(center, node, depth): nodes within `radius` hops of each center, with their least depth.
 
-    All centers advance together: one join and one anti-join per hop.
+    All centers advance together: one join and one anti-join per hop.  Each frontier is written, so no hop is
+    computed again in the next.  Where `neighbours` has every pair in both directions,
+    a step can only lead to the last two frontiers or on, and no older one is read.
     """
-    reached = centers.select(F.col("node").alias("center"), "node", F.lit(0).alias("depth"))
-    frontier = reached
+    fronts = [materialised(centers.select(F.col("node").alias("center"), "node", F.lit(0).alias("depth")))]
     for hop in range(1, radius + 1):
-        step = frontier.join(neighbours, "node").select("center", F.col("nb").alias("node")).distinct()
-        frontier = step.join(reached.select("center", "node"), ["center", "node"], "left_anti").withColumn("depth", F.lit(hop))
-        reached = reached.unionByName(frontier)
-    return reached
+        step = fronts[-1].join(neighbours, "node").select("center", F.col("nb").alias("node")).distinct()
+        met = union_all(fronts[-2:] if both_ways else fronts).select("center", "node")
+        fronts.append(materialised(step.join(met, ["center", "node"], "left_anti").withColumn("depth", F.lit(hop))))
+    return union_all(fronts)
 
 
 def traversed_edges(reached: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
@@ -107,17 +110,15 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def propagate_labels(links: DataFrame, rounds: int = 50) -> DataFrame:
+def propagate_labels(links: DataFrame) -> DataFrame:
     """(node, component) of an edge table (s, o): least reachable node id.
 
     Each round takes the least label among neighbours and then follows that label's
     own label, so chains halve; a round that changes nothing ends it.
     """
-    from memlattice.sources.sinks import materialised
-
     both = materialised(links.select(F.col("s").alias("node"), F.col("o").alias("nb")).union(links.select(F.col("o").alias("node"), F.col("s").alias("nb"))).distinct())
     labels = materialised(both.groupBy("node").agg(F.least(F.col("node"), F.min("nb")).alias("component")))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels.select(F.col("node").alias("nb"), "component"), "nb").groupBy("node").agg(F.min("component").alias("_m"))
         least = labels.join(heard, "node", "left").select("node", F.least("component", "_m").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("_c"))
@@ -125,5 +126,4 @@ def propagate_labels(links: DataFrame, rounds: int = 50) -> DataFrame:
         changed = after.alias("a").join(labels.alias("b"), "node").where("a.component <> b.component").limit(1).count()
         labels = after
         if not changed:
-            break
-    return labels
+            return labels

@@ -113,14 +113,14 @@ def broken_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Follows edges to episodes that are missing from the kept set."""
     e = T.episodes(spark, sf_dir)
     known = e.where(F.length("reply") >= 300).select(F.col("id").alias("node"))
-    return G.without_match(T.episode_edges(e), "follows", known).select("s", "o")
+    return G.without_match(T.edges(spark, sf_dir), "follows", known).select("s", "o")
 
 
 @query("WITH " + T.EDGES_SQL + ", d AS (SELECT o AS node, count(*) AS n FROM edges WHERE p = 'has_topic' GROUP BY o) SELECT id FROM episodes WHERE id NOT IN (SELECT s FROM edges JOIN d ON d.node = o WHERE p = 'has_topic' AND n > 1)")
 def orphan_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes that share no topic with another."""
     e = T.episodes(spark, sf_dir)
-    topic = T.episode_edges(e).where("p = 'has_topic'")
+    topic = T.edges(spark, sf_dir).where("p = 'has_topic'")
     shared = topic.groupBy("o").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     linked = topic.join(shared, "o", "left_semi").select(F.col("s").alias("id"))
     return e.select("id").join(linked, "id", "left_anti")
@@ -205,6 +205,6 @@ def class_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def isolated_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of follows with two nodes or more, named by their session."""
     e = T.episodes(spark, sf_dir)
-    links = T.episode_edges(e).where("p = 'follows'").select("s", "o")
+    links = T.edges(spark, sf_dir).where("p = 'follows'").select("s", "o")
     labels = G.propagate_labels(links)
     return labels.join(e.select(F.col("id").alias("node"), "session"), "node").groupBy("component").agg(F.min("session").alias("_s"), F.count(F.lit(1)).alias("n")).select(F.col("_s").alias("component"), "n")

@@ -107,7 +107,7 @@ def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Follows edges between long episodes."""
     e = T.episodes(spark, sf_dir)
     kept = e.where(F.length("reply") >= 800).select(F.col("id").alias("node"))
-    return G.induced(T.episode_edges(e).where("p = 'follows'"), kept)
+    return G.induced(T.edges(spark, sf_dir).where("p = 'follows'"), kept)
 
 
 @query("WITH " + T.EDGES_SQL + """, m AS (SELECT s, p, o, CASE WHEN length(o) % 3 = 0 THEN 'archived' ELSE 'current' END AS state FROM edges WHERE p = 'has_entity' AND length(o) % 2 = 0)

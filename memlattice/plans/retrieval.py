@@ -99,7 +99,7 @@ _SALIENCE_SQL = """, seen AS (
 def salience_of_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity salience from mention counts and the newest mention."""
     e = T.episodes(spark, sf_dir)
-    return entity_salience(T.episode_edges(e), e).select("entity", "mentions", F.round("value", 6).alias("value"))
+    return entity_salience(T.edges(spark, sf_dir), e).select("entity", "mentions", F.round("value", 6).alias("value"))
 
 
 @query("WITH " + T.EDGES_SQL + _PLAN_SQL + _SALIENCE_SQL + """, matched AS (
@@ -115,7 +115,7 @@ def salience_of_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieve_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top five episodes of every plan by entity, topic and recency score."""
     e = T.episodes(spark, sf_dir)
-    edges = T.episode_edges(e)
+    edges = T.edges(spark, sf_dir)
     found = R.retrieve(plans(edges), e, edges, entity_salience(edges, e))
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 5).alias("score"))
 
@@ -135,7 +135,7 @@ def related_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def follow_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five hops along follows from every episode."""
     e = T.episodes(spark, sf_dir)
-    return G.chain(e.select(F.col("id").alias("node")), T.episode_edges(e), "follows", 5)
+    return G.chain(e.select(F.col("id").alias("node")), T.edges(spark, sf_dir), "follows", 5)
 
 
 @query("WITH " + T.EDGES_SQL + """, hops AS (
@@ -149,7 +149,7 @@ def subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Radius-two subgraphs around all users, with least depths."""
     edges = T.edges(spark, sf_dir)
     centers = edges.where("p = 'has_session'").select(F.col("s").alias("node")).distinct()
-    return G.bounded_bfs(centers, G.undirected(edges, ["in_session", "has_session", "follows"]), 2)
+    return G.bounded_bfs(centers, G.undirected(edges, ["in_session", "has_session", "follows"]), 2, both_ways=True)
 
 
 @query("WITH " + T.EDGES_SQL + """, hops AS (

@@ -1,7 +1,7 @@
 """The memory model bound to the driver tables, and the same bindings in SQL.
 
 * episodes: a user turn of `conversations` and the assistant turn after it;
-* edges: (s, p, o) triples of episodes and of documents;
+* edges: (s, p, o) triples of episodes, `document_edges` of documents;
 * sections: paragraphs of `documents`;
 * assertions and retrievals: `events` by user;
 * vectors: `embeddings`.
@@ -9,10 +9,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memlattice.functions import text as X
+from memlattice.sources.sinks import shared_folder
 
 #: Tone words of the binding, longest part first seen.
 EPOCH = "2026-07-01 00:00:00"
@@ -22,7 +27,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_known: dict[tuple[str, ...], tuple[str, StructType]] = {}
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files, as the file system lists them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.listStatus(where)
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, sources: list[str], build: Callable[[], DataFrame], partition: str | None = None) -> DataFrame:
+    """A derived table, written once per application and state of its source tables and read from then on."""
+    marks = [fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in sources]
+    key = (spark.sparkContext.applicationId, sf_dir, name, *marks)
+    if key not in _known:
+        df, path = build(), f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        writer = df.repartition(partition).write.partitionBy(partition) if partition else df.write
+        writer.parquet(path)
+        _known[key] = path, df.schema
+    path, schema = _known[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored exchanges; see `derived_episodes`."""
+    return stored(spark, sf_dir, "episodes", ["conversations"], lambda: derived_episodes(spark, sf_dir))
+
+
+def derived_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per exchange: id, session, user, ts, prompt, reply, summary, entities, topics, tones, follows."""
     turns = table(spark, sf_dir, "conversations")
     session = Window.partitionBy("conv_id").orderBy("turn")
@@ -105,7 +139,8 @@ EDGES_SQL = EPISODES_SQL + """, edges AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episode_edges(episodes(spark, sf_dir))
+    """The stored triples; a filter on p reads that predicate's files only."""
+    return stored(spark, sf_dir, "edges", ["conversations"], lambda: episode_edges(episodes(spark, sf_dir)), "p").select("s", "p", "o")
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +166,37 @@ SECTIONS_SQL = """
     )"""
 
 
+def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of documents and their sections: structure, source, kind, and entities of section texts."""
+
+    def build() -> DataFrame:
+        s = sections(spark, sf_dir)
+        named = s.select("section", F.explode(X.capitalised(F.col("body"), 6)).alias("_v")).select(F.col("section").alias("s"), F.lit("has_entity").alias("p"), F.concat(F.lit("E:"), "_v").alias("o"))
+        docs = table(spark, sf_dir, "documents").select(F.format_string("doc_%06d", "doc_id").alias("doc"), "source", "lang")
+        parts = [
+            s.select(F.col("section").alias("s"), F.lit("child_of").alias("p"), F.col("doc").alias("o")),
+            s.select(F.col("doc").alias("s"), F.lit("has_section").alias("p"), F.col("section").alias("o")),
+            docs.where("source IS NOT NULL").select(F.col("doc").alias("s"), F.lit("from_source").alias("p"), F.concat(F.lit("src:"), "source").alias("o")),
+            docs.where("lang IS NOT NULL").select(F.col("doc").alias("s"), F.lit("of_kind").alias("p"), F.concat(F.lit("K:"), "lang").alias("o")),
+            named.select(F.col("o").alias("s"), F.lit("in_section").alias("p"), F.col("s").alias("o")),
+        ]
+        for part in parts:
+            named = named.unionByName(part)
+        return named
+
+    return stored(spark, sf_dir, "document_edges", ["documents"], build, "p").select("s", "p", "o")
+
+
+DOCUMENT_EDGES_SQL = SECTIONS_SQL + """, document_edges AS (
+        SELECT section AS s, 'child_of' AS p, doc AS o FROM sections
+        UNION ALL SELECT doc, 'has_section', section FROM sections
+        UNION ALL SELECT printf('doc_%06d', doc_id), 'from_source', 'src:' || source FROM documents WHERE source IS NOT NULL
+        UNION ALL SELECT printf('doc_%06d', doc_id), 'of_kind', 'K:' || lang FROM documents WHERE lang IS NOT NULL
+        UNION ALL SELECT section, 'has_entity', 'E:' || unnest(list_distinct(regexp_extract_all(body, '[A-Z][a-z]{5,}'))) FROM sections
+        UNION ALL SELECT 'E:' || unnest(list_distinct(regexp_extract_all(body, '[A-Z][a-z]{5,}'))), 'in_section', section FROM sections
+    )"""
+
+
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State assertions (entity, value, asserted_by, asserted_at) from events."""
     return table(spark, sf_dir, "events").select(
