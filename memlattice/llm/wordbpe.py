@@ -19,7 +19,7 @@ import pyarrow as pa
 from memlattice.llm.bytekernel import text_bytes, word_spans
 
 #: Runs whose ids a worker keeps, about 40 bytes each.
-CACHE_RUNS = 1_500_000
+CACHE_RUNS = 750_000
 #: Marks that may close a run: ASCII punctuation but the apostrophe, which begins contractions.
 _MARKS = "".join(c for c in string.punctuation if c != "'")
 
