@@ -104,8 +104,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """`docs` with one row of each group of equal texts, that of the largest id."""
     text = text_or_empty(text_col)
     rows = refined(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_t")), prefix_chars)
-    close = rows.where("_close").select("doc_id", _digest(F.col("_t")).alias("_sha"))
-    copies = close.groupBy("doc_id", "_sha").agg(F.count(F.lit(1)).alias("_copies"))
+    close = rows.where("_close").select("doc_id", _digest(F.col("_t")).alias("_sha"), F.xxhash64("_t").alias("_hash"))
+    copies = close.groupBy("doc_id", "_sha", "_hash").agg(F.count(F.lit(1)).alias("_copies"))
     once = F.col("doc_id").eqNullSafe(F.col("_keep"))
     marks = _grouped(copies, equal_groups(close)).where(F.col("_size").isNotNull() & (~once | (F.col("_copies") > 1)))
-    return without_rows(docs, marks.select("doc_id", F.col("_sha").alias("digest"), once.alias("once")), _digest(text), id_col)
+    return without_rows(docs, marks.select("doc_id", F.col("_hash").alias("digest"), once.alias("once")), F.xxhash64(text), id_col)

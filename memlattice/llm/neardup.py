@@ -367,21 +367,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, plan: Pl
 
 
 def _labelled(docs: DataFrame, width: int, percent: int, plan: Plan | None, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest, n, root (the component's number; null where the set is alone or empty) and component_id of every row."""
+    """doc_id, digest, n, root (the component's number; null where no other row has or nears the set) and component_id of every row."""
     plan, spark = plan or Plan(), docs.sparkSession
     docs = narrow(docs, id_col, text_col)
     signed = written(signed_sets(docs, width, plan), "signed")
-    groups = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+    groups = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
     groups = written(groups.withColumn("rid", F.monotonically_increasing_id()), "groups")  # numbers are settled by writing
     step = Scratch(spark)
     nodes = connected_components(candidate_links(groups.select("rid", "sig"), plan, step))
-    families = step.written(nodes.join(groups.drop("sig").withColumnRenamed("rid", "node"), "node"), "family")
+    families = step.written(nodes.join(groups.drop("sig", "rows").withColumnRenamed("rid", "node"), "node"), "family")
     confirmed = connected_components(confirmed_links(docs, families, width, percent, step)).withColumnRenamed("node", "rid")
     step.clear()
     members = confirmed.join(groups.select("rid", "doc"), "rid")
     least = members.groupBy("component").agg(F.min("doc").alias("_least"))
     linked = members.join(least, "component").select("rid", "component", "_least")
-    named = groups.drop("sig").join(linked, "rid", "left").select("n", "d1", "d2", F.coalesce("component", "rid").alias("root"), F.coalesce("_least", "doc").alias("_c"))
+    # sets of one row and no link need no name: they are their own component
+    named = groups.drop("sig").join(linked, "rid", "left").where("component IS NOT NULL OR rows > 1")
+    named = written(named.select("n", "d1", "d2", F.coalesce("component", "rid").alias("root"), F.coalesce("_least", "doc").alias("_c")), "named")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return signed.drop("sig").join(named, ["n", "d1", "d2"], "left").select(
         "doc_id", "digest", "n", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"), component.alias("component_id")
