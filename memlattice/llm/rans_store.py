@@ -15,8 +15,8 @@ parallel and are checked one by one.  The frequency table is shared by all
 frames: counts of all ids of the corpus scaled to 2^16 slots, none below 1.
 
 Texts are encoded where they are read; what is shuffled is their ids, 16 bits each.
-Files are in ascending document order: a range partition of the document ids
-gives `part`, and `block` counts within it.
+Files are in ascending document order: ranges of the document ids, from a
+quantile sketch, give `part`, and `block` counts within it.
 
 Defined results: a null or empty text is the end id alone; rows that repeat an
 id follow one another; null ids come first; an empty table gives no rows; other
@@ -209,11 +209,21 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<u2")[:, 0]
 
 
-TOKENS = schema(doc_id=LONG, n=LONG, ids=BIN)
+TOKENS = schema(part=INT, doc_id=LONG, n=LONG, ids=BIN)
 
 
-def token_rows(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """Ids of each (doc_id, text) with the end id, in byte planes."""
+def id_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """Upper ends of `parts` ranges of doc_id with about as many rows each, from a quantile sketch of the ids.
+
+    Only the id column is read; sketch and bounds follow the number of partitions.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    found = docs.approxQuantile("doc_id", shares, 1 / (4 * parts)) if shares else []
+    return np.unique(np.clip(found, -(2.0**62), 2.0**62).astype(np.int64))
+
+
+def token_rows(docs: DataFrame, vocabulary: str, end_id: int, uppers: np.ndarray) -> DataFrame:
+    """Ids of each (doc_id, text) with the end id, in byte planes, and the id range of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -223,14 +233,16 @@ def token_rows(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 ids, at = enc.encode_column(some.column("text"))
                 bounds = at.tolist()
                 data = [_planes(np.append(ids[a:b], enc.dtype.type(end_id))) for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.diff(at) + 1), pa.array(data, pa.binary())], names=TOKENS.names)
+                names = some.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+                part = np.searchsorted(uppers, names).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), some.column("doc_id"), pa.array(np.diff(at) + 1), pa.array(data, pa.binary())], names=TOKENS.names)
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, TOKENS)
 
 
-def ordered_blocks(tokens: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Rows of `token_rows` in ascending doc_id order, in blocks of whole documents."""
+def ordered_blocks(tokens: DataFrame, parts: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Rows of `token_rows` in ascending doc_id order, one partition for each id range, in blocks of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -245,7 +257,7 @@ def ordered_blocks(tokens: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataF
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _RAW_ARROW, strict=True)], names=RAW.names)
 
         for batch in batches:
-            for doc, n, data in zip(*(batch.column(c).to_pylist() for c in TOKENS.names), strict=True):
+            for doc, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
                 held.append(_unplaned(data))
                 names.append(doc)
                 size += n
@@ -255,7 +267,7 @@ def ordered_blocks(tokens: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataF
         if held:
             yield flush()
 
-    ranged = tokens.repartitionByRange(partitions_for(tokens), "doc_id").sortWithinPartitions("doc_id")
+    ranged = tokens.repartitionById(parts, "part").sortWithinPartitions("doc_id")
     return ranged.mapInArrow(run, RAW)
 
 
@@ -283,10 +295,10 @@ def frequency_table(raw: DataFrame) -> Table:
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Table:
     """Tokenise `docs` and write coded files to `path`; returns the shared table."""
     spark = docs.sparkSession
-    step, blocks = Scratch(spark), Scratch(spark)
-    tokens = step.written(token_rows(narrow(docs, id_col, text_col), vocabulary or default_vocabulary(), end_id), "tokens")
-    raw = blocks.written(ordered_blocks(tokens), "ids")
-    step.clear()
+    blocks, plain = Scratch(spark), narrow(docs, id_col, text_col)
+    parts = partitions_for(plain)
+    tokens = token_rows(plain, vocabulary or default_vocabulary(), end_id, id_bounds(plain, parts))
+    raw = blocks.written(ordered_blocks(tokens, parts), "ids")
     table = frequency_table(raw)
     shared = spark.sparkContext.broadcast(table)  # 2^16 frequencies
 
