@@ -26,9 +26,8 @@ def half_life(days: Column, half: float) -> Column:
 
 
 def access_frequency(ages: Column, half: float = BOOST_HALF_LIFE_DAYS, saturation: float = ACCESS_SATURATION) -> Column:
-    """Recency-weighted number of accesses (array of ages in days), as a share of saturation up to 1."""
-    total = F.aggregate(ages, F.lit(0.0), lambda acc, d: acc + F.pow(F.lit(0.5), d / F.lit(half)))
-    return F.least(F.lit(1.0), total / F.lit(saturation))
+    """Aggregate: recency-weighted number of accesses (one row each, ages in days), as a share of saturation up to 1."""
+    return F.least(F.lit(1.0), F.coalesce(F.sum(half_life(ages, half)), F.lit(0.0)) / F.lit(saturation))
 
 
 def utility(access: Column, structural: Column) -> Column:

@@ -92,11 +92,17 @@ def shards(rows: DataFrame, key: str, size: int) -> DataFrame:
 def nonadjacent_pairs(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """(center, a, b): per subgraph, pairs of one kind without an edge, the first `most` in order.
 
-    `nodes` has center, node, kind; a cap on candidates is the operator's own parameter.
+    `nodes` has center, node, kind; a cap on candidates is the operator's own parameter.  A node
+    with d edges meets the `most` + d nodes after it: at least `most` of them are free, or all were met.
     """
-    left, right = nodes.alias("x"), nodes.alias("y")
-    pairs = left.join(right, ["center", "kind"]).where("x.node < y.node").select("center", F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     both = edges.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
+    taken = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("_d"))
+    nth = F.row_number().over(Window.partitionBy("center", "kind").orderBy("node"))
+    ranked = nodes.distinct().withColumn("_r", nth)
+    last = F.col("_r") + most + F.coalesce("_d", F.lit(0)).cast("int")
+    steps = ranked.join(taken, "node", "left").withColumn("_to", F.explode(F.sequence(F.col("_r") + 1, last)))
+    after = ranked.select("center", "kind", F.col("_r").alias("_to"), F.col("node").alias("b"))
+    pairs = steps.join(after, ["center", "kind", "_to"]).select("center", F.col("node").alias("a"), "b")
     free = pairs.join(both, ["a", "b"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("center").orderBy("a", "b"))
     return free.withColumn("_n", nth).where(F.col("_n") <= most).select("center", "a", "b")

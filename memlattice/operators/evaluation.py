@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions.scoring import wilson
+from memlattice.sources.sinks import materialised
 
 
 def auc(rows: DataFrame, key: str, score: str, label: str) -> DataFrame:
@@ -68,17 +69,48 @@ def seeded_split(rows: DataFrame, column: str, fraction: float, seed: int) -> Da
     return rows.withColumn("val", draw < fraction)
 
 
+def placed_values(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, n, before, total): each distinct value, its rows, the rows of its key below it, and all of the key.
+
+    Values are counted, dealt into ranges and summed per range, so a key's
+    values never meet in one task.  Null values are left out; a key without any has no row.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    dealt = materialised(counted.repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_range")).agg(F.sum("n").alias("_n"))
+    w = Window.partitionBy("_key")  # one row per range
+    sums = sums.select("_key", "_range", (F.sum("_n").over(w.orderBy("_range")) - F.col("_n")).alias("_base"), F.sum("_n").over(w).alias("total"))
+    inside = Window.partitionBy(key, "_part").orderBy(value)
+    placed = dealt.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_range")))
+    return placed.select(key, value, "n", (F.col("_base") + F.sum("n").over(inside) - F.col("n")).alias("before"), "total")
+
+
+def _value_at(value: str, index: Column) -> Column:
+    """Aggregate of `placed_values`: the value at a 0-based place of its key's sorted rows."""
+    return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("n")), F.col(value)))
+
+
 def upper_stats(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, least, upper_median, p99, most, mean): nearest-rank statistics of sorted values."""
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("_s"), F.avg(value).alias("mean"))
-    n = F.size("_s")
-    at = lambda i: F.element_at("_s", i.cast("int") + 1)
-    return g.select(
-        key, n.cast("long").alias("n"), at(F.lit(0)).alias("least"), at(F.floor(n / 2)).alias("upper_median"),
-        at(F.least(n - 1, F.ceil(n * 0.99) - 1)).alias("p99"), at(n - 1).alias("most"), "mean",
+    total = F.col("total")
+    return placed_values(rows, key, value).groupBy(key).agg(
+        F.max("total").alias("n"), F.min(value).alias("least"), _value_at(value, F.floor(total / 2)).alias("upper_median"),
+        _value_at(value, F.least(total - 1, F.ceil(total * 0.99) - 1)).alias("p99"), F.max(value).alias("most"),
+        (F.sum(F.col(value) * F.col("n")) / F.max("total")).alias("mean"),
     )
 
 
+def quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, one column per name): values at shares of the sorted rows, interpolated between neighbours."""
+
+    def between(share: float) -> Column:
+        place = F.lit(share) * (F.col("total") - 1)
+        low, high = _value_at(value, F.floor(place)), _value_at(value, F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return placed_values(rows, key, value).groupBy(key).agg(*[between(s).alias(name) for name, s in shares.items()])
+
+
 def ridge(rows: DataFrame, features: list[str], target: str, penalty: float) -> np.ndarray:
     """Weights of standardised features and an intercept, from sums gathered in one aggregate."""
     moments = rows.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features], F.avg(target), F.count(F.lit(1))).first()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions import scoring as S
+from memlattice.sources.sinks import materialised
 
 
 def latest_assertion(assertions: DataFrame) -> DataFrame:
@@ -30,16 +31,28 @@ def contradictions(assertions: DataFrame) -> DataFrame:
     ).where("n_values > 1")
 
 
-def compounded_boost(ratings: DataFrame) -> DataFrame:
+def compounded_boost(ratings: DataFrame, run: int = 4096) -> DataFrame:
     """(unit, value, n): ratings from 1 to 5 applied in order, clamped at every step.
 
-    `ratings` has unit, position and rating.
+    `ratings` has unit, position and rating.  A run of ratings maps a boost x to
+    x times their factors, held between what it makes of the least and the
+    greatest boost.  So ranges of positions are folded to such maps on their own,
+    in runs of `run` ratings, and a unit's maps are applied in order.
     """
-    low, high = S.UNIT_BOOST
+    bounds = [F.lit(float(x)) for x in S.UNIT_BOOST]
+    held = lambda x: F.least(bounds[1], F.greatest(bounds[0], x))
     kept = ratings.where("rating BETWEEN 1 AND 5 AND NOT unit RLIKE '[/\\\\x00]'")
-    ordered = kept.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("position", F.col("rating").cast("double").alias("rating")))).alias("_r"))
-    step = lambda acc, r: F.least(F.lit(high), F.greatest(F.lit(low), acc * (F.lit(0.5) + (r["rating"] - 1) / F.lit(4.0))))
-    return ordered.select("unit", F.aggregate("_r", F.lit(1.0), step).alias("value"), F.size("_r").cast("long").alias("n"))
+    kept = kept.select("unit", "position", (F.lit(0.5) + (F.col("rating").cast("double") - 1) / F.lit(4.0)).alias("factor"))
+    dealt = materialised(kept.repartitionByRange("unit", "position").withColumn("_part", F.spark_partition_id()))
+    nth = F.row_number().over(Window.partitionBy("unit", "_part").orderBy("position")) - 1
+    runs = dealt.withColumn("_run", F.floor(nth / run)).groupBy("unit", "_part", "_run")
+    listed = runs.agg(F.array_sort(F.collect_list(F.struct("position", "factor"))).alias("_r"))
+    same = F.struct(F.lit(1.0).alias("factor"), bounds[0].alias("low"), bounds[1].alias("high"))
+    more = lambda m, r: F.struct((m["factor"] * r["factor"]).alias("factor"), held(m["low"] * r["factor"]).alias("low"), held(m["high"] * r["factor"]).alias("high"))
+    maps = listed.select("unit", "_part", "_run", F.size("_r").alias("_n"), F.aggregate("_r", same, more).alias("_m"))
+    ordered = maps.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("_part", "_run", "_m"))).alias("_m"), F.sum("_n").alias("n"))
+    apply = lambda x, m: F.least(m["_m"]["high"], F.greatest(m["_m"]["low"], x * m["_m"]["factor"]))
+    return ordered.select("unit", F.aggregate("_m", F.lit(1.0), apply).alias("value"), "n")
 
 
 def retrieval_fold(retrievals: DataFrame, start_rate: float = 0.01) -> DataFrame:
@@ -58,12 +71,12 @@ def retrieval_fold(retrievals: DataFrame, start_rate: float = 0.01) -> DataFrame
 def dream(edges: DataFrame, now_days: Column) -> DataFrame:
     """Adds decayed rate and score, utility and the archive decision to edges.
 
-    Columns used: score, rate, base_rate, last (double days), ages (array of days), structural.
+    Columns used: score, rate, base_rate, last (double days), access (`access_frequency`), structural.
     """
     idle = F.greatest(F.lit(0.0), now_days - F.col("last"))
     out = edges.withColumn("new_rate", S.dream_rate(F.col("rate"), F.col("base_rate"), idle))
     out = out.withColumn("new_score", S.dream_score(F.col("score"), F.col("new_rate"), idle))
-    value = S.utility(S.access_frequency(F.col("ages")), F.col("structural"))
+    value = S.utility(F.col("access"), F.col("structural"))
     return out.withColumn("utility", value).withColumn("archive", F.col("utility") < S.PRUNE_BELOW)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,19 +62,19 @@ def diverse(results: DataFrame, most: int = 3) -> DataFrame:
     """
 
     def rerank(group):  # one query's results, a short list
-        import pandas as pd
-
-        waiting = group.sort_values(["score", "id"], ascending=[False, True]).to_dict("records")
+        ordered = group.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
+        waiting: dict[str, deque[int]] = {}  # places of each kind, best first
+        for place, kind in enumerate(ordered["kind"]):
+            waiting.setdefault(kind, deque()).append(place)
         out, run, last = [], 0, None
         while waiting:
-            at = 0
-            if run >= most:
-                at = next((i for i, r in enumerate(waiting) if r["kind"] != last), 0)
-            row = waiting.pop(at)
-            run = run + 1 if row["kind"] == last else 1
-            last = row["kind"]
-            out.append(row | {"position": len(out)})
-        return pd.DataFrame(out)
+            free = [k for k in waiting if run < most or k != last] or list(waiting)
+            kind = min(free, key=lambda k: waiting[k][0])
+            out.append(waiting[kind].popleft())
+            run, last = (run + 1 if kind == last else 1), kind
+            if not waiting[kind]:
+                del waiting[kind]
+        return ordered.loc[out].assign(position=range(len(out)))
 
     schema = "query_id string, id string, kind string, score double, position int"
     return results.select("query_id", "id", "kind", "score").groupBy("query_id").applyInPandas(rerank, schema)

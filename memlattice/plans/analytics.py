@@ -58,11 +58,13 @@ def language_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles, mean, deviation and tail share per event type."""
     e = T.table(spark, sf_dir, "events")
-    p = lambda q: F.round(F.percentile("value", q), 6)
-    return e.groupBy("event_type").agg(
-        p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev_pop("value"), 6).alias("sd"), F.round(F.avg(F.when(F.col("value") >= 99, 1.0).otherwise(0.0)), 6).alias("tail"),
+    q = E.quantiles(e, "event_type", "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    moments = e.groupBy(F.col("event_type").alias("_type")).agg(
+        F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd"),
+        F.round(F.avg(F.when(F.col("value") >= 99, 1.0).otherwise(0.0)), 6).alias("tail"),
     )
+    both = moments.join(q, F.col("_type").eqNullSafe(F.col("event_type")), "left")
+    return both.select(F.col("_type").alias("event_type"), *[F.round(p, 6).alias(p) for p in ("p10", "p50", "p90")], "mean", "sd", "tail")
 
 
 @query("""WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, avg(value) OVER (PARTITION BY event_type) AS m FROM events)
@@ -214,7 +216,7 @@ def gold_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forgotten_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose error exceeds their split's median."""
     li = T.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("split"), F.col("l_discount").alias("err"))
-    med = li.groupBy("split").agg(F.percentile("err", 0.5).alias("_m"))
+    med = E.quantiles(li, "split", "err", {"_m": 0.5})
     return li.join(F.broadcast(med), "split").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("err") > F.col("_m"), 1)).alias("forgotten"))
 
 

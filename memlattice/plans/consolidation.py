@@ -79,11 +79,11 @@ def dream_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decay, utility and soft-archive decision of every association edge."""
     r = _retrievals(spark, sf_dir).select("edge", (F.col("seconds") / F.lit(86400.0)).alias("at"))
     now = F.broadcast(r.agg(F.max("at").alias("_now")))
-    g = r.groupBy("edge").agg(F.max("at").alias("last"), F.collect_list("at").alias("_at")).crossJoin(now)
-    g = g.select(
-        "edge", "last", "_now", F.lit(1.0).alias("score"), F.lit(0.02).alias("rate"), F.lit(0.01).alias("base_rate"),
-        F.transform("_at", lambda a: F.col("_now") - a).alias("ages"), ((F.size("_at") % 10) / F.lit(40.0)).alias("structural"),
+    g = r.crossJoin(now).groupBy("edge").agg(
+        F.max("at").alias("last"), F.max("_now").alias("_now"), S.access_frequency(F.col("_now") - F.col("at")).alias("access"),
+        ((F.count(F.lit(1)) % 10) / F.lit(40.0)).alias("structural"),
     )
+    g = g.select("*", F.lit(1.0).alias("score"), F.lit(0.02).alias("rate"), F.lit(0.01).alias("base_rate"))
     d = L.dream(g, F.col("_now"))
     return d.select("edge", F.round("new_rate", 6).alias("new_rate"), F.round("new_score", 6).alias("new_score"), F.round("utility", 6).alias("utility"), "archive")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions import text as X
+from memlattice.operators import evaluation as E
 from memlattice.operators import memory as M
 from memlattice.operators import vectors as V
 from memlattice.registry import query
@@ -72,8 +73,9 @@ def selectivity_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT round(quantile_cont(value, 0.3), 6) AS recoverability, round(quantile_cont(value, 0.7), 6) AS relevance, round(quantile_cont(value, 0.8), 6) AS surprise FROM events")
 def salience_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds at the 30th, 70th and 80th percentile."""
-    p = lambda q, n: F.round(F.percentile("value", q), 6).alias(n)
-    return T.table(spark, sf_dir, "events").agg(p(0.3, "recoverability"), p(0.7, "relevance"), p(0.8, "surprise"))
+    e = T.table(spark, sf_dir, "events").select(F.lit(0).alias("all"), "value")
+    q = E.quantiles(e, "all", "value", {"recoverability": 0.3, "relevance": 0.7, "surprise": 0.8})
+    return q.select(*[F.round(c, 6).alias(c) for c in ("recoverability", "relevance", "surprise")])
 
 
 @query("WITH " + T.EPISODES_SQL + ', s AS (SELECT "user", session, min(ts) AS t FROM episodes GROUP BY ALL) SELECT "user", session, lag(session) OVER (PARTITION BY "user" ORDER BY t, session) AS follows_session FROM s')

@@ -211,3 +211,54 @@ def test_threads_and_closures_beyond_32_levels(spark):
         assert far == {f"c{i}": i for i in range(1, 37)} | {"y": 1, "x": 2}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_feedback_in_runs_equals_a_walk(spark):
+    rng = random.Random(5)
+    rows = [(f"u{rng.randint(0, 2)}", i, rng.randint(0, 6)) for i in range(900)]
+    want: dict[str, float] = {}
+    for unit, _, rating in rows:
+        if 1 <= rating <= 5:
+            want[unit] = min(4.0, max(0.25, want.get(unit, 1.0) * (0.5 + (rating - 1) / 4)))
+    for run in (1, 7, 4096):
+        got = {r.unit: r.value for r in L.compounded_boost(spark.createDataFrame(rows, "unit string, position int, rating int"), run).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_statistics_of_counted_values(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(25))])) for _ in range(700)] + [("none", None), ("one", 3.0)]
+    by = defaultdict(list)
+    for k, v in rows:
+        if v is not None:
+            by[k].append(float(v))
+    df = spark.createDataFrame(rows, "k string, v double")
+    stats = {r.k: r for r in E.upper_stats(df, "k", "v").collect()}
+    shares = {r.k: r for r in E.quantiles(df, "k", "v", {"low": 0.1, "mid": 0.5}).collect()}
+    assert set(stats) == set(shares) == set(by)
+    for k, v in by.items():
+        v.sort()
+        n = len(v)
+        assert (stats[k].n, stats[k].least, stats[k].most) == (n, v[0], v[-1])
+        assert (stats[k].upper_median, stats[k].p99) == (v[n // 2], v[min(n - 1, math.ceil(n * 0.99) - 1)])
+        assert stats[k].mean == pytest.approx(sum(v) / n)
+        for name, q in (("low", 0.1), ("mid", 0.5)):
+            at = q * (n - 1)
+            low, high = v[math.floor(at)], v[math.ceil(at)]
+            assert shares[k][name] == pytest.approx(low + (high - low) * (at - math.floor(at)))
+    assert E.quantiles(df.limit(0), "k", "v", {"mid": 0.5}).count() == 0
+
+
+def test_pairs_without_an_edge_against_all_pairs(spark):
+    rng = random.Random(7)
+    nodes = [(c, f"n{i:02d}", rng.choice("xy")) for c in ("c", "d") for i in range(14)]
+    edges = [(f"n{rng.randint(0, 13):02d}", "p", f"n{rng.randint(0, 13):02d}") for _ in range(60)] + [("n00", "p", f"n{i:02d}") for i in range(14)]
+    linked = {frozenset((a, b)) for a, _, b in edges}
+    for most in (1, 4, 500):
+        want = set()
+        for c in ("c", "d"):
+            kind = {n: k for x, n, k in nodes if x == c}
+            free = sorted((a, b) for a in kind for b in kind if a < b and kind[a] == kind[b] and frozenset((a, b)) not in linked)
+            want |= {(c, *p) for p in free[:most]}
+        got = D.nonadjacent_pairs(spark.createDataFrame(nodes, "center string, node string, kind string"), spark.createDataFrame(edges, "s string, p string, o string"), most)
+        assert {tuple(r) for r in got.collect()} == want
