@@ -298,7 +298,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     blocks, plain = Scratch(spark), narrow(docs, id_col, text_col)
     parts = partitions_for(plain)
     tokens = token_rows(plain, vocabulary or default_vocabulary(), end_id, id_bounds(plain, parts))
-    raw = blocks.written(ordered_blocks(tokens, parts), "ids")
+    raw = blocks.written(ordered_blocks(tokens, parts), "ids", compression="zstd")
     table = frequency_table(raw)
     shared = spark.sparkContext.broadcast(table)  # 2^16 frequencies
 

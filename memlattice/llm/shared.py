@@ -78,9 +78,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, scratch_path(spark, "step")
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
