@@ -48,7 +48,7 @@ _BITS = 16
 _ONE = np.uint32(1 << _BITS)
 _SHIFT, _LOW = np.uint32(16), np.uint32(0xFFFF)
 #: Ids of a block, its lanes, and ids between checkpoints.
-BLOCK_TOKENS, LANES, CHECKPOINT = 1 << 18, 1024, 1 << 17
+BLOCK_TOKENS, LANES, CHECKPOINT = 1 << 17, 1024, 1 << 16
 
 
 @dataclass(frozen=True)
