@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import exact_dedup, gif_media, langid, neardup, ngram_lm, packing, rans_store, sharding, url_reputation, viterbi_pieces
+from memlattice.llm import exact_dedup, gif_media, langid, neardup, ngram_lm, packing, rans_store, secret_scan, sharding, url_reputation, viterbi_pieces
 from memlattice.llm.shared import written
 
 
@@ -81,6 +81,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text of `documents`: the fixed patterns, and runs that the Markov models find random."""
+    docs = _table(spark, sf_dir, "documents")
+    weights = secret_scan.markov_weights(secret_scan.labelled_samples(docs))
+    return secret_scan.scan_digest(docs, weights)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,9 +101,80 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_rans_store,
         op9_vector_shards,
         op10_exact_dedup,
+        op11_markov_secrets,
     )
 }
 
+def _secrets_sql() -> str:
+    """The scan in SQL: rows for matches, windows for places, joins for weights."""
+    kinds, ctes, rest = secret_scan.BASE, [], "texts"
+
+    def matches(name: str, source: str, pattern: str, group: int) -> str:
+        rx = pattern.replace("'", "''")
+        return f"""{name}_lists AS (
+            SELECT r, string_split_regex(t, '{rx}') AS parts, regexp_extract_all(t, '{rx}', 0) AS hits, regexp_extract_all(t, '{rx}', {group}) AS inner_parts
+            FROM {source} WHERE regexp_matches(t, '{rx}')
+        ), {name}_rows AS (
+            SELECT r, parts[i] AS part, hits[i] AS hit, inner_parts[i] AS val, i, len(hits) AS m, parts[len(parts)] AS tail
+            FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM {name}_lists)
+        ), {name} AS (
+            SELECT *, sum(length(part) + length(hit)) OVER (PARTITION BY r ORDER BY i) - length(hit) AS s, sum(length(part) + length(hit)) OVER (PARTITION BY r ORDER BY i) AS e FROM {name}_rows
+        )"""
+
+    for rank, (name, pattern, group, least) in enumerate(kinds):
+        ctes.append(matches(f"k{rank}", "texts", pattern, group))
+        ctes.append(matches(f"b{rank}", rest, pattern, group))
+        ctes.append(f"""rest{rank} AS (
+            SELECT r, coalesce(blank, t) AS t FROM {rest} LEFT JOIN (
+                SELECT r, string_agg(part || CASE WHEN length(val) >= {least} THEN repeat(' ', length(hit)) ELSE hit END, '' ORDER BY i) || any_value(tail) AS blank FROM b{rank} GROUP BY r
+            ) USING (r))""")
+        rest = f"rest{rank}"
+    base = " UNION ALL ".join(f"SELECT r, {rank} AS rank, '{name}' AS kind, s, e, val FROM k{rank} WHERE length(val) >= {least}" for rank, (name, _, _, least) in enumerate(kinds))
+    ctes.append(matches("added", rest, secret_scan.CANDIDATE, 0))
+    return f"""
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        {", ".join(ctes)}, base AS ({base}),
+        drawn AS (
+            SELECT r, sha256('random:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM texts
+            WHERE ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT < (SELECT ceil(least(1.0::DOUBLE, {secret_scan.SAMPLE_ROWS}::DOUBLE / greatest(count(*), 1)) * 4294967296) FROM documents)
+        ), samples AS (
+            SELECT digest AS v, true AS random FROM drawn UNION ALL SELECT to_base64(unhex(digest)), true FROM drawn
+            UNION ALL SELECT val, true FROM base JOIN drawn USING (r)
+            UNION ALL SELECT v, false FROM (SELECT unnest(regexp_extract_all(t, '{secret_scan.SHORT_RUN}', 0)) AS v FROM {rest} JOIN drawn USING (r)) WHERE length(v) <= {secret_scan.LONGEST_SHORT}
+        ), moved AS (
+            SELECT random, CASE WHEN i = 1 THEN '' ELSE substr(v, i - 1, 1) END AS a, substr(v, i, 1) AS b, n
+            FROM (SELECT *, unnest(range(1, length(v) + 1)) AS i FROM (SELECT v, random, count(*) AS n FROM samples WHERE regexp_full_match(v, '[A-Za-z0-9+/_=-]+') GROUP BY ALL))
+        ), letters AS (
+            SELECT unnest(string_split('{secret_scan.ALPHABET}', '')) AS b
+        ), every AS (
+            SELECT a, letters.b, kind FROM (SELECT b AS a FROM letters UNION ALL SELECT ''), letters, (VALUES (true), (false)) AS k (kind)
+        ), counted AS (
+            SELECT e.a, e.b, e.kind, coalesce(sum(n), 0) AS n FROM every e LEFT JOIN moved m ON m.a = e.a AND m.b = e.b AND m.random = e.kind GROUP BY ALL
+        ), seen AS (
+            SELECT b, kind, sum(n) + {secret_scan.SMOOTHING}::DOUBLE AS n FROM counted GROUP BY b, kind
+        ), leaned AS (
+            SELECT b, kind, n / sum(n) OVER (PARTITION BY kind) AS own FROM seen
+        ), shares AS (
+            SELECT a, b, kind, (n + {secret_scan.LEAN}::DOUBLE * own) / (sum(n) OVER (PARTITION BY a, kind) + {secret_scan.LEAN}::DOUBLE) AS p FROM counted JOIN leaned USING (b, kind)
+        ), weights AS (
+            SELECT x.a, x.b, floor(1000 * ln(x.p / y.p))::BIGINT AS w FROM shares x JOIN shares y USING (a, b) WHERE x.kind AND NOT y.kind
+        ), scored AS (
+            SELECT v, sum(w) AS score FROM (
+                SELECT v, CASE WHEN i = 1 THEN '' ELSE substr(v, i - 1, 1) END AS a, substr(v, i, 1) AS b
+                FROM (SELECT v, unnest(range(1, length(v) + 1)) AS i FROM (SELECT DISTINCT hit AS v FROM added WHERE regexp_matches(hit, '[A-Za-z]')))
+            ) JOIN weights USING (a, b) GROUP BY v
+        ), spans AS (
+            FROM base UNION ALL SELECT r, {len(kinds)}, '{secret_scan.ADDED}', s, e, hit FROM added JOIN scored ON hit = v WHERE score > {secret_scan.MARGIN}
+        ), found AS (
+            SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (rank = 3) AS n_markov,
+                   string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, rank) FILTER (rank < 3) AS b, string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, rank) AS a
+            FROM spans GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_markov, 0) AS n_markov,
+               sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+        FROM texts LEFT JOIN found USING (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_host_reputation": """
         WITH parts AS (
@@ -146,4 +224,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_markov_secrets": _secrets_sql(),
 }
