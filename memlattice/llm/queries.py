@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import exact_dedup, gif_media, langid, neardup, ngram_lm, packing, rans_store, secret_scan, sharding, url_reputation, viterbi_pieces
+from memlattice.llm import alignment, exact_dedup, gif_media, langid, neardup, ngram_lm, packing, rans_store, secret_scan, sharding, url_reputation, viterbi_pieces
 from memlattice.llm.shared import written
 
 
@@ -88,6 +88,11 @@ def op11_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(docs, weights)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies aligned by bytes over all texts of `documents`."""
+    return alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_vector_shards,
         op10_exact_dedup,
         op11_markov_secrets,
+        op12_token_alignment,
     )
 }
 
