@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import alignment, exact_dedup, gif_media, langid, neardup, ngram_lm, packing, rans_store, secret_scan, sharding, url_reputation, viterbi_pieces
+from memlattice.llm import alignment, exact_dedup, gif_media, importance, langid, neardup, ngram_lm, packing, rans_store, secret_scan, sharding, url_reputation, viterbi_pieces
 from memlattice.llm.shared import written
 
 
@@ -93,6 +93,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of `documents` drawn towards the word runs of `benchmark`."""
+    docs = _table(spark, sf_dir, "documents")
+    target = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return importance.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_exact_dedup,
         op11_markov_secrets,
         op12_token_alignment,
+        op13_importance_resampling,
     )
 }
 
