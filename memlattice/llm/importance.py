@@ -69,7 +69,9 @@ FEATURES_SQL = f"""
 
 
 def _crc(column: pa.ChunkedArray) -> pa.Array:
-    return pa.array([crc32(x.encode()) for x in column.to_pylist()], pa.int64())
+    raw, offsets = text_bytes(column)
+    data, at = raw.tobytes(), offsets.tolist()
+    return pa.array([crc32(data[lo:hi]) for lo, hi in zip(at, at[1:], strict=False)], pa.int64())
 
 
 @lru_cache(maxsize=1)
