@@ -7,8 +7,11 @@ expression scans the labels and takes the spans up to each both-label; the label
 in a span are the numbers of tokens of one group.  Every labelled byte closes one stretch that
 lies in one A and one B token, so the labelled bytes in order are the links.
 
-Texts are encoded and labelled in blocks of at most BLOCK_BYTES (a longer text is a block of
-its own), and a block is one row of a written table: per document the digest of its groups
+Neither tokenizer joins anything across a single space between two visible characters (the
+files are tested for that, else texts stay whole), so a text's ids are those of its runs between
+such spaces; a worker keeps the ids of the runs it has met by their 64-bit hashes, up to
+CACHE_RUNS of them.  Texts are encoded and labelled in blocks of at most BLOCK_BYTES (a longer
+text is a block of its own), and a block is one row of a written table: per document the digest of its groups
 and its distinct linked id pairs as numbers into the block's own list of pairs.  Only
 these lists are shuffled: pairs are counted over all blocks (numbers of documents, partial sums
 first), each block's pairs fetch their counts in a shuffled join, which adaptive execution
@@ -23,6 +26,7 @@ stay null; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -36,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlattice.llm.bytekernel import row_blocks, text_bytes
+from memlattice.llm.bytekernel import byte_hashes, row_blocks, text_bytes
 from memlattice.llm.shared import LONG, STR, narrow, schema, ship, written
 
-#: Bytes of text that are one block, and texts that are encoded at once.
-BLOCK_BYTES, AT_ONCE = 4 << 20, 128
+#: Bytes of text that are one block, runs that are encoded at once, and runs that a worker keeps.
+BLOCK_BYTES, AT_ONCE, CACHE_RUNS = 4 << 20, 4096, 400_000
 #: Labels of a byte: none, A-end, B-end, both.
 LABELS = np.frombuffer(b".ABX", np.uint8)
 _GROUP = re.compile(rb"[.AB]*X")
@@ -97,10 +101,68 @@ def _starts(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
+class Ids:
+    """Id lists that grow at the end, found by number."""
+
+    def __init__(self):
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def insert(self, at: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, 2 * len(flat)), np.int32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.first = np.insert(self.first, at, self.used + np.cumsum(count) - count)
+        self.count = np.insert(self.count, at, count)
+        self.used += len(flat)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, how many each)."""
+        n = self.count[numbers]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[numbers] - (ends - n), n)], n
+
+
+def fits(spelled: Spelled, ids: np.ndarray, count: np.ndarray, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each list of ids spells its run; `raw` has the runs' bytes one after another."""
+    bytes_at = _starts(spelled.sizes(ids))[_starts(count)]
+    same = np.diff(bytes_at) == size
+    wrong = _starts(spelled.joined(ids[np.repeat(same, count)]) != raw[np.repeat(same, size)])
+    same[same] = np.diff(wrong[_starts(size[same])]) == 0
+    return same
+
+
+def _splits_at_spaces(path_a: str, pieces: list[str]) -> bool:
+    """Whether both files encode what follows a single space between visible characters by itself."""
+    with open(path_a, encoding="utf-8") as file:
+        parts = json.load(file)
+    splits = parts.get("pre_tokenizer") or {}
+    plain = not parts.get("normalizer") and splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
+    return bool(plain) and not any("▁" in p.lstrip("▁") for p in pieces)
+
+
+#: Visible ASCII, and the first byte of U+00C0 to U+00FF: characters that are no space and combine with none.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_LATIN = 0xC3
+
+
+def run_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the runs of texts begin: at every text, and at every single space between two visible characters."""
+    begins = np.zeros(len(raw), bool)
+    at = np.flatnonzero(raw == 0x20)
+    at = at[(at > 1) & (at < len(raw) - 1)]
+    before = _VISIBLE[raw[at - 1]] | ((raw[at - 1] & 0xC0 == 0x80) & (raw[at - 2] == _LATIN))
+    after = _VISIBLE[raw[at + 1]] | (raw[at + 1] == _LATIN)
+    begins[at[before & after]] = True
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(begins)
+
+
 class Aligner:
     """Encodes with both files and aligns."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, cache_runs: int = CACHE_RUNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -113,36 +175,67 @@ class Aligner:
         for token, i in vocab.items():
             entries[i] = bytes(code[c] for c in token) if all(c in code for c in token) else token.encode()
         self.spelled_a = Spelled.of(entries)
-        piece = lambda i: bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
-        self.spelled_b = Spelled.of([piece(i) for i in range(self.b.get_piece_size())])
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.spelled_b = Spelled.of([bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.splits, self.cache_runs = _splits_at_spaces(path_a, pieces), cache_runs
+        self._forget()
         size = max(len(self.spelled_a.first), len(self.spelled_b.first)) - 1
         decimal = np.array([str(i) for i in range(size)], "S")
         self.digits, self.n_digits = decimal.view(np.uint8).reshape(size, -1), np.char.str_len(decimal).astype(np.int64)
 
-    def _encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        for lo in range(0, len(texts), AT_ONCE):
-            some = texts[lo : lo + AT_ONCE]
-            a += [np.array(e.ids, np.int32) for e in self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)]
-            b += [np.array(x, np.int32) for x in self.b.encode(some, num_threads=1)]
-        return a, b
-
-    def _spells(self, ids: np.ndarray, spelled: Spelled, whole: bytes) -> bool:
-        return int(spelled.sizes(ids).sum()) == len(whole) and spelled.joined(ids).tobytes() == whole
+    def _forget(self) -> None:
+        self.keys, self.good = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.kept_a, self.kept_b = Ids(), Ids()
+
+    def _learn(self, hashes: np.ndarray, runs: list[bytes]) -> None:
+        """Encode new runs, given with their ascending hashes; what either file does not spell again has no ids."""
+        lists_a: list[list[int]] = []
+        lists_b: list[list[int]] = []
+        for lo in range(0, len(runs), AT_ONCE):
+            some = [r.decode() for r in runs[lo : lo + AT_ONCE]]
+            lists_a += [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            lists_b += self.b.encode([r[1:] for r in some], num_threads=1)  # B adds the space that every run begins with
+        raw, size = np.frombuffer(b"".join(runs), np.uint8), np.array([len(r) for r in runs], np.int64)
+        at, found = np.searchsorted(self.keys, hashes), []
+        for lists, spelled in ((lists_a, self.spelled_a), (lists_b, self.spelled_b)):
+            count = np.array([len(x) for x in lists], np.int64)
+            flat = np.fromiter((i for x in lists for i in x), np.int32, int(count.sum()))
+            found.append((flat, count, fits(spelled, flat, count, raw, size)))
+        good = found[0][2] & found[1][2]
+        for kept, (flat, count, _) in zip((self.kept_a, self.kept_b), found, strict=True):
+            kept.insert(at, flat[np.repeat(good, count)], np.where(good, count, 0))
+        self.keys, self.good = np.insert(self.keys, at, hashes), np.insert(self.good, at, good)
+
+    def _runs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each run among those kept, where each text's runs begin and the total)."""
+        whole = [b" " + t.encode() if t else b"" for t in texts]
+        data, offsets = b"".join(whole), _starts(np.array([len(w) for w in whole], np.int64))
+        raw = np.frombuffer(data, np.uint8)
+        begins = run_starts(raw, offsets) if self.splits else offsets[:-1][np.diff(offsets) > 0]
+        if not len(begins):
+            return begins, np.zeros(len(offsets), np.int64)
+        size = np.diff(np.append(begins, len(raw)))
+        distinct, where, own = np.unique(byte_hashes(raw, begins, size), return_index=True, return_inverse=True)
+        if len(self.keys) > self.cache_runs:
+            self._forget()
+        fresh = np.ones(len(distinct), bool)
+        at = np.searchsorted(self.keys, distinct)
+        inside = at < len(self.keys)
+        fresh[inside] = self.keys[at[inside]] != distinct[inside]
+        if fresh.any():
+            new = where[fresh]
+            self._learn(distinct[fresh], [data[x : x + n] for x, n in zip(begins[new].tolist(), size[new].tolist(), strict=True)])
+        return np.searchsorted(self.keys, distinct)[own], np.searchsorted(begins, offsets)
 
     def align(self, texts: list[str | None]) -> Aligned:
         """All tokens, groups and links of some texts."""
-        here = [i for i, t in enumerate(texts) if t]
-        found_a, found_b = self._encoded([texts[i] for i in here])
-        none = np.zeros(0, np.int32)
-        a, b = [none] * len(texts), [none] * len(texts)
-        for i, x, y in zip(here, found_a, found_b, strict=True):
-            whole = (" " + texts[i]).encode()
-            if self._spells(x, self.spelled_a, whole) and self._spells(y, self.spelled_b, whole):
-                a[i], b[i] = x, y
-        at_a, at_b = _starts(np.array([len(x) for x in a], np.int64)), _starts(np.array([len(x) for x in b], np.int64))
-        ids_a, ids_b = np.concatenate([none, *a]), np.concatenate([none, *b])
+        run, at = self._runs(texts)
+        spoilt = _starts(~self.good[run])[at]
+        run_text = np.repeat(np.arange(len(texts)), np.diff(at))
+        use = (np.diff(spoilt) == 0)[run_text]  # a text has all its tokens or none
+        run, run_text = run[use], run_text[use]
+        (ids_a, n_a), (ids_b, n_b) = self.kept_a.take(run), self.kept_b.take(run)
+        at_a, at_b = (_starts(np.bincount(run_text, n, len(texts)).astype(np.int64)) for n in (n_a, n_b))
         ends_a, ends_b = np.cumsum(self.spelled_a.sizes(ids_a)), np.cumsum(self.spelled_b.sizes(ids_b))
         label = np.zeros(int(ends_a[-1]) if len(ends_a) else 0, np.uint8)
         label[ends_a - 1] = 1

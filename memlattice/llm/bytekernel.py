@@ -106,6 +106,14 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, rows
 
 
+def byte_hashes(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Hashes of byte runs that follow one another without a gap, letters as they are."""
+    longest = int(lens.max())
+    power = _POW if longest <= len(_POW) else _powers(longest)
+    within = np.arange(len(raw)) - np.repeat(starts, lens)
+    return mix64(np.add.reduceat(_CODE[raw] * power[within], starts))
+
+
 _MULT = _RNG.integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

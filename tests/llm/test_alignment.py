@@ -107,3 +107,15 @@ def test_empty_null_ids_and_repeats(spark, empty):
     got = sorted((r.doc_id or 0, r.n_links, r.n_best, r.count_sum) for r in A.align_documents(df).collect())
     n = got[0][1]
     assert n > 0 and got == [(0, n, n, 3 * n), (7, n, n, 3 * n), (7, n, n, 3 * n), (8, 0, 0, 0)]
+
+
+def test_runs_and_forgetting(tools):
+    """Cached runs give the ids of whole texts, also where the worker's table starts anew."""
+    texts = ["a b", "a  b c", "naïve élan  x", "x\n y z", " lead and trail  ", "12 's don't", "e ́ combining", "ÿ ß", None, "a b"]
+    small = A.Aligner(*A.default_files(), cache_runs=3)
+    for _ in range(2):
+        x = small.align(texts)
+        for i, t in enumerate(texts):
+            a, b = plain(tools, t)
+            assert x.ids_a[x.at_a[i] : x.at_a[i + 1]].tolist() == [r[0] for r in a], t
+            assert x.ids_b[x.at_b[i] : x.at_b[i + 1]].tolist() == [r[0] for r in b], t
