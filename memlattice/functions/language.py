@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 #: Months, tone words, topic words, and words that are never entities.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 STOP_ENTITIES = ("The", "What", "When", "Where", "Who", "Why", "How", "Did", "Does", "Is", "Are", "Was", "Were", "Show", "Find", "List", "Tell", "And", "For", "With")
-CHANGE_VERBS = ("became", "changed to", "moved to", "switched to", "updated to")
 BUCKETS = {"today": "today", "this week": "this_week", "last week": "last_week", "this month": "this_month"}
 
 
@@ -55,20 +54,55 @@ def month_range(prompt: Column, year: int) -> tuple[Column, Column]:
     return F.make_date(F.lit(year), first, F.lit(1)), F.last_day(F.make_date(F.lit(year), last, F.lit(1)))
 
 
+#: A state's key and value: most words and characters of either, words that come before a key, links between key and value.
+KEY_WORDS, KEY_CHARS, VALUE_CHARS = 6, 61, 120
+DETERMINERS, COPULAS, ONE_WORD_CHANGES, CHANGES_WITH_TO = ("the", "a", "an", "our", "my"), ("is", "are", "was"), ("became",), ("changed", "moved", "switched", "updated")
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _first_place(words: Column, fits) -> Column:
+    """0-based place of the first word from the second on for which fits(word, next word); null without one."""
+    places = F.transform(words, lambda w, i: F.when((i > 0) & fits(F.lower(w), F.lower(F.coalesce(F.get(words, i + 1), F.lit("")))), i))
+    return F.array_min(F.filter(places, lambda i: i.isNotNull()))
+
+
+def _state(key: Column, value: Column) -> Column:
+    """struct(key, value) where both are fit to be a state; null otherwise."""
+    named = _words(F.lower(key))
+    bare = F.when((F.size(named) > 1) & F.get(named, F.lit(0)).isin(*DETERMINERS), F.slice(named, 2, KEY_WORDS + 1)).otherwise(named)
+    plain = F.forall(named, lambda w: w.rlike("^[a-z0-9_-]+$")) & F.get(named, F.lit(0)).rlike("^[a-z]")
+    sized = F.size(bare).between(1, KEY_WORDS) & (F.length(F.array_join(named, " ")) <= KEY_CHARS)
+    said = F.trim(F.rtrim(F.trim(value), F.lit(".,;")))
+    return F.when(plain & sized & F.length(said).between(1, VALUE_CHARS), F.struct(F.array_join(bare, " ").alias("key"), said.alias("value")))
+
+
+def field(line: Column) -> Column:
+    """struct(key, value) of a line that has a colon or an equals sign: what is before the first one and what is after it."""
+    places = F.array(F.instr(line, ":"), F.instr(line, "="))
+    at = F.array_min(F.filter(places, lambda p: p > 0))
+    return _state(F.substring(line, F.lit(1), at - 1), F.substring(line, at + 1, F.length(line)))
+
+
 def assertion(line: Column) -> Column:
-    """struct(key, value) of a line `key: value`, `key = value`, `key is [now] value` or a change verb; null otherwise."""
-    forms = (
-        r"^\s*([A-Za-z][A-Za-z0-9 _-]{1,60}?)\s*[:=]\s*(\S.{0,119})$",
-        r"^\s*([A-Za-z][A-Za-z0-9 _-]{1,60}?)\s+(?:is|are|was)\s+(?:now\s+)?(\S.{0,119})$",
-        rf"^\s*([A-Za-z][A-Za-z0-9 _-]{{1,60}}?)\s+(?:{'|'.join(CHANGE_VERBS)})\s+(\S.{{0,119}})$",
-    )
-    out = F.lit(None).cast("struct<key:string,value:string>")
-    for form in reversed(forms):
-        key = F.regexp_replace(F.lower(F.trim(F.regexp_extract(line, form, 1))), r"^(the|a|an|our|my)\s+", "")
-        value = F.regexp_replace(F.trim(F.regexp_extract(line, form, 2)), r"[.;,]+$", "")
-        fits = line.rlike(form) & (F.size(F.split(key, " ")) <= 6) & (value != "")
-        out = F.when(fits, F.struct(key.alias("key"), value.alias("value"))).otherwise(out)
-    return out
+    """struct(key, value) of a line that asserts a state; null otherwise.
+
+    A line is first read as a field.  Failing that it is cut at its first copula from the second word on (a `now` after it
+    goes with it), then at its first verb of change.  The key must be one to six words of letters, digits, - and _ that begin with a letter,
+    without a determiner; the value, without closing marks, 1 to 120 characters.
+    """
+    words = _words(line)
+    joined = lambda first, n: F.array_join(F.slice(words, first, n), " ")
+    copula = _first_place(words, lambda w, _: w.isin(*COPULAS))
+    now = F.when(F.lower(F.coalesce(F.get(words, copula + 1), F.lit(""))) == "now", 1).otherwise(0)
+    change = _first_place(words, lambda w, after: w.isin(*ONE_WORD_CHANGES) | (w.isin(*CHANGES_WITH_TO) & (after == "to")))
+    long = F.when(F.lower(F.get(words, change)).isin(*ONE_WORD_CHANGES), 1).otherwise(2)
+    rest = F.size(words)
+    by_copula = F.when(copula.isNotNull(), _state(joined(F.lit(1), copula), joined(copula + now + 2, rest)))
+    by_change = F.when(change.isNotNull(), _state(joined(F.lit(1), change), joined(change + long + 1, rest)))
+    return F.coalesce(F.when(line.rlike("[:=]"), field(line)), by_copula, by_change)
 
 
 def temporal_features(text: Column, heading: Column) -> Column:

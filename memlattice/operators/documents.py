@@ -1,11 +1,10 @@
-"""Documents: aggregation of hits, citations, ontology closure, anomaly rules, chunking."""
+"""Documents: aggregation of hits, ontology closure, anomaly rules, chunking."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlattice.functions import text as X
 from memlattice.sources.sinks import materialised
 
 
@@ -23,24 +22,6 @@ def document_results(hits: DataFrame, most: int = 5) -> DataFrame:
     )
 
 
-def cited_documents(texts: DataFrame, titles: DataFrame, words: int = 3) -> DataFrame:
-    """(id, doc): documents whose normalised title occurs in a text.
-
-    Instead of testing every title against every text, both sides meet on the
-    title's first `words` words; the whole title is then checked.  `texts` has
-    id and text, `titles` doc and title; titles shorter than that are left out.
-    """
-    normal = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    named = titles.select("doc", X.normal_title(F.col("title")).alias("title")).withColumn("_w", F.split("title", " ")).where(F.size("_w") >= words)
-    named = named.select("doc", "title", F.array_join(F.slice("_w", 1, words), " ").alias("_key"))
-    body = texts.select("id", normal(F.col("text")).alias("text"))
-    tokens = body.withColumn("_w", F.split("text", " ")).where(F.size("_w") >= words)
-    keys = F.transform(F.sequence(F.lit(1), F.size("_w") - (words - 1)), lambda i: F.array_join(F.slice(F.col("_w"), i, words), " "))
-    starts = tokens.select("id", F.explode(F.array_distinct(keys)).alias("_key"))
-    pairs = starts.join(named, "_key").select("id", "doc", "title").distinct()
-    return pairs.join(body, "id").where(F.col("text").contains(F.col("title"))).select("id", "doc").distinct()
-
-
 def class_closure(classes: DataFrame) -> DataFrame:
     """(child, ancestor, distance) of a subclass table (child, parent), least distances; cycles end, depth has no bound."""
     level = materialised(classes.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())

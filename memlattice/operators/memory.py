@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.operators.evaluation import hash_order, placed_values
+from memlattice.sources.sinks import materialised
 
 
 def create_abstracts(groups: DataFrame, first: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -49,16 +50,25 @@ def edge_scores(edges: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def negative_pairs(positives: DataFrame, nodes: DataFrame, per_node: int, seed: int) -> DataFrame:
-    """(a, b): per node, `per_node` partners of other ids that are no positives, in a seeded order.
+    """(a, b): per node, `per_node` partners that are no positives of it, or all there are.
 
-    Each node draws from the partners whose seeded position follows its own, so no cross join is made.
+    A seeded hash deals the nodes of a kind around a ring, and a node takes those that follow it.  A node with d positives in
+    either direction looks `per_node` + d places ahead, at most once around: of these at most d are taken away, so it finds its
+    number or has met every other.  `nodes` has node and, if pairs are to be of one kind, kind.
+
+    Defined results: null nodes are left out, repeated nodes and positives are one; a kind with one node has no pairs.
     """
-    ranked = nodes.select("node", F.row_number().over(Window.partitionBy(F.substring(hash_order(F.col("node"), seed + 1), 1, 2)).orderBy(hash_order(F.col("node"), seed), "node")).alias("_r"), F.substring(hash_order(F.col("node"), seed + 1), 1, 2).alias("_g"))
-    steps = ranked.withColumn("_to", F.explode(F.sequence(F.col("_r") + 1, F.col("_r") + 2 * per_node)))
-    pairs = steps.join(ranked.select("_g", F.col("_r").alias("_to"), F.col("node").alias("b")), ["_g", "_to"]).select(F.col("node").alias("a"), "b", "_to")
-    free = pairs.join(positives.select("a", "b"), ["a", "b"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("a").orderBy("_to"))
-    return free.withColumn("_n", nth).where(F.col("_n") <= per_node).select("a", "b")
+    kind = F.col("kind") if "kind" in nodes.columns else F.lit("")
+    dealt = nodes.where("node IS NOT NULL").select(kind.alias("_kind"), F.struct(hash_order(F.col("node"), seed).alias("h"), "node").alias("_h")).distinct()
+    ring = materialised(placed_values(dealt, "_kind", "_h").select("_kind", F.col("_h.node").alias("node"), F.col("before").alias("_r"), "total"))
+    both = positives.select("a", "b").union(positives.select("b", "a")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
+    taken = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("_d"))
+    ahead = F.least(F.col("total") - 1, F.lit(per_node) + F.coalesce("_d", F.lit(0)))
+    steps = ring.join(taken, "node", "left").withColumn("_far", ahead).where("_far > 0").withColumn("_step", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_far"))))
+    steps = steps.select("_kind", F.col("node").alias("a"), "_step", F.pmod(F.col("_r") + F.col("_step"), F.col("total")).alias("_r"))
+    pairs = steps.join(ring.select("_kind", "_r", F.col("node").alias("b")), ["_kind", "_r"]).join(both, ["a", "b"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("a", "_kind").orderBy("_step"))
+    return pairs.withColumn("_n", nth).where(F.col("_n") <= per_node).select("a", "b")
 
 
 def merge_tiny(sections: DataFrame, key: str, least: int = 64) -> DataFrame:

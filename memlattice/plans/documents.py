@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlattice.functions import language as N
 from memlattice.functions import text as X
+from memlattice.operators import citations as I
 from memlattice.operators import documents as D
 from memlattice.operators import graph as G
 from memlattice.registry import query
@@ -66,14 +67,42 @@ def planned_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("conv_id", "turn", N.entity_mode(F.col("text")).alias("entity_mode"), many.alias("many"), X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(_S + """, a AS (SELECT doc, section, regexp_extract(body, '^\\s*([A-Za-z][A-Za-z0-9 _-]{1,60}?)\\s*[:=]\\s*(\\S.{0,119})$', 1) AS k FROM sections) SELECT doc, count(*) FILTER (k <> '') AS n_pairs FROM a GROUP BY doc""")
+#: A state in SQL: macros are not at hand, so key and value go through the same expressions for every way to cut a line.
+def _state_sql(name: str, source: str, key: str, value: str) -> str:
+    return f"""{name}_cut AS (
+        SELECT doc, idx, line, list_filter(regexp_split_to_array(lower({key}), '\\s+'), lambda w: w <> '') AS named, trim(rtrim(trim({value}, ' '), '.,;'), ' ') AS said FROM {source}
+    ), {name}_bare AS (
+        SELECT *, CASE WHEN len(named) > 1 AND named[1] IN ('the', 'a', 'an', 'our', 'my') THEN named[2:] ELSE named END AS bare FROM {name}_cut
+    ), {name} AS (
+        SELECT doc, idx, line, array_to_string(bare, ' ') AS key, said AS value FROM {name}_bare
+        WHERE len(named) > 0 AND len(list_filter(named, lambda w: NOT regexp_full_match(w, '[a-z0-9_-]+'))) = 0 AND regexp_matches(named[1], '^[a-z]')
+          AND len(bare) BETWEEN 1 AND 6 AND length(array_to_string(named, ' ')) <= 61 AND length(said) BETWEEN 1 AND 120
+    )"""
+
+
+_FIELDS_SQL = _S + """, lined AS (
+        SELECT doc, idx, body AS line, least(nullif(instr(body, ':'), 0), nullif(instr(body, '='), 0)) AS sep FROM sections
+    ), """ + _state_sql("field", "(FROM lined WHERE sep IS NOT NULL)", "substr(line, 1, sep - 1)", "substr(line, sep + 1)")
+
+_STATES_SQL = _FIELDS_SQL + """, worded AS (
+        SELECT doc, idx, line, list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '') AS ws FROM lined WHERE (doc, idx) NOT IN (SELECT (doc, idx) FROM field)
+    ), placed AS (
+        SELECT *, list_min(list_filter(range(2, len(ws) + 1), lambda i: lower(ws[i]) IN ('is', 'are', 'was'))) AS copula,
+               list_min(list_filter(range(2, len(ws) + 1), lambda i: lower(ws[i]) = 'became' OR (lower(ws[i]) IN ('changed', 'moved', 'switched', 'updated') AND lower(coalesce(ws[i + 1], '')) = 'to'))) AS change FROM worded
+    ), """ + _state_sql("copular", "(FROM placed WHERE copula IS NOT NULL)", "array_to_string(ws[1:copula - 1], ' ')", "array_to_string(ws[copula + CASE WHEN lower(coalesce(ws[copula + 1], '')) = 'now' THEN 2 ELSE 1 END:], ' ')") + ", " + _state_sql(
+    "changed", "(FROM placed WHERE change IS NOT NULL AND (doc, idx) NOT IN (SELECT (doc, idx) FROM copular))", "array_to_string(ws[1:change - 1], ' ')", "array_to_string(ws[change + CASE WHEN lower(ws[change]) = 'became' THEN 1 ELSE 2 END:], ' ')"
+)
+
+
+@query(_FIELDS_SQL + " SELECT doc, (SELECT count(*) FROM field WHERE field.doc = d.doc) AS n_pairs FROM (SELECT DISTINCT doc FROM sections) d")
 def key_value_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the form key: value per document."""
-    k = F.regexp_extract("body", r"^\s*([A-Za-z][A-Za-z0-9 _-]{1,60}?)\s*[:=]\s*(\S.{0,119})$", 1)
-    return T.sections(spark, sf_dir).select("doc", k.alias("k")).groupBy("doc").agg(F.count(F.when(F.col("k") != "", 1)).alias("n_pairs"))
+    """Lines of the form key: value or key = value per document."""
+    s = T.sections(spark, sf_dir).select("doc", N.field(F.col("body")).alias("k"))
+    return s.groupBy("doc").agg(F.count("k").alias("n_pairs"))
 
 
-@query()
+@query(_STATES_SQL + """ SELECT doc, idx, key, value FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc, key, lower(value) ORDER BY idx) AS n FROM (FROM field UNION ALL FROM copular UNION ALL FROM changed)) WHERE n = 1""")
 def asserted_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State assertions found in document lines, each key and value once per document."""
     s = T.sections(spark, sf_dir).select("doc", "idx", N.assertion(F.col("body")).alias("a")).where("a IS NOT NULL")
@@ -83,12 +112,21 @@ def asserted_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t, doc_id FROM documents), b AS (SELECT item_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS raw FROM benchmark),
     c AS (SELECT item_id, regexp_replace(raw, '^[ .,;:!?"''()\\[\\]-]+|[ .,;:!?"''()\\[\\]-]+$', '', 'g') AS title FROM b)
-    SELECT doc_id AS id, item_id AS doc FROM n JOIN c ON contains(n.t, c.title) WHERE len(string_split(c.title, ' ')) >= 3""")
+    SELECT doc_id AS id, item_id AS doc FROM n JOIN c ON contains(n.t, c.title) WHERE length(c.title) >= 4""")
 def cited_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages that occur in documents, met on their first words."""
+    """Benchmark passages that occur in documents."""
     texts = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     titles = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.col("text").alias("title"))
-    return D.cited_documents(texts, titles)
+    return I.cited_documents(texts, titles)
+
+
+@query(_S + """, named AS (SELECT DISTINCT unnest(regexp_extract_all(body, '[A-Z][a-z]{5,}')) AS title FROM sections), turns AS (SELECT conv_id, turn, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)
+    SELECT conv_id || '/' || turn AS id, title AS doc FROM turns JOIN named ON contains(t, lower(title))""")
+def named_in_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of documents' lines that occur in turns, also inside words: many short titles."""
+    titles = T.sections(spark, sf_dir).select(F.explode(X.capitalised(F.col("body"), 6)).alias("title")).distinct().select(F.col("title").alias("doc"), "title")
+    texts = T.table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    return I.cited_documents(texts, titles)
 
 
 @query("WITH " + T.EDGES_SQL + """, sub AS (SELECT DISTINCT e.o AS center, n.s AS node FROM edges e JOIN edges n ON n.o = e.o AND n.p = 'in_session' WHERE e.p = 'in_session'),

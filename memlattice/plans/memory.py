@@ -128,7 +128,11 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(label("query_id"), "query_id").join(label("vec_id"), "vec_id").where("_query_id <> _vec_id").select("query_id", "vec_id")
 
 
-@query()
+@query("WITH " + T.EDGES_SQL + """, e AS (SELECT DISTINCT s, o FROM edges WHERE p = 'has_entity'), ring AS (SELECT node, row_number() OVER (ORDER BY sha256('7|' || node), node) - 1 AS r, count(*) OVER () AS total FROM (SELECT DISTINCT o AS node FROM e)),
+    positive AS (SELECT DISTINCT x.o AS a, y.o AS b FROM e x JOIN e y USING (s) WHERE x.o <> y.o), d AS (SELECT a AS node, count(*) AS d FROM positive GROUP BY a),
+    steps AS (SELECT node AS a, r, total, unnest(range(1, 1 + least(total - 1, 2 + coalesce(d, 0)))) AS step FROM ring LEFT JOIN d USING (node)),
+    free AS (SELECT a, ring.node AS b, step FROM steps JOIN ring ON ring.r = (steps.r + step) % steps.total WHERE NOT EXISTS (FROM positive WHERE positive.a = steps.a AND positive.b = ring.node))
+    SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY step) AS n FROM free) WHERE n <= 2""")
 def sampled_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded pairs of entities that share no episode with each other's name."""
     edges = T.edges(spark, sf_dir).where("p = 'has_entity'")
