@@ -10,7 +10,10 @@ each chunk: all pairs within the distance share a key.
 
 Work stays linear in what is emitted:
 * equal shingle sets are one representative before anything is compared;
-* within a key the pairs within the distance are walked breadth-first, and only
+* keys travel with numbers only; the members of a key that is met twice are named by a hash of
+  them all, so keys with the same members become one group, and only members of
+  groups fetch their signatures;
+* within a group the pairs within the distance are walked breadth-first, and only
   a spanning forest leaves the task; keys with more than `HOT_ROWS` members are
   compared in blocks spread over tasks, every block against every other;
 * connected families of such pairs bring their full sets together once, links are
@@ -46,7 +49,7 @@ from memlattice.llm.membership import with_ids, without_rows
 from memlattice.llm.shared import BIN, LONG, Scratch, narrow, partitions_for, schema, ship, written
 
 #: Bytes of the key rows of a signature, as a multiple of its own.
-KEYED_GROWTH = 24.0
+KEYED_GROWTH = 12.0
 #: Members of a key that are compared in one task; larger keys are cut into blocks.
 HOT_ROWS = 8192
 #: Shingles of a family that are compared in one task; larger families are cut into blocks.
@@ -127,11 +130,11 @@ def signed_sets(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
     return docs.withColumn("digest", F.xxhash64("text")).mapInArrow(run, SIGNED)
 
 
-KEYED = schema(key=LONG, member=BIN)
+KEYS = schema(key=LONG, rid=LONG)
 
 
-def _keyed(reps: DataFrame, plan: Plan) -> DataFrame:
-    """A row per key of each representative; a member is its id and its symbols cut to 4 bits."""
+def _keys(reps: DataFrame, plan: Plan) -> DataFrame:
+    """A row (key, rid) for each key of each representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = plan.keys()
@@ -143,16 +146,64 @@ def _keyed(reps: DataFrame, plan: Plan) -> DataFrame:
                 sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, plan.symbols)
                 terms = mix64(sig.astype(np.uint64) + np.uint64(1)) * weights
                 keys = np.stack([mix64(terms[:, cols].sum(axis=1, dtype=np.uint64) + np.uint64(number * 2654435761 + 1)) for number, cols in layout], axis=1)
-                low = (sig & np.uint16(15)).astype(np.uint8)
-                packed = low[:, 0::2] | (low[:, 1::2] << np.uint8(4))
-                member = np.concatenate([ids.view(np.uint8).reshape(-1, 8), packed], axis=1)
-                size = member.shape[1]
-                data = np.repeat(member, len(layout), axis=0).tobytes()
-                ends = np.arange(0, len(data) + 1, size, dtype=np.int32)
-                col = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), col], names=KEYED.names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, len(layout)))], names=KEYS.names)
 
-    return reps.mapInArrow(run, KEYED)
+    return reps.mapInArrow(run, KEYS)
+
+
+def _met_twice(keys: DataFrame, most: int) -> DataFrame:
+    """(key, rid) with a hash of all members for key, of rows sorted by key that meet another; a key of over `most` rows gives (key, null)."""
+
+    def named(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        sizes = np.diff(cut)
+        group = mix64(np.add.reduceat(mix64(ids.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)), cut[:-1]) + sizes.astype(np.uint64)).view(np.int64)
+        several = np.repeat(sizes > 1, sizes)
+        rows = np.unique(np.stack([np.repeat(group, sizes)[several], ids[several]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], names=KEYS.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_k, held_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hot: int | None = None
+        for batch in batches:
+            keys, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in KEYS.names)
+            if hot is not None:
+                keys, ids = keys[keys != hot], ids[keys != hot]
+            if not len(keys):
+                continue
+            hot = None
+            keys, ids = np.concatenate([held_k, keys]), np.concatenate([held_i, ids])
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last:
+                yield named(keys[:last], ids[:last])
+            held_k, held_i = keys[last:], ids[last:]
+            if len(held_k) > most:
+                hot = int(held_k[0])
+                yield pa.RecordBatch.from_arrays([pa.array([hot]), pa.array([None], pa.int64())], names=KEYS.names)
+                held_k, held_i = held_k[:0], held_i[:0]
+        if len(held_k):
+            yield named(held_k, held_i)
+
+    return keys.mapInArrow(run, KEYS)
+
+
+MEMBERS = schema(rid=LONG, member=BIN)
+
+
+def _members(reps: DataFrame, plan: Plan) -> DataFrame:
+    """(rid, member): the number of each representative and its symbols cut to 4 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("rid").to_numpy(zero_copy_only=False).astype(np.int64)
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, plan.symbols)
+            low = (sig & np.uint16(15)).astype(np.uint8)
+            member = np.concatenate([ids.view(np.uint8).reshape(-1, 8), low[:, 0::2] | (low[:, 1::2] << np.uint8(4))], axis=1)
+            ends = np.arange(0, member.size + 1, member.shape[1], dtype=np.int32)
+            col = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(member.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), col], names=MEMBERS.names)
+
+    return reps.mapInArrow(run, MEMBERS)
 
 
 def _forest(ids: np.ndarray, symbols: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -174,8 +225,8 @@ def _forest(ids: np.ndarray, symbols: np.ndarray, distance: int) -> list[tuple[i
 LINKS = schema(a=LONG, b=LONG)
 
 
-def _links(keyed: DataFrame, plan: Plan, most: int | None) -> DataFrame:
-    """Forests within each key of rows sorted by key; a key of over `most` rows gives (key, null)."""
+def _links(keyed: DataFrame, plan: Plan) -> DataFrame:
+    """Forests within each key of rows (key, member) sorted by key."""
     half = plan.symbols // 2
 
     def emit(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,28 +252,16 @@ def _links(keyed: DataFrame, plan: Plan, most: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 8 + half
         held_k, held_m = np.zeros(0, np.int64), np.zeros((0, width), np.uint8)
-        hot: int | None = None
         for batch in batches:
             if not len(batch):
                 continue
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            members = text_bytes(batch.column("member"))[0].reshape(-1, width)
-            if hot is not None:
-                on = keys != hot
-                keys, members = keys[on], members[on]
-                if not len(keys):
-                    continue
-                hot = None
-            keys, members = np.concatenate([held_k, keys]), np.concatenate([held_m, members])
+            keys = np.concatenate([held_k, batch.column("key").to_numpy(zero_copy_only=False)])
+            members = np.concatenate([held_m, text_bytes(batch.column("member"))[0].reshape(-1, width)])
             last = int(np.searchsorted(keys, keys[-1]))
             if last:
                 a, b = emit(keys[:last], members[:last])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=LINKS.names)
             held_k, held_m = keys[last:], members[last:]
-            if most is not None and len(held_k) > most:
-                hot = int(held_k[0])
-                yield pa.RecordBatch.from_arrays([pa.array([hot]), pa.array([None], pa.int64())], names=LINKS.names)
-                held_k, held_m = held_k[:0], held_m[:0]
         if len(held_k):
             a, b = emit(held_k, held_m)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=LINKS.names)
@@ -243,16 +282,17 @@ def _cells(df: DataFrame, key: str, blocks: str, own: str) -> DataFrame:
 
 def candidate_links(reps: DataFrame, plan: Plan, step: Scratch) -> DataFrame:
     """A forest of all pairs of representatives (rid, sig) within the signature distance."""
-    keyed = _keyed(reps, plan)
-    found = step.written(_links(_dealt(keyed, "key", KEYED_GROWTH), plan, HOT_ROWS), "links")
-    hot = found.where("b IS NULL").select(F.col("a").alias("key")).distinct()
-    links = found.where("b IS NOT NULL")
+    keys, members = _keys(reps, plan), _members(reps, plan)
+    found = step.written(_met_twice(_dealt(keys, "key", KEYED_GROWTH), HOT_ROWS), "keys")
+    groups = found.where("rid IS NOT NULL").distinct().join(members, "rid").select("key", "member")
+    links = step.written(_links(_dealt(groups, "key"), plan), "links")
+    hot = found.where("rid IS NULL").select("key").distinct()
     if hot.isEmpty():
         return links
-    rows = keyed.join(hot, "key")
+    rows = keys.join(hot, "key").join(members, "rid").select("key", "member")
     sized = rows.join(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT_ROWS // 2)).alias("_blocks")), "key")
     cells = _cells(sized, "key", "_blocks", "member").select(F.col("cell").alias("key"), "member")
-    return links.union(step.written(_links(_dealt(cells, "key"), plan, None), "hotlinks"))
+    return links.union(step.written(_links(_dealt(cells, "key"), plan), "hotlinks"))
 
 
 def _confirmed(sizes: np.ndarray, flat: np.ndarray, percent: int) -> list[tuple[int, int]]:
