@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, written as
 Parquet and read again as the next stage's documents.  All but the last return the
 columns of `documents`.
+
+Defined results: an empty table gives no rows; a null or empty text has no language that could be told, so its row
+goes in the first stage, as does a row without letters; of repeated rows one stays; a null id takes part
+like any other until near duplicates, where it is linked with nothing; columns beside id and text
+are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from memlattice.llm import exact_dedup, langid, neardup, packing
-from memlattice.llm.shared import written
+from memlattice.llm.shared import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; a stage's table goes as soon as the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        step = Scratch(spark)
+        docs = step.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            before.clear()
+        before = step
     return STAGES[-1][1](spark, docs, sf_dir)
