@@ -69,13 +69,15 @@ def seeded_split(rows: DataFrame, column: str, fraction: float, seed: int) -> Da
     return rows.withColumn("val", draw < fraction)
 
 
-def placed_values(rows: DataFrame, key: str, value: str) -> DataFrame:
+def placed_values(rows: DataFrame, key: str, value: str, weight: str | None = None) -> DataFrame:
     """(key, value, n, before, total): each distinct value, its rows, the rows of its key below it, and all of the key.
 
+    With `weight` a row counts as that number of rows, which may be 0.
+
     Values are counted, dealt into ranges and summed per range, so a key's
     values never meet in one task.  Null values are left out; a key without any has no row.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     dealt = materialised(counted.repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()))
     sums = dealt.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_range")).agg(F.sum("n").alias("_n"))
     w = Window.partitionBy("_key")  # one row per range
