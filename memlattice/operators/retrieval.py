@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlattice.operators.evaluation import placed_values
+from memlattice.operators.flagged import first_of_each
 from memlattice.operators.graph import axis_candidates
+from memlattice.operators.units import visible_candidates
+from memlattice.sources.sinks import materialised
 
 #: Fixed weights of a match on each axis and of recency.
 ENTITY, TOPIC, TONE, RECENCY = 10.0, 5.0, 3.0, 0.1
@@ -16,24 +20,30 @@ ENTITY, TOPIC, TONE, RECENCY = 10.0, 5.0, 3.0, 0.1
 def plan_axes(plans: DataFrame) -> DataFrame:
     """(query_id, predicate, object, need) of plans with entities, topics, tones and entity_mode."""
 
-    def axis(column: str, predicate: str, prefix: str) -> DataFrame:
-        need = F.when(F.col("entity_mode") == "intersection", F.size("entities")).otherwise(1) if column == "entities" else F.lit(1)
-        return plans.select("query_id", F.lit(predicate).alias("predicate"), F.explode(column).alias("_v"), need.alias("need")).select(
-            "query_id", "predicate", F.concat(F.lit(prefix), "_v").alias("object"), "need"
-        )
+    both = F.when(F.col("entity_mode") == "intersection", F.size("entities")).otherwise(1)
 
-    return axis("entities", "has_entity", "E:").union(axis("topics", "has_topic", "T:")).union(axis("tones", "has_tone", "A:"))
+    def axis(column: str, predicate: str, prefix: str, need: Column) -> Column:
+        return F.transform(F.coalesce(column, F.array()), lambda v: F.struct(F.lit(predicate).alias("predicate"), F.concat(F.lit(prefix), v).alias("object"), need.alias("need")))
 
+    every = F.concat(axis("entities", "has_entity", "E:", both), axis("topics", "has_topic", "T:", F.lit(1)), axis("tones", "has_tone", "A:", F.lit(1)))
+    return plans.select("query_id", F.explode(every).alias("_a")).select("query_id", "_a.predicate", "_a.object", "_a.need")
 
-def retrieve(plans: DataFrame, episodes: DataFrame, edges: DataFrame, salience: DataFrame, boost: DataFrame | None = None, limit: int = 5) -> DataFrame:
+
+def retrieve(plans: DataFrame, episodes: DataFrame, edges: DataFrame, salience: DataFrame, boost: DataFrame | None = None, limit: int = 5, states: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score): matched weights plus recency, times the unit's boost, best first.
 
     `salience` has entity and value (0 where missing); `boost` unit and value (1
-    where missing).  Equal scores go by id.
+    where missing); `states` id, state and validity_end: units that it says are no longer in force are no candidates.  Units are
+    whatever `edges` begin in and `episodes` (id, ts) knows a time of: episodes, sections, documents.  Equal scores go by id.
+
+    Axes and candidates are written once and read by all that follows.  A plan's candidates are placed in time by ranges and
+    cut to their best in salted parts, so no task holds all candidates of a plan.
     """
-    axes = plan_axes(plans)
-    candidates = axis_candidates(axes, edges)
-    hydrated = candidates.join(episodes.select("id", "ts"), "id")
+    axes = materialised(plan_axes(plans))
+    found = axis_candidates(axes, edges)
+    candidates = materialised(visible_candidates(found, states) if states is not None else found)
+    timed = candidates.join(episodes.select("id", "ts"), "id").withColumn("_at", F.struct("ts", "id"))
+    placed = placed_values(timed, "query_id", "_at").select("query_id", F.col("_at.id").alias("id"), F.col("before").alias("_recency"))
     hits = candidates.join(edges, F.col("id") == F.col("s")).join(
         axes.select("query_id", F.col("predicate").alias("p"), F.col("object").alias("o")).distinct(), ["query_id", "p", "o"], "left_semi"
     )
@@ -43,15 +53,14 @@ def retrieve(plans: DataFrame, episodes: DataFrame, edges: DataFrame, salience:
         .otherwise(F.lit(TONE))
     )
     matched = hits.join(salience.select(F.col("entity").alias("o"), "value"), "o", "left").groupBy("query_id", "id").agg(F.sum(weight).alias("matched"))
-    by_time = Window.partitionBy("query_id").orderBy("ts", "id")
-    scored = hydrated.join(matched, ["query_id", "id"], "left").withColumn("_recency", F.row_number().over(by_time) - 1)
+    scored = placed.join(matched, ["query_id", "id"], "left")
     score = F.coalesce("matched", F.lit(0.0)) + F.lit(RECENCY) * F.col("_recency")
     if boost is not None:
         scored = scored.join(boost.select(F.col("unit").alias("id"), F.col("value").alias("_boost")), "id", "left")
         score = score * F.coalesce("_boost", F.lit(1.0))
-    scored = scored.withColumn("score", score)
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
+    scored = scored.withColumn("score", score).withColumn("_best", F.struct(-F.round("score", 9), "id"))
+    best = Window.partitionBy("query_id").orderBy("_best")
+    return first_of_each(scored, "query_id", "_best", limit).withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "id", "score")
 
 
 def diverse(results: DataFrame, most: int = 3) -> DataFrame:

@@ -9,8 +9,11 @@ from memlattice.functions import scoring as S
 from memlattice.functions import text as X
 from memlattice.operators import graph as G
 from memlattice.operators import retrieval as R
+from memlattice.plans.units import _STATES_SQL as STATES_SQL
+from memlattice.plans.units import units
 from memlattice.registry import query
 from memlattice.sources import tables as T
+from memlattice.sources.sinks import materialised
 
 #: Plans of the retrieval queries: the most mentioned entities, paired.
 _PLAN_SQL = """, popular AS (
@@ -42,13 +45,14 @@ def plans(edges: DataFrame) -> DataFrame:
     a = _popular(edges, "has_entity", 21)
     b = a.select(F.col("name").alias("second"), (F.col("r") - 1).alias("r"))
     t = _popular(edges, "has_topic", 21).select(F.col("name").alias("topic"), "r")
-    return a.join(b, "r").join(t, "r").where("r <= 20").select(
+    twenty = a.join(b, "r").join(t, "r").where("r <= 20").select(
         F.concat(F.lit("q"), F.col("r").cast("string")).alias("query_id"),
         F.array("name", "second").alias("entities"),
         F.when(F.col("r").isin(3, 6, 9), F.array("topic")).otherwise(F.array().cast("array<string>")).alias("topics"),
         F.array().cast("array<string>").alias("tones"),
         F.when(F.col("r") % 2 == 0, "intersection").otherwise("union").alias("entity_mode"),
     )
+    return materialised(twenty)
 
 
 @query("WITH " + T.EPISODES_SQL + " SELECT id, session, \"user\", len(entities) AS n_entities, len(topics) AS n_topics, len(tones) AS n_tones, follows, length(summary) AS n_summary FROM episodes")
@@ -120,6 +124,38 @@ def retrieve_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 5).alias("score"))
 
 
+_UNITS_SQL = T.EDGES_SQL + ", " + T.DOCUMENT_EDGES_SQL + STATES_SQL[len(T.EPISODES_SQL) :] + _PLAN_SQL[: _PLAN_SQL.index(", met AS")] + _SALIENCE_SQL + """, whole AS (
+        SELECT s, p, o FROM edges UNION ALL SELECT s, p, o FROM document_edges WHERE p = 'has_entity' AND s LIKE '%\\_sec\\_%' ESCAPE '\\'
+    ), met AS (
+        SELECT query_id, s, axes.p, count(DISTINCT axes.o) AS n, max(need) AS need FROM axes JOIN whole ON whole.p = axes.p AND whole.o = axes.o GROUP BY ALL
+    ), candidates AS (
+        SELECT query_id, s AS id FROM met WHERE n >= need AND s NOT IN (SELECT id FROM units WHERE NOT (coalesce(state, 'current') = 'current' AND validity_end IS NULL))
+        GROUP BY query_id, s HAVING count(*) = (SELECT count(DISTINCT p) FROM axes a WHERE a.query_id = met.query_id)
+    ), timed AS (
+        SELECT id, ts FROM episodes UNION ALL SELECT section, TIMESTAMP '2026-07-01 00:00:00' + to_seconds(substr(doc, 5)::BIGINT * 60) FROM sections
+    ), matched AS (
+        SELECT c.query_id, c.id, sum(CASE WHEN e.p = 'has_entity' THEN 10.0::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * coalesce(value, 0)) WHEN e.p = 'has_topic' THEN 5.0::DOUBLE ELSE 3.0::DOUBLE END) AS m
+        FROM candidates c JOIN whole e ON e.s = c.id JOIN (SELECT DISTINCT query_id, p, o FROM axes) a ON a.query_id = c.query_id AND a.p = e.p AND a.o = e.o
+        LEFT JOIN salience ON entity = e.o GROUP BY ALL
+    ), scored AS (
+        SELECT c.query_id, c.id, coalesce(m, 0) + 0.1::DOUBLE * (row_number() OVER (PARTITION BY c.query_id ORDER BY ts, c.id) - 1) AS score
+        FROM candidates c JOIN timed t ON t.id = c.id LEFT JOIN matched ON matched.query_id = c.query_id AND matched.id = c.id
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored
+    )"""
+
+
+@query("WITH " + _UNITS_SQL + " SELECT query_id, rank, id, round(score, 5) AS score FROM ranked WHERE rank <= 5")
+def retrieve_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top five units in force of every plan: episodes and sections of documents together."""
+    e, edges = T.episodes(spark, sf_dir), T.edges(spark, sf_dir)
+    named = T.document_edges(spark, sf_dir).where("p = 'has_entity' AND contains(s, '_sec_')")
+    taken = F.expr(f"timestamp_seconds(unix_seconds(timestamp'{T.EPOCH}') + cast(substring(doc, 5) AS long) * 60)")
+    timed = e.select("id", "ts").unionByName(T.sections(spark, sf_dir).select(F.col("section").alias("id"), taken.alias("ts")))
+    found = R.retrieve(plans(edges), timed, edges.unionByName(named), entity_salience(edges, e), states=units(spark, sf_dir))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 5).alias("score"))
+
+
 @query("WITH " + T.EDGES_SQL + " SELECT a.s AS id, b.s AS related, count(*) AS shared FROM edges a JOIN edges b ON a.o = b.o AND a.p = b.p WHERE a.p = 'has_topic' AND a.s < b.s GROUP BY ALL HAVING count(*) >= 4")
 def related_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of episodes that share at least four topics.

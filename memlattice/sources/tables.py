@@ -44,7 +44,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, sources: list[str], buil
     key = (spark.sparkContext.applicationId, sf_dir, name, *marks)
     if key not in _known:
         df, path = build(), f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        writer = df.repartition(partition).write.partitionBy(partition) if partition else df.write
+        # rebalanced, not repartitioned: adaptive execution splits what one value has too much of
+        writer = df.hint("rebalance", F.col(partition)).write.partitionBy(partition) if partition else df.write
         writer.parquet(path)
         _known[key] = path, df.schema
     path, schema = _known[key]
