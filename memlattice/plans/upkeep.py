@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memlattice.functions import text as X
 from memlattice.operators import dream as D
 from memlattice.operators import flagged as G
+from memlattice.operators import injection as J
 from memlattice.registry import query
 from memlattice.sources import tables as T
 from memlattice.sources.sinks import shared_folder
@@ -133,3 +134,68 @@ def flagged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of those contexts, states among them unless superseded."""
     return G.flagged_context(*users(spark, sf_dir))[1]
+
+
+#: Users' subgraphs with sessions and decisions; a decision is the first sentence of a reply.
+_PLANTED_SQL = T.EDGES_SQL + """, nodes AS (
+        SELECT "user" AS center, "user" AS node, NULL AS content FROM episodes UNION SELECT "user", session, NULL FROM episodes UNION SELECT "user", id, summary FROM episodes
+        UNION SELECT "user", 'D:' || id, regexp_extract(reply, '^[^.]*') FROM episodes UNION SELECT "user", 'E:' || unnest(entities), NULL FROM episodes
+    ), links AS (
+        SELECT "user" AS center, "user" AS s, 'has_session' AS p, session AS o FROM episodes UNION SELECT "user", id, 'in_session', session FROM episodes UNION SELECT "user", id, 'has_entity', 'E:' || unnest(entities) FROM episodes
+        UNION SELECT "user", id, 'has_decision', 'D:' || id FROM episodes UNION SELECT "user", id, 'follows', follows FROM episodes WHERE follows IS NOT NULL
+    ), signed AS (
+        SELECT center, node, CASE WHEN node LIKE 'ep%' THEN 'duplicate_episode' ELSE 'duplicate_decision' END AS kind,
+               list_sort(list_distinct(regexp_extract_all(lower(CASE WHEN node LIKE 'D:%' THEN coalesce(content, substr(node, 3)) ELSE content END), '[0-9a-z]+'))) AS h FROM nodes WHERE node LIKE 'ep%' OR node LIKE 'D:%'
+    ), found AS (
+        SELECT center, node, kind FROM signed WHERE len(h) > 0 QUALIFY count(*) OVER (PARTITION BY center, kind, h) > 1
+        UNION SELECT center, node, CASE WHEN node LIKE 'D:%' THEN 'orphan_decision' ELSE 'detached_episode' END FROM nodes n WHERE (node LIKE 'ep%' OR node LIKE 'D:%') AND NOT EXISTS (FROM links l WHERE l.center = n.center AND (s = node OR o = node))
+        UNION SELECT center, s, 'broken_follows' FROM links l WHERE p = 'follows' AND NOT EXISTS (FROM nodes n WHERE n.center = l.center AND n.node = l.o)
+    )"""
+
+
+def planted_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the users' subgraphs."""
+    e = T.episodes(spark, sf_dir).withColumn("center", F.col("user"))
+    none = F.lit(None).cast("string")
+    nodes = e.select("center", F.col("user").alias("node"), none.alias("content")).unionByName(e.select("center", F.col("session").alias("node"), none.alias("content")))
+    nodes = nodes.unionByName(e.select("center", F.col("id").alias("node"), F.col("summary").alias("content")))
+    nodes = nodes.unionByName(e.select("center", F.concat(F.lit("D:"), "id").alias("node"), F.regexp_extract("reply", "^[^.]*", 0).alias("content")))
+    nodes = nodes.unionByName(e.select("center", F.explode("entities").alias("_e")).select("center", F.concat(F.lit("E:"), "_e").alias("node"), none.alias("content"))).distinct()
+    edge = lambda df, s, p, o: df.select("center", s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    c = F.col
+    links = edge(e, c("user"), "has_session", c("session")).unionByName(edge(e, c("id"), "in_session", c("session"))).unionByName(edge(e, c("id"), "has_decision", F.concat(F.lit("D:"), "id")))
+    links = links.unionByName(edge(e.where("follows IS NOT NULL"), c("id"), "follows", c("follows")))
+    return nodes, links.unionByName(edge(e.withColumn("_e", F.explode("entities")), c("id"), "has_entity", F.concat(F.lit("E:"), "_e"))).distinct()
+
+
+@query("WITH " + T.EPISODES_SQL + """, c AS (SELECT DISTINCT "user" AS center FROM episodes), k AS (SELECT unnest([""" + ", ".join(f"'{k}'" for k in J.KINDS) + """]) AS kind)
+    SELECT center, kind FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY sha256('7|' || center || '|' || kind)) AS r FROM c, k) WHERE r <= ('0x' || substr(sha256('7|' || center), 1, 8))::BIGINT % 10""")
+def anomaly_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of anomaly that each user's subgraph is to get: none to all nine, seeded."""
+    return J.requested(T.episodes(spark, sf_dir).select(F.col("user").alias("center")), 7)
+
+
+@query("WITH " + _PLANTED_SQL + " FROM found")
+def clean_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nine rules find before anything is planted."""
+    return J.detect(*planted_graph(spark, sf_dir))
+
+
+@query()
+def injected_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted anomalies of all nine kinds against what the rules find, per kind."""
+    nodes, edges = planted_graph(spark, sf_dir)
+    wanted = J.requested(nodes.select("center"), 7)
+    after, linked, planted = J.inject(nodes, edges, wanted, 7)
+    return J.recall_by_kind(planted, J.detect(after, linked)).select("kind", "planted", "detected", F.round("recall", 6).alias("recall"))
+
+
+@query("WITH " + _PLANTED_SQL + """, drift AS (SELECT center, o AS node, 'identity_drift' AS kind FROM links WHERE p = 'has_entity' GROUP BY center, o HAVING count(*) >= 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY sha256('5|' || node || '|' || kind)) AS r FROM drift), kept AS (SELECT center, node, kind FROM ranked WHERE r <= 2),
+    others AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY sha256('5|' || node || '|' || kind)) AS r FROM found)
+    FROM kept UNION ALL SELECT center, node, kind FROM others LEFT JOIN (SELECT center, count(*) AS used FROM kept GROUP BY center) USING (center) WHERE r <= 4 - coalesce(used, 0)""")
+def decision_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four findings of each user to decide: half for names that wander between episodes, the rest for anomalies."""
+    nodes, edges = planted_graph(spark, sf_dir)
+    drift = edges.where("p = 'has_entity'").groupBy("center", F.col("o").alias("node")).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
+    return J.decision_budget(drift, J.detect(nodes, edges), 4, 5)
