@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memlattice.operators import chains as C
 from memlattice.operators import classes as K
 from memlattice.operators import outline as O
+from memlattice.operators import planner as P
 from memlattice.registry import query
 from memlattice.sources import tables as T
 
@@ -101,3 +102,52 @@ def rotated_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices of seven classes that three runs in a row consider."""
     classes = T.table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select(F.concat_ws(":", "lang", "source").alias("class")).distinct()
     return K.rotated(classes, 7, K.new_folder(spark), runs=3)
+
+
+#: The dictionary: words and pairs of words of the benchmark's passages are topics, words of six letters or more tones; what
+#: begins a passage is no entity.
+_PLANNER_SQL = """
+    WITH bw AS (
+        SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ws FROM benchmark
+    ), placed AS (
+        SELECT item_id, i, ws[i] AS a, ws[i + 1] AS b FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM bw)
+    ), dict AS (
+        SELECT DISTINCT a AS p, 1 AS size, 'topic' AS kind, a AS label FROM placed WHERE i <= 4 UNION SELECT DISTINCT a || ' ' || b, 2, 'topic', a || '_' || b FROM placed WHERE i <= 4 AND b IS NOT NULL
+        UNION SELECT DISTINCT a, 1, 'tone', substr(a, 1, 3) FROM placed WHERE i > 4 AND length(a) >= 6 UNION SELECT 'the', 1, 'joint', 'the'
+    ), stop AS (
+        SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS k FROM benchmark
+    ), prompts AS (
+        SELECT conv_id || '/' || turn AS id, text FROM conversations WHERE role = 'user'
+    ), pw AS (
+        SELECT id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ws FROM prompts
+    ), spans AS (
+        SELECT id, i - 1 AS start, 1 AS size, ws[i] AS p FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM pw) UNION ALL SELECT id, i - 1, 2, ws[i] || ' ' || ws[i + 1] FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM pw)
+    ), met AS (
+        SELECT id, kind, start, size, min(label) AS label, start + size AS fin FROM spans JOIN dict USING (p, size) GROUP BY id, kind, start, size
+    ), kept AS (
+        SELECT * FROM met QUALIFY coalesce(max(fin) OVER (PARTITION BY id, kind ORDER BY start, size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < fin, true)
+    ), labels AS (
+        SELECT id, kind, string_agg(label, ',' ORDER BY s, label) AS ls FROM (SELECT id, kind, label, min(start) AS s FROM kept GROUP BY ALL) GROUP BY id, kind
+    ), ents AS (
+        SELECT id, string_agg(e, ',' ORDER BY i) AS es, count(*) AS n FROM (
+            SELECT id, e, min(i) AS i FROM (SELECT id, unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x5E\\x60\\x7B-\\x7F]+')) AS e, generate_subscripts(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x5E\\x60\\x7B-\\x7F]+'), 1) AS i FROM prompts) WHERE regexp_full_match(e, '[A-Z][a-z]+') GROUP BY id, e
+        ) WHERE lower(e) NOT IN (SELECT k FROM stop) GROUP BY id
+    )"""
+
+
+@query(_PLANNER_SQL + """ SELECT prompts.id, coalesce(es, '') AS entities, coalesce(t.ls, '') AS topics, coalesce(o.ls, '') AS tones,
+        CASE WHEN j.ls IS NOT NULL AND coalesce(n, 0) > 1 THEN 'intersection' ELSE 'union' END AS entity_mode
+    FROM prompts LEFT JOIN ents USING (id) LEFT JOIN labels t ON t.id = prompts.id AND t.kind = 'topic' LEFT JOIN labels o ON o.id = prompts.id AND o.kind = 'tone' LEFT JOIN labels j ON j.id = prompts.id AND j.kind = 'joint'""")
+def keyword_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of all user turns from a dictionary of phrases, the longest phrase first."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
+    bench = T.table(spark, sf_dir, "benchmark")
+    placed = bench.select(words.alias("_w")).select(F.posexplode("_w").alias("i", "a"), "_w").withColumn("b", F.get("_w", F.col("i") + 1))
+    entry = lambda df, phrase, kind, label: df.select(phrase.alias("phrase"), F.lit(kind).alias("kind"), label.alias("label"))
+    early, late = placed.where("i < 4"), placed.where("i >= 4 AND length(a) >= 6")
+    entries = entry(early, F.col("a"), "topic", F.col("a")).unionByName(entry(early.where("b IS NOT NULL"), F.concat_ws(" ", "a", "b"), "topic", F.concat_ws("_", "a", "b")))
+    entries = entries.unionByName(entry(late, F.col("a"), "tone", F.substring("a", 1, 3))).unionByName(entry(spark.range(1), F.lit("the"), "joint", F.lit("the")))
+    stop = bench.select(F.regexp_extract("text", "([A-Za-z]+)", 1).alias("word"))
+    prompts = T.table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    found = P.planned(prompts, entries, stop, 2026)
+    return found.select("id", *[F.array_join(c, ",").alias(c) for c in ("entities", "topics", "tones")], "entity_mode")
