@@ -34,18 +34,6 @@ def class_closure(classes: DataFrame) -> DataFrame:
     return out
 
 
-def type_violations(edges: DataFrame, properties: DataFrame, classes: DataFrame) -> DataFrame:
-    """(s, p, o, side): edges of a declared property whose subject or object is of none of the allowed classes.
-
-    `properties` has p, domain, range; `classes` node and class (with ancestors).
-    """
-    declared = edges.join(properties, "p")
-    fit = classes.withColumn("_ok", F.lit(True))
-    subject = declared.join(fit.select(F.col("node").alias("s"), F.col("class").alias("domain"), "_ok"), ["s", "domain"], "left").where("_ok IS NULL")
-    object_ = declared.join(fit.select(F.col("node").alias("o"), F.col("class").alias("range"), "_ok"), ["o", "range"], "left").where("_ok IS NULL")
-    return subject.select("s", "p", "o", F.lit("domain").alias("side")).union(object_.select("s", "p", "o", F.lit("range").alias("side")))
-
-
 def greedy_chunks(parts: DataFrame, key: str, budget: int = 512) -> DataFrame:
     """(key, idx, chunk): consecutive parts packed until the next would overflow; one over budget is alone.
 

@@ -62,14 +62,6 @@ def bounded_bfs(centers: DataFrame, neighbours: DataFrame, radius: int, both_way
     return union_all(fronts)
 
 
-def traversed_edges(reached: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
-    """(center, s, p, o): edges met on the way; those between two boundary nodes are not."""
-    inner = reached.where(F.col("depth") < radius).select("center", "node")
-    out = inner.join(edges, F.col("node") == F.col("s")).select("center", "s", "p", "o")
-    back = inner.join(edges, F.col("node") == F.col("o")).select("center", "s", "p", "o")
-    return out.union(back).distinct()
-
-
 def chain(start: DataFrame, edges: DataFrame, predicate: str, hops: int) -> DataFrame:
     """(anchor, node, hop) along `predicate` from each anchor, itself at hop 0; a node is entered once."""
     links = edges.where(F.col("p") == predicate).select(F.col("s").alias("node"), F.col("o").alias("nb"))

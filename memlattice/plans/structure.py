@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlattice.operators import chains as C
 from memlattice.operators import classes as K
+from memlattice.operators import graph as G
 from memlattice.operators import outline as O
 from memlattice.operators import planner as P
 from memlattice.registry import query
@@ -151,3 +152,17 @@ def keyword_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = T.table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
     found = P.planned(prompts, entries, stop, 2026)
     return found.select("id", *[F.array_join(c, ",").alias(c) for c in ("entities", "topics", "tones")], "entity_mode")
+
+
+@query("WITH " + T.EDGES_SQL + " SELECT DISTINCT s AS node, o AS next FROM edges WHERE p = 'has_topic' AND s IN (SELECT id FROM episodes WHERE follows IS NULL)")
+def topic_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of the first episode of every session, one hop ahead."""
+    seeds = T.episodes(spark, sf_dir).where("follows IS NULL").select(F.col("id").alias("node"))
+    return G.out_hop(seeds, T.edges(spark, sf_dir), "has_topic").distinct()
+
+
+@query("WITH " + T.EDGES_SQL + " SELECT DISTINCT o AS node, s AS next FROM edges WHERE p = 'in_session' AND o IN (SELECT session FROM episodes WHERE len(tones) > 1)")
+def session_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of the sessions that have one of several tones, one hop back."""
+    seeds = T.episodes(spark, sf_dir).where("size(tones) > 1").select(F.col("session").alias("node")).distinct()
+    return G.in_hop(seeds, T.edges(spark, sf_dir), "in_session").distinct()

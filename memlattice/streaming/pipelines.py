@@ -17,18 +17,6 @@ def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def tumbling_counts(events: DataFrame, width: str = "1 day", lateness: str = "2 hours") -> DataFrame:
-    """Counts and sums per event type and window; rows later than the watermark are dropped."""
-    g = events.withWatermark("ts", lateness).groupBy(F.window("ts", width).alias("_w"), "event_type")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("_w.start").alias("start"), "event_type", "n", "total")
-
-
-def session_counts(events: DataFrame, gap: str = "6 hours", lateness: str = "2 hours") -> DataFrame:
-    """Sessions per user, closed by an idle gap."""
-    g = events.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("_w"), "user_id")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("user_id", F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n", "total")
-
-
 def distinct_messages(events: DataFrame, *keys: str) -> DataFrame:
     """Each key once, however late its rows come; without a watermark, so a stream's state keeps every key."""
     return events.dropDuplicates(list(keys))
@@ -93,19 +81,10 @@ def recurrent_state(events: DataFrame, gate: float = 0.3, forget: float = 0.99,
 
 
 def fill_stubs(stubs: DataFrame, extract, episodes_path: str, edges_path: str, checkpoint: str):
-    """Write episode stubs as they come and their edges once extracted, batch by batch."""
+    """Write episode stubs as they come and their edges once extracted; each batch has its own folder, which a retried batch writes anew."""
 
-    def fill(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(episodes_path)
-        extract(batch).write.mode("append").parquet(edges_path)
+    def fill(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{episodes_path}/batch={number}")
+        extract(batch).write.mode("overwrite").parquet(f"{edges_path}/batch={number}")
 
     return stubs.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def drained(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what there is now and return its rows."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return df.sparkSession.table(name)
