@@ -15,7 +15,7 @@ from memlattice.functions import text as X
 from memlattice.sources.sinks import materialised
 
 #: Window sizes; a title is met by its first bytes, as many as the largest size that it has.
-SIZES = (4, 8, 16, 32, 64)
+SIZES = (4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 64)
 #: Bits of the table of title windows that every text's windows are looked up in, at least and at most.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -32,7 +32,7 @@ def _windows(raw: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
     h = np.full(len(at), np.uint64(size), np.uint64)
     for k in range(0, size, 4):  # four bytes at a time
         word = np.zeros(len(at), np.uint64)
-        for j in range(4):
+        for j in range(min(4, size - k)):
             word = word << np.uint64(8) | raw[at + k + j]
         h = (h ^ word) * _MULT
         h ^= h >> np.uint64(29)
@@ -88,7 +88,7 @@ def cited_documents(texts: DataFrame, titles: DataFrame, least: int = 4) -> Data
     """(id, doc): documents whose normalised title of `least` characters or more occurs anywhere in a text.
 
     `texts` has id and text, `titles` doc and title; both are lower-cased with single spaces, titles without punctuation
-    at their ends.  A title's key is the hash of its first 4, 8, 16, 32 or 64 bytes.  Every window of those sizes of
+    at their ends.  A title's key is the hash of its first bytes, as many as the largest of SIZES it has.  Every window of those sizes of
     every text is hashed where the text is read, and looked up in a table of bits that is broadcast (eight a title, 2 KB
     to 16 MB); those that pass are joined with the titles by key, and the whole title is then checked in the text.  With more titles
     than the table has room for, more windows are joined and the result is the same.
