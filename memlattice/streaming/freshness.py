@@ -105,7 +105,8 @@ def freshness_signals(turns: DataFrame, ring: int = 8, lag: int = 3, capacity: i
 
 
 def with_state_store(spark: SparkSession) -> None:
-    """Name the state store that keyed state needs, where the session names another."""
+    """Name the state store that keyed state needs, where the session names another; batches then store changes, not whole tables."""
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKS:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
