@@ -105,8 +105,12 @@ def freshness_signals(turns: DataFrame, ring: int = 8, lag: int = 3, capacity: i
 
 
 def with_state_store(spark: SparkSession) -> None:
-    """Name the state store that keyed state needs, where the session names another; batches then store changes, not whole tables."""
+    """Name the state store that keyed state needs, where the session names another; batches then store changes, not whole tables.
+
+    The store reserves megabytes of disk for the log files of each partition unless told not to, however little a partition holds.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKS:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
