@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlattice.plans import analytics, consolidation, documents, ingest, memory, retrieval, review, streams, structure, training, units, upkeep  # noqa: F401
+from memlattice.plans import analytics, consolidation, documents, ingest, labelling, memory, retrieval, review, streams, structure, training, units, upkeep  # noqa: F401
 from memlattice.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "retrieve_ranked"

@@ -1,4 +1,4 @@
-"""Review and evaluation: injected anomalies, recombined shards, sweeps, salience decisions, signals, taxonomies, schedules."""
+"""Review and evaluation: injected anomalies, recalls, salience decisions, signals, references, sessions."""
 
 from __future__ import annotations
 
@@ -22,37 +22,6 @@ def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(number)), ",").alias("labels"))
 
 
-@query("""WITH trials AS (SELECT value / 200 AS score, event_type = 'purchase' AS gold FROM events), th AS (SELECT unnest(range(1, 10))::INTEGER AS step)
-    SELECT step, count(*) FILTER (score >= step / 10) AS fired, count(*) FILTER (gold AND score >= step / 10) AS covered, count(*) FILTER (gold) AS gold, round(count(*) FILTER (gold AND score >= step / 10) / nullif(count(*) FILTER (gold), 0) - count(*) FILTER (score >= step / 10) / count(*), 6) AS delta
-    FROM trials, th GROUP BY step""")
-def trial_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Firing and coverage of trials at nine thresholds: trials are counted by the number of thresholds they reach, once."""
-    reached = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: (F.col("value") / 200 >= k / 10).cast("int")), F.lit(0), lambda a, b: a + b)
-    trials = _events(spark, sf_dir).groupBy(reached.alias("_r"), (F.col("event_type") == "purchase").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))  # at most 20 rows
-    steps = trials.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(9))))
-    hit = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0))
-    fires = F.col("_r") >= F.col("step")
-    g = steps.groupBy("step").agg(hit(fires).alias("fired"), hit(fires & F.col("_g")).alias("covered"), hit(F.col("_g")).alias("gold"), F.sum("_n").alias("_all"))
-    share = F.col("covered") / F.when(F.col("gold") > 0, F.col("gold"))
-    return g.select("step", "fired", "covered", "gold", F.round(share - F.col("fired") / F.col("_all"), 6).alias("delta"))
-
-
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS h FROM embeddings), c AS (SELECT vec_id, list_position(h, list_max(h)) - 1 AS cluster, list_max(h) AS coherence FROM v)
-    SELECT cluster, count(*) AS n, round(avg(coherence), 5) AS coherence FROM c GROUP BY cluster HAVING count(*) >= 2""")
-def cluster_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters by the largest of eight logits, with two members or more and their mean coherence."""
-    head = T.table(spark, sf_dir, "embeddings").select(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("h"))
-    c = head.select((F.array_position("h", F.array_max("h")) - 1).alias("cluster"), F.array_max("h").alias("c"))
-    return c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 5).alias("coherence")).where("n >= 2")
-
-
-@query("SELECT user_id AS node, arg_min(value, (event_id % 4) * 1000000000 + event_id) AS score, count(*) AS n_records, round(sum(value), 4) AS cost FROM events GROUP BY user_id")
-def recombined_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node scores of four shards: the first shard that has a node wins; records and costs add up."""
-    order = F.struct((F.col("event_id") % 4).alias("shard"), "event_id")
-    return _events(spark, sf_dir).groupBy(F.col("user_id").alias("node")).agg(F.min_by("value", order).alias("score"), F.count(F.lit(1)).alias("n_records"), F.round(F.sum("value"), 4).alias("cost"))
-
-
 @query("WITH " + T.EPISODES_SQL + " SELECT DISTINCT class FROM (SELECT unnest(topics) AS class FROM episodes UNION ALL SELECT unnest(tones) FROM episodes)")
 def class_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct classes of two nested arrays."""
@@ -170,38 +139,6 @@ def thread_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("conv_id", "turn", F.lit("in_reply_to").alias("p"), (F.col("turn") - 1).alias("target")).union(refs)
 
 
-@query("WITH " + T.EPISODES_SQL + ", n AS (SELECT session, unnest(entities) AS e FROM episodes), d AS (SELECT session, e, row_number() OVER (PARTITION BY session ORDER BY e) AS r FROM (SELECT DISTINCT session, e FROM n)) SELECT a.session, a.e AS left_entity, b.e AS right_entity FROM d a JOIN d b ON a.session = b.session AND a.r < b.r WHERE a.r <= 4 AND b.r <= 4")
-def ontology_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pair candidates among the first four entities of each session: the candidate budget of the feature, at most six."""
-    d = T.episodes(spark, sf_dir).select("session", F.explode("entities").alias("e")).distinct()
-    some = d.withColumn("r", F.row_number().over(Window.partitionBy("session").orderBy("e"))).where("r <= 4")
-    g = some.groupBy("session").agg(F.array_sort(F.collect_list("e")).alias("es"))  # four at most
-    left = g.select("session", "es", F.posexplode("es").alias("i", "left_entity"))
-    return left.select("session", "left_entity", F.explode(F.slice("es", F.col("i") + 2, 4)).alias("right_entity"))
-
-
-_CLASSES_SQL = T.EPISODES_SQL + ", t AS (SELECT DISTINCT id, unnest(topics) AS topic FROM episodes), c AS (SELECT substr(topic, 1, 2) AS parent, topic AS class, count(*) AS n FROM t GROUP BY ALL)"
-
-
-@query("WITH " + _CLASSES_SQL + " SELECT id, CASE WHEN n = 1 THEN parent ELSE topic END AS class, n = 1 AS moved FROM t JOIN c ON c.class = t.topic")
-def reassigned_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of deprecated classes (those of one member) move to the parent class."""
-    t = T.episodes(spark, sf_dir).select("id", F.explode("topics").alias("class")).distinct()
-    n = t.groupBy("class").agg(F.count(F.lit(1)).alias("_n"))
-    return t.join(n, "class").select("id", F.when(F.col("_n") == 1, F.substring("class", 1, 2)).otherwise(F.col("class")).alias("class"), (F.col("_n") == 1).alias("moved"))
-
-
-@query("WITH " + _CLASSES_SQL + ", halves AS (SELECT parent, class FROM c WHERE n % 2 = 0 UNION SELECT parent, class FROM c WHERE n % 2 = 1) SELECT class, coalesce(k, 0) AS n_subclasses FROM (SELECT parent AS class FROM halves UNION SELECT class FROM halves) LEFT JOIN (SELECT parent, count(*) AS k FROM halves GROUP BY parent) ON parent = class")
-def merged_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two taxonomy halves as one: subclass sets unite and every child is a class."""
-    t = T.episodes(spark, sf_dir).select("id", F.explode("topics").alias("class")).distinct().groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    c = t.select(F.substring("class", 1, 2).alias("parent"), "class", "n")
-    both = c.where("n % 2 = 0").unionByName(c.where("n % 2 = 1")).select("parent", "class").distinct()
-    kids = both.groupBy(F.col("parent").alias("class")).agg(F.count(F.lit(1)).alias("k"))
-    every = both.select(F.explode(F.array("parent", "class")).alias("class")).distinct()
-    return every.join(kids, "class", "left").select("class", F.coalesce("k", F.lit(0)).alias("n_subclasses"))
-
-
 @query("WITH m AS (SELECT source, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL), k AS (SELECT source, lang AS kind FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS r FROM m) WHERE r = 1) SELECT d.doc_id, k.kind, d.lang = k.kind AS agrees FROM documents d LEFT JOIN k ON k.source = d.source")
 def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's most frequent kind."""
@@ -229,42 +166,6 @@ def episode_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", text.alias("question"))
 
 
-@query("""WITH f AS (SELECT user_id, max(value) FILTER (event_type = 'purchase') AS probe, avg(value) FILTER (event_type <> 'purchase') AS filler FROM events GROUP BY user_id)
-    SELECT user_id, round(probe - filler, 5) AS margin, coalesce(probe - filler >= 0.2, false) AS passes FROM f""")
-def fact_selectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fact's best probe less the mean of its fillers, and whether it clears 0.2."""
-    is_probe = F.col("event_type") == "purchase"
-    g = _events(spark, sf_dir).groupBy("user_id").agg(F.max(F.when(is_probe, F.col("value"))).alias("p"), F.avg(F.when(~is_probe, F.col("value"))).alias("f"))
-    return g.select("user_id", F.round(F.col("p") - F.col("f"), 5).alias("margin"), F.coalesce(F.col("p") - F.col("f") >= 0.2, F.lit(False)).alias("passes"))
-
-
-@query("SELECT n_nationkey AS fact, h AS probe, n_nationkey + h * 25 + (n_nationkey * 7) % 5 AS turn FROM nation, (SELECT unnest(range(1, 4))::INTEGER AS h)")
-def probe_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three probes of every fact, each a horizon later."""
-    n = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("fact"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("probe"))
-    return n.withColumn("turn", F.col("fact") + F.col("probe") * 25 + F.col("fact") * 7 % 5)
-
-
-@query("""WITH r AS (SELECT user_id % 4 = event_id % 4 AS pathway, CASE WHEN event_type = 'view' THEN 0.5::DOUBLE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f1, abs(value - 50) <= 25 AS size_ok, user_id % 2 = event_id % 2 AS deliberate FROM events)
-    SELECT round(0.35 * avg(pathway::INT) + 0.30 * avg(f1) + 0.20 * avg(size_ok::INT) + 0.15 * avg(deliberate::INT), 6) AS accuracy, count(*) AS n FROM r""")
-def routing_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routing accuracy: pathway, domain F1, size and deliberation, weighted."""
-    f1 = F.when(F.col("event_type") == "view", 0.5).when(F.col("event_type") == "click", 1.0).otherwise(0.0)
-    share = lambda c: F.avg(c.cast("int"))
-    same = lambda k: F.col("user_id") % k == F.col("event_id") % k
-    score = 0.35 * share(same(4)) + 0.30 * F.avg(f1) + 0.20 * share(F.abs(F.col("value") - 50) <= 25) + 0.15 * share(same(2))
-    return _events(spark, sf_dir).agg(F.round(score, 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
-
-
-@query("WITH k AS (SELECT event_type || '/' || (user_id % 20) AS key, min(value) AS base, max(value) AS over FROM events GROUP BY 1) SELECT key, CASE WHEN key LIKE 'purchase/%' OR key LIKE 'error/%' THEN over ELSE base END AS value FROM k")
-def overlaid_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyed table whose keys of two prefixes take the values of another."""
-    e = _events(spark, sf_dir).withColumn("key", F.concat_ws("/", "event_type", (F.col("user_id") % 20).cast("string")))
-    base = e.groupBy("key").agg(F.min("value").alias("value"))
-    over = e.where(F.col("key").startswith("purchase/") | F.col("key").startswith("error/")).groupBy("key").agg(F.max("value").alias("_v"))
-    return base.join(over, "key", "left").select("key", F.coalesce("_v", "value").alias("value"))
-
-
 @query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING bool_and(text IS NOT NULL AND NOT contains(text, '|'))")
 def clean_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions none of whose messages is marked."""
@@ -273,14 +174,6 @@ def clean_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("NOT _bad").select("conv_id", "n")
 
 
-@query("SELECT event_type, round(avg(abs(value - 50)), 6) AS mae, count(DISTINCT floor(value / 20)) AS clusters, round(avg((value >= 50)::INT), 6) AS accuracy FROM events GROUP BY event_type")
-def head_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean absolute error, populated clusters and accuracy per head."""
-    return _events(spark, sf_dir).groupBy("event_type").agg(
-        F.round(F.avg(F.abs(F.col("value") - 50)), 6).alias("mae"), F.countDistinct(F.floor(F.col("value") / 20)).alias("clusters"), F.round(F.avg((F.col("value") >= 50).cast("int")), 6).alias("accuracy")
-    )
-
-
 @query("WITH " + T.EPISODES_SQL + ' SELECT session, any_value("user") AS "user", min(ts) AS opened_at, max(ts) AS closed_at, count(*) AS n FROM episodes GROUP BY session')
 def sessions_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions with when they opened and closed."""
@@ -293,15 +186,3 @@ def kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = T.sections(spark, sf_dir).groupBy("doc").agg(F.count(F.lit(1)).alias("k"))
     d = T.table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.format_string("doc_%06d", "doc_id").alias("doc"), F.col("lang").alias("kind"))
     return d.join(k, "doc", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.coalesce("k", F.lit(0))).alias("n_sections"))
-
-
-@query("WITH " + T.EDGES_SQL + """, t AS (SELECT s, o FROM edges WHERE p = 'has_topic'), n AS (SELECT o, count(*) AS k FROM t GROUP BY o), ops AS (
-        SELECT s, t.o, 1 AS step, 'proposed' AS state FROM t UNION ALL SELECT s, t.o, 2, 'superseded' FROM t WHERE length(s) % 2 = 0 AND substr(t.o, 3, 1) < 'h' UNION ALL SELECT s, t.o, 3, 'pruned' FROM t JOIN n ON n.o = t.o WHERE k = 1)
-    SELECT s, o, arg_max(state, step) AS state, count(*) AS n_decisions FROM ops GROUP BY s, o""")
-def applied_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on edges applied in a fixed order: proposals, supersessions, prunings; the last one holds."""
-    t = T.edges(spark, sf_dir).where("p = 'has_topic'").select("s", "o")
-    once = t.groupBy("o").agg(F.count(F.lit(1)).alias("_k")).where("_k = 1").select("o")
-    step = lambda df, n, state: df.select("s", "o", F.lit(n).alias("step"), F.lit(state).alias("state"))
-    ops = step(t, 1, "proposed").union(step(t.where((F.length("s") % 2 == 0) & (F.substring("o", 3, 1) < "h")), 2, "superseded")).union(step(t.join(once, "o", "left_semi"), 3, "pruned"))
-    return ops.groupBy("s", "o").agg(F.max_by("state", "step").alias("state"), F.count(F.lit(1)).alias("n_decisions"))
