@@ -12,6 +12,7 @@ ENTITY_HALF_LIFE_DAYS = 30.0
 MIN_DECAY_RATE = 0.001
 MAX_DECAY_RATE = 0.05
 SATURATION_PER_DAY = 5
+WORN = 1.02
 UNIT_BOOST = (0.25, 4.0)
 PRUNE_BELOW = 0.1
 
@@ -43,15 +44,19 @@ def dream_score(score: Column, rate: Column, days: Column) -> Column:
     return score * F.pow(F.lit(1.0) - rate, days)
 
 
+def eased(earlier: Column, modifier: Column) -> Column:
+    """What a retrieval multiplies a decay rate by: less of a cut the more retrievals there were."""
+    return F.lit(1.0) - F.lit(0.05) * modifier / (F.lit(1.0) + F.lit(0.3) * earlier)
+
+
 def retrieval_rate(rate: Column, earlier: Column, recent: Column, modifier: Column) -> Column:
     """Decay rate after a retrieval, given earlier retrievals and those of the last day.
 
     Over the daily limit the rate rises by 2 % up to its ceiling; otherwise it falls by
     a boost that diminishes with the number of retrievals.
     """
-    eased = rate * (F.lit(1.0) - F.lit(0.05) * modifier / (F.lit(1.0) + F.lit(0.3) * earlier))
-    worn = F.least(F.lit(MAX_DECAY_RATE), rate * F.lit(1.02))
-    return F.greatest(F.lit(MIN_DECAY_RATE), F.when(recent > SATURATION_PER_DAY, worn).otherwise(eased))
+    worn = F.least(F.lit(MAX_DECAY_RATE), rate * F.lit(WORN))
+    return F.greatest(F.lit(MIN_DECAY_RATE), F.when(recent > SATURATION_PER_DAY, worn).otherwise(rate * eased(earlier, modifier)))
 
 
 def entity_salience(mentions: Column, structural: Column, age_days: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions import scoring as S
+from memlattice.operators.evaluation import placed_values
 from memlattice.sources.sinks import materialised
 
 
@@ -31,41 +32,66 @@ def contradictions(assertions: DataFrame) -> DataFrame:
     ).where("n_values > 1")
 
 
-def compounded_boost(ratings: DataFrame, run: int = 4096) -> DataFrame:
-    """(unit, value, n): ratings from 1 to 5 applied in order, clamped at every step.
+def folded(steps: DataFrame, start: float, run: int = 4096) -> DataFrame:
+    """(unit, value, n): a value changed step by step in the order of `position`, from `start`.
 
-    `ratings` has unit, position and rating.  A run of ratings maps a boost x to
-    x times their factors, held between what it makes of the least and the
-    greatest boost.  So ranges of positions are folded to such maps on their own,
-    in runs of `run` ratings, and a unit's maps are applied in order.
+    Each step (unit, position, factor, low, high) takes a value x to x times a factor above 0, held between low and high.  Several such steps
+    in a row are a step of the same kind.  So ranges of positions are folded on their own, in runs of `run` steps, and a unit's folded
+    runs are applied in order.
     """
-    bounds = [F.lit(float(x)) for x in S.UNIT_BOOST]
-    held = lambda x: F.least(bounds[1], F.greatest(bounds[0], x))
-    kept = ratings.where("rating BETWEEN 1 AND 5 AND NOT unit RLIKE '[/\\\\x00]'")
-    kept = kept.select("unit", "position", (F.lit(0.5) + (F.col("rating").cast("double") - 1) / F.lit(4.0)).alias("factor"))
-    dealt = materialised(kept.repartitionByRange("unit", "position").withColumn("_part", F.spark_partition_id()))
+    held = lambda x, m: F.least(m["high"], F.greatest(m["low"], x * m["factor"]))
+    dealt = materialised(steps.select("unit", "position", "factor", "low", "high").repartitionByRange("unit", "position").withColumn("_part", F.spark_partition_id()))
     nth = F.row_number().over(Window.partitionBy("unit", "_part").orderBy("position")) - 1
     runs = dealt.withColumn("_run", F.floor(nth / run)).groupBy("unit", "_part", "_run")
-    listed = runs.agg(F.array_sort(F.collect_list(F.struct("position", "factor"))).alias("_r"))
-    same = F.struct(F.lit(1.0).alias("factor"), bounds[0].alias("low"), bounds[1].alias("high"))
-    more = lambda m, r: F.struct((m["factor"] * r["factor"]).alias("factor"), held(m["low"] * r["factor"]).alias("low"), held(m["high"] * r["factor"]).alias("high"))
-    maps = listed.select("unit", "_part", "_run", F.size("_r").alias("_n"), F.aggregate("_r", same, more).alias("_m"))
+    listed = runs.agg(F.array_sort(F.collect_list(F.struct("position", "factor", "low", "high"))).alias("_r"))
+    same = F.struct(F.lit(1.0).alias("factor"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    more = lambda m, r: F.struct((m["factor"] * r["factor"]).alias("factor"), held(m["low"], r).alias("low"), held(m["high"], r).alias("high"))
+    maps = listed.select("unit", "_part", "_run", F.size("_r").cast("long").alias("_n"), F.aggregate("_r", same, more).alias("_m"))
     ordered = maps.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("_part", "_run", "_m"))).alias("_m"), F.sum("_n").alias("n"))
-    apply = lambda x, m: F.least(m["_m"]["high"], F.greatest(m["_m"]["low"], x * m["_m"]["factor"]))
-    return ordered.select("unit", F.aggregate("_m", F.lit(1.0), apply).alias("value"), "n")
+    return ordered.select("unit", F.aggregate("_m", F.lit(start), lambda x, m: held(x, m["_m"])).alias("value"), "n")
+
+
+def compounded_boost(ratings: DataFrame, run: int = 4096) -> DataFrame:
+    """(unit, value, n): ratings from 1 to 5 applied in order, clamped at every step.
+
+    `ratings` has unit, position and rating.
+    """
+    low, high = (F.lit(float(x)) for x in S.UNIT_BOOST)
+    kept = ratings.where("rating BETWEEN 1 AND 5 AND NOT unit RLIKE '[/\\\\x00]'")
+    factor = F.lit(0.5) + (F.col("rating").cast("double") - 1) / F.lit(4.0)
+    return folded(kept.select("unit", "position", factor.alias("factor"), low.alias("low"), high.alias("high")), 1.0, run)
+
+
+def counted_before(retrievals: DataFrame, seconds: int = 86400) -> DataFrame:
+    """Adds `earlier`, an edge's retrievals at earlier times, `at_once`, those at the same time, and `recent`, those of the last `seconds` with the time itself.
+
+    `retrievals` has edge and seconds.  Times are counted and numbered by ranges; what is recent is counted
+    in windows of two spans of an edge at most.
+    """
+    placed = placed_values(retrievals, "edge", "seconds").select("edge", "seconds", F.col("n").alias("at_once"), F.col("before").alias("earlier"))
+    span = F.floor(F.col("seconds") / seconds)
+    spans = placed.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_span", F.when(F.col("_own"), span).otherwise(span + 1))
+    w = Window.partitionBy("edge", "_span").orderBy("seconds").rangeBetween(1 - seconds, 0)
+    counts = spans.withColumn("recent", F.sum("at_once").over(w)).where("_own").drop("_own", "_span")
+    return retrievals.join(counts, ["edge", "seconds"])
 
 
-def retrieval_fold(retrievals: DataFrame, start_rate: float = 0.01) -> DataFrame:
+def retrieval_fold(retrievals: DataFrame, start_rate: float = 0.01, run: int = 4096) -> DataFrame:
     """(edge, rate, n): decay rate after all retrievals of an edge in time order.
 
-    `retrievals` has edge, seconds and modifier.  Each step knows the number
-    of earlier retrievals and those of the day before it.
+    `retrievals` has edge, seconds, modifier and event_id, which puts those of one second in order.  Each step knows the number of earlier
+    retrievals and those of the day before it.  Over the daily limit the rate rises to its ceiling, else it
+    falls to its floor: steps that fold.  Rows without edge or time are left out.
     """
-    w = Window.partitionBy("edge").orderBy("seconds")
-    numbered = retrievals.withColumn("_n", F.row_number().over(w) - 1).withColumn("_recent", F.count(F.lit(1)).over(w.rangeBetween(-86399, 0)))
-    ordered = numbered.groupBy("edge").agg(F.array_sort(F.collect_list(F.struct("seconds", "_n", "_recent", "modifier"))).alias("_r"))
-    step = lambda rate, r: S.retrieval_rate(rate, r["_n"], r["_recent"], r["modifier"])
-    return ordered.select("edge", F.aggregate("_r", F.lit(start_rate), step).alias("rate"), F.size("_r").cast("long").alias("n"))
+    known = counted_before(retrievals.where("edge IS NOT NULL AND seconds IS NOT NULL"))
+    # only what an edge has in one second meets in a window
+    nth = F.col("earlier") + F.row_number().over(Window.partitionBy("edge", "seconds").orderBy("event_id")) - 1
+    worn = F.col("recent") > S.SATURATION_PER_DAY
+    steps = known.withColumn("_n", nth).select(
+        F.col("edge").alias("unit"), F.col("_n").alias("position"), F.when(worn, F.lit(S.WORN)).otherwise(S.eased(F.col("_n"), F.col("modifier"))).alias("factor"),
+        F.lit(S.MIN_DECAY_RATE).alias("low"), F.when(worn, F.lit(S.MAX_DECAY_RATE)).otherwise(F.lit(float("inf"))).alias("high"),
+    )
+    return folded(steps, start_rate, run).select(F.col("unit").alias("edge"), F.col("value").alias("rate"), "n")
 
 
 def dream(edges: DataFrame, now_days: Column) -> DataFrame:

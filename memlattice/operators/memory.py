@@ -11,10 +11,10 @@ from memlattice.sources.sinks import materialised
 
 def create_abstracts(groups: DataFrame, first: int = 1) -> tuple[DataFrame, DataFrame]:
     """(memories, edges) of source groups (group, source, text): one memory per group that abstracts its sources."""
-    g = groups.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("source", "text"))).alias("_s"))
+    g = groups.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("source", F.substring("text", 1, 512).alias("text")))).alias("_s"))
     names = placed_values(groups.select(F.lit(0).alias("_all"), "group").distinct(), "_all", "group")
     m = g.join(names.select("group", F.format_string("M:%04d", F.col("before") + first).alias("memory")), "group")
-    memories = m.select("memory", F.array_join(F.transform("_s", lambda x: F.substring(x["text"], 1, 512)), "\n").alias("summary"), F.size("_s").alias("n"))
+    memories = m.select("memory", F.array_join(F.transform("_s", lambda x: x["text"]), "\n").alias("summary"), F.size("_s").alias("n"))
     return memories, m.select(F.col("memory").alias("s"), F.lit("abstracts").alias("p"), F.explode(F.transform("_s", lambda x: x["source"])).alias("o"))
 
 

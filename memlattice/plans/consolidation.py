@@ -57,8 +57,7 @@ _RETRIEVALS_SQL = "retrievals AS (SELECT 'U:' || (user_id % 50) AS edge, date_di
 @query("WITH " + _RETRIEVALS_SQL + " SELECT edge, event_id, count(*) OVER (PARTITION BY edge ORDER BY seconds RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS in_day FROM retrievals")
 def retrievals_in_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrievals of an edge within the day before each retrieval."""
-    w = Window.partitionBy("edge").orderBy("seconds").rangeBetween(-86399, 0)
-    return _retrievals(spark, sf_dir).select("edge", "event_id", F.count(F.lit(1)).over(w).alias("in_day"))
+    return L.counted_before(_retrievals(spark, sf_dir)).select("edge", "event_id", F.col("recent").alias("in_day"))
 
 
 @query("WITH RECURSIVE " + _RETRIEVALS_SQL + """, n AS (SELECT edge, row_number() OVER w AS i, count(*) OVER (PARTITION BY edge ORDER BY seconds RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS recent FROM retrievals WINDOW w AS (PARTITION BY edge ORDER BY seconds)),
@@ -67,7 +66,7 @@ def retrievals_in_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT edge, round(arg_max(rate, i), 8) AS rate, max(i) AS n FROM f GROUP BY edge""")
 def retrieval_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decay rate of every edge after its retrievals, in order."""
-    return L.retrieval_fold(_retrievals(spark, sf_dir).drop("event_id")).withColumn("rate", F.round("rate", 8))
+    return L.retrieval_fold(_retrievals(spark, sf_dir)).withColumn("rate", F.round("rate", 8))
 
 
 @query("WITH " + _RETRIEVALS_SQL + """, r AS (SELECT edge, seconds / 86400.0::DOUBLE AS d FROM retrievals), n AS (SELECT max(d) AS now FROM r), g AS (

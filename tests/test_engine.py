@@ -225,6 +225,23 @@ def test_feedback_in_runs_equals_a_walk(spark):
         assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("run", [1, 7, 4096])
+def test_retrievals_in_runs_equal_a_walk(spark, run):
+    rng = random.Random(run)
+    rows = [(rng.choice(["hot", "hot", "a", "b"]), rng.randrange(0, 40 * 86400, 1800), rng.choice([0.5, 1.0, 2.0]), i) for i in range(900)]
+    rows += [("hot", 86399, 1.0, 901), ("hot", 86400, 1.0, 902), ("hot", 2 * 86400 - 1, 1.0, 903), ("once", 5, 1.0, 904), (None, 5, 1.0, 905), ("a", None, 1.0, 906)]
+    want, seen = {}, defaultdict(list)
+    known = sorted((r for r in rows if r[0] and r[1] is not None), key=lambda r: (r[1], r[3]))
+    for edge, at, modifier, _ in known:
+        recent = sum(at - 86400 < t <= at for e, t, _, _ in known if e == edge)
+        rate = want.get(edge, 0.01)
+        rate = min(0.05, rate * 1.02) if recent > 5 else rate * (1 - 0.05 * modifier / (1 + 0.3 * len(seen[edge])))
+        want[edge] = max(0.001, rate)
+        seen[edge].append(at)
+    got = L.retrieval_fold(spark.createDataFrame(rows, "edge string, seconds long, modifier double, event_id long"), run=run).collect()
+    assert {r.edge: r.rate for r in got} == pytest.approx(want) and {r.edge: r.n for r in got} == {e: len(t) for e, t in seen.items()}
+
+
 def test_statistics_of_counted_values(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(25))])) for _ in range(700)] + [("none", None), ("one", 3.0)]
