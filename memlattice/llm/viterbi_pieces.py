@@ -8,12 +8,14 @@ piece covers fall back to byte pieces at a fixed cost below the lowest score.
 
 Two forms give the same ids.  `StreamingViterbi` takes one text's characters as they
 come, keeps that window and traces paths back until they meet.  `LaneViterbi` encodes
-whole columns: a trie walk over all positions at once finds every piece at every place; a
-boundary that no piece found spans is one that all paths pass, so the text is
-committed there, and the stretches in between advance side by side, one position a
-step.  It takes a block of characters at a time and carries what is not settled at
-its end over to the next; a stretch beyond `LONGEST_LANE` goes through
-`StreamingViterbi`.
+whole columns: a trie walk over all positions at once finds every piece at every place of a
+block of characters.  The block is cut into lanes of `LANE` characters or more that begin where
+no piece spans, and lanes advance side by side, one position a step, each with a ring of
+the last `longest` scores.  Every open path carries the boundary at which it crossed the lane's
+last mark; once all open paths of a lane carry the same one they have met there, so
+the lane commits its ids up to it and sets the next mark.  What is not settled at a block's end
+is carried over to the next; a stretch beyond `LONGEST_LANE` without a place to
+begin a lane goes through `StreamingViterbi`.
 
 Decoding joins the pieces' bytes and turns word marks into spaces; a text
 comes back exactly unless it has the word mark (U+2581) itself.
@@ -21,7 +23,7 @@ comes back exactly unless it has the word mark (U+2581) itself.
 Defined results: a null or empty text has no ids and decodes to the empty text;
 rows that repeat are encoded each; an empty table gives no rows; other columns are
 ignored; text length is bounded by memory for the text alone.  Sums of scores are
-taken from the last boundary on; whole-number scores, as of this file, add exactly.
+taken from the beginning of a lane or a text on; whole-number scores, as of this file, add exactly.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ from memlattice.llm.packing import text_slices
 from memlattice.llm.shared import BOOL, LONG, STR, narrow, schema, ship
 
 MARK = "▁"
-#: Characters matched at once, and the longest stretch that is worked on side by side with others.
-BLOCK_CHARS, LONGEST_LANE = 1 << 18, 512
+#: Characters matched at once, those of a lane, and the longest stretch that is worked on side by side with others.
+BLOCK_CHARS, LANE, LONGEST_LANE = 1 << 18, 128, 512
 #: Cost of an uncovered character below the lowest score.
 FALLBACK = 10.0
 
@@ -251,6 +253,7 @@ class LaneViterbi:
         self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
         self.flat = np.frombuffer(b"".join(self.pieces.bytes_of), np.uint8)
         self.byte_ids = np.array(self.pieces.byte_ids, np.int32)
+        self.meetings = 0  # commits because the paths of a lane had met
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the total)."""
@@ -285,44 +288,69 @@ class LaneViterbi:
         cuts = np.flatnonzero(np.cumsum(spans)[: size + 1] == 0)  # boundaries that all paths pass; 0 is one
         if len(cuts) == 1:
             return self._alone(points, codes, shown, base)
-        starts, lens = cuts[:-1], np.diff(cuts)
-        long = np.flatnonzero(lens > LONGEST_LANE)
+        long = np.flatnonzero(np.diff(cuts) > LONGEST_LANE)
         end = int(cuts[long[0]]) if len(long) else int(cuts[-1])
         if end == 0:
             return self._alone(points, codes, shown, base)
-        lanes = starts < end
-        ids, places = self._lanes(points[base : base + end], shown[base : base + end], piece, starts[lanes], lens[lanes])
+        starts = np.unique(cuts[np.searchsorted(cuts, np.arange(0, end, LANE))])
+        starts = starts[starts < end]
+        ids, places = self._lanes(points[base : base + end], shown[base : base + end], piece, starts, np.diff(starts, append=end))
         return ids, places + base, base + end
 
     def _lanes(self, points: np.ndarray, shown: np.ndarray, piece: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        longest, score = self.pieces.longest, self.auto.score
+        longest, size = self.pieces.longest, len(points)
+        lengths = np.array([*range(longest, 1, -1), 0, 1])  # earlier starts win ties; 0 is the fallback
+        reach = np.maximum(lengths, 1)
+        worth = np.full((size + 1, len(lengths)), -np.inf, np.float32)  # of the piece of each length that ends at a place; files have 32-bit scores
+        bare = longest - 1  # the column of the fallback, whose cost may need more than 32 bits
+        for k, length in enumerate(lengths.tolist()):
+            if length == 0:
+                worth[1:, k] = 0.0
+            elif length <= size:
+                worth[length:, k] = self.auto.score[piece[length, : size - length + 1]]
         order = np.argsort(-lens, kind="stable")
         starts, lens = starts[order], lens[order]
-        best, back = np.zeros(len(points) + 1), np.zeros(len(points) + 1, np.uint8)
-        open_ = np.searchsorted(-lens, -np.arange(1, int(lens[0]) + 1), side="right")  # lanes that have a t-th position
-        for t, n in enumerate(open_.tolist(), 1):
-            end = starts[:n] + t
-            top, own = None, None
-            for length in [*range(min(t, longest), 1, -1), 0, 1]:  # earlier starts win ties; 0 is the fallback
-                at = end - max(length, 1)
-                before = best[at] if t > max(length, 1) else 0.0
-                value = before + (score[piece[length, at]] if length else self.pieces.fallback)
-                if top is None:
-                    top, own = np.broadcast_to(value, (n,)).copy(), np.full(n, length, np.uint8)
-                else:
-                    higher = value > top
-                    top = np.where(higher, value, top)
-                    own[higher] = length
-            best[end], back[end] = top, own
-        stops = np.zeros(len(points) + 1, bool)
-        at, first = starts + lens, starts
-        while len(at):
-            stops[at] = True
-            at = at - np.maximum(back[at], 1)
+        ring, met = np.full((len(starts), longest), -np.inf), np.zeros((len(starts), longest), np.int32)
+        ring[:, 0] = 0.0
+        base, mark = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
+        back, stops = np.zeros(size + 1, np.uint8), np.zeros(size + 1, bool)
+
+        def commit(lanes: np.ndarray, upto: np.ndarray) -> None:
+            """Note where the pieces of the paths to `upto` end."""
+            at, first = starts[lanes] + upto, starts[lanes] + base[lanes]
+            base[lanes] = upto
             on = at > first
             at, first = at[on], first[on]
+            while len(at):
+                stops[at] = True
+                at = at - reach[back[at]]
+                on = at > first
+                at, first = at[on], first[on]
+
+        open_ = np.searchsorted(-lens, -np.arange(1, int(lens[0]) + 2), side="right").tolist()  # lanes that have a t-th position
+        for t, (n, later) in enumerate(zip(open_, open_[1:], strict=False), 1):
+            slots = (t - reach) % longest
+            value = ring[:n].take(slots, axis=1)
+            end = starts[:n] + t
+            value += worth[end]
+            value[:, bare] += self.pieces.fallback
+            own = value.argmax(axis=1)
+            rows = np.arange(n)
+            back[end] = own
+            ring[:n, t % longest] = value[rows, own]
+            met[:n, t % longest] = met[rows, slots[own]]
+            if later < n:
+                commit(rows[later:], lens[later:n])
+            if later and t % longest == 0:
+                crossed = met[:later]
+                one = np.flatnonzero((mark[:later] + longest <= t) & (crossed == crossed[:, :1]).all(axis=1))
+                if len(one):
+                    commit(one, met[one, 0])
+                    self.meetings += len(one)
+                    mark[one] = t
+                    met[one] = t - (t - np.arange(longest)) % longest
         at = np.flatnonzero(stops)
-        length = back[at].astype(np.int64)
+        length = lengths[back[at]]
         begins = at - np.maximum(length, 1)
         seen = shown[begins]
         return self._ids(points, piece, begins[seen], length[seen])

@@ -410,10 +410,23 @@ def test_streaming_viterbi(docs, rows, empty, monkeypatch):
     for block, lane in ((1 << 18, 512), (500, 40), (64, 8)):
         monkeypatch.setattr(viterbi_pieces, "BLOCK_CHARS", block)
         monkeypatch.setattr(viterbi_pieces, "LONGEST_LANE", lane)
+        monkeypatch.setattr(viterbi_pieces, "LANE", lane // 4)
         ids, at = coder.encode([None, *unspaced, ""])
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[], *map(whole, unspaced), []]
 
 
+def test_lanes_commit_where_their_paths_meet(monkeypatch):
+    coder = viterbi_pieces.LaneViterbi(viterbi_pieces.default_pieces())
+    text = "the unbelievable internationalisation of countermeasures, without any regret " * 40
+    want = list(viterbi_pieces.stream_ids([text], coder.pieces))
+    for lane in (128, 1 << 14):
+        monkeypatch.setattr(viterbi_pieces, "LANE", lane)
+        coder.meetings = 0
+        assert coder.encode([text])[0].tolist() == want
+        # a commit in nearly every window of every lane, none of which begins where another lane does
+        assert coder.meetings > 0.5 * len(text) / coder.pieces.longest * (lane - 2 * coder.pieces.longest) / lane
+
+
 def test_viterbi_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "c")], "doc_id long, text string")
     got = viterbi_pieces.encode_and_decode(df).collect()
