@@ -32,8 +32,9 @@ def nearest_classes(entities: DataFrame, classes: DataFrame, k: int, block_rows:
     e = entities.where("entity IS NOT NULL AND vector IS NOT NULL").select("entity", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"))
     c = classes.where("class IS NOT NULL AND vector IS NOT NULL").select("class", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"))
     rows, columns = (max(1, -(-df.count() // block_rows)) for df in (e, c))
-    left = e.withColumn("i", F.pmod(F.xxhash64("entity"), F.lit(rows))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    right = c.withColumn("jj", F.pmod(F.xxhash64("class"), F.lit(columns))).withColumn("ii", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumnRenamed("dim", "d")
+    # both sides' block numbers are of one type: a cogroup casts no keys, and an int is dealt elsewhere than an equal long
+    left = e.withColumn("i", F.pmod(F.xxhash64("entity"), F.lit(rows)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    right = c.withColumn("jj", F.pmod(F.xxhash64("class"), F.lit(columns)).cast("int")).withColumn("ii", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumnRenamed("dim", "d")
     out = T.StructType([T.StructField("entity", id_e), T.StructField("class", id_c), T.StructField("score", T.DoubleType())])
 
     def matrix(table: pa.Table) -> np.ndarray:
