@@ -9,6 +9,7 @@ from memlattice.functions import scoring as S
 from memlattice.functions import text as X
 from memlattice.operators import graph as G
 from memlattice.operators import lifecycle as L
+from memlattice.operators import overlap as V
 from memlattice.plans.retrieval import entity_salience
 from memlattice.registry import query
 from memlattice.sources import tables as T
@@ -91,20 +92,11 @@ def dream_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE, 6) AS similarity
     FROM tok a JOIN tok b ON a.id < b.id WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE >= 0.3""")
 def similar_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of episodes whose summary token sets are similar, met through shared rare tokens.
-
-    A pair at 0.3 shares a token among the rarest (1 - 0.3) share plus one of
-    each side, so only those prefixes are joined.
-    """
-    e = T.episodes(spark, sf_dir).select("id", X.word_tokens(F.col("summary")).alias("t")).where("size(t) > 0")
-    tokens = e.select("id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    freq = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    prefix = tokens.join(freq, "w").withColumn("_n", nth).where("_n <= n - ceil(0.3 * n) + 1").select("id", "n", "w")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, "w").where("a.id < b.id AND least(a.n, b.n) >= 0.3 * greatest(a.n, b.n)").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    full = pairs.join(e.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(e.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return full.select("a", "b", X.jaccard(F.col("ta"), F.col("tb")).alias("_s")).where("_s >= 0.3").select("a", "b", F.round("_s", 6).alias("similarity"))
+    """Pairs of episodes whose summary token sets are similar: an exact join in blocks."""
+    e = T.episodes(spark, sf_dir).select("id", X.word_tokens(F.col("summary")).alias("items"))
+    similarity = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
+    pairs = V.overlapping_pairs(e, ratio=0.3).select("a", "b", similarity.alias("_s")).where("_s >= 0.3")
+    return pairs.select("a", "b", F.round("_s", 6).alias("similarity"))
 
 
 @query("WITH " + T.EDGES_SQL + " SELECT s, o FROM edges WHERE p = 'follows' AND o NOT IN (SELECT id FROM episodes WHERE length(reply) >= 300)")
