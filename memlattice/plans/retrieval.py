@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memlattice.functions import scoring as S
 from memlattice.functions import text as X
 from memlattice.operators import graph as G
+from memlattice.operators import overlap as V
 from memlattice.operators import retrieval as R
 from memlattice.plans.units import _STATES_SQL as STATES_SQL
 from memlattice.plans.units import units
@@ -158,19 +159,9 @@ def retrieve_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + T.EDGES_SQL + " SELECT a.s AS id, b.s AS related, count(*) AS shared FROM edges a JOIN edges b ON a.o = b.o AND a.p = b.p WHERE a.p = 'has_topic' AND a.s < b.s GROUP BY ALL HAVING count(*) >= 4")
 def related_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of episodes that share at least four topics.
-
-    Such a pair shares one that is not among the three most frequent of either,
-    so only the others are joined; the whole topic lists are compared after.
-    """
-    t = T.edges(spark, sf_dir).where("p = 'has_topic'").select("s", "o")
-    freq = t.groupBy("o").agg(F.count(F.lit(1)).alias("_df"))
-    nth = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("_df"), "o"))
-    rare = t.join(freq, "o").withColumn("_n", nth).where("_n > 3").select("s", "o")
-    pairs = rare.alias("a").join(rare.alias("b"), "o").where("a.s < b.s").select(F.col("a.s").alias("id"), F.col("b.s").alias("related")).distinct()
-    lists = t.groupBy("s").agg(F.collect_set("o").alias("_t"))
-    full = pairs.join(lists.select(F.col("s").alias("id"), F.col("_t").alias("_a")), "id").join(lists.select(F.col("s").alias("related"), F.col("_t").alias("_b")), "related")
-    return full.select("id", "related", F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared")).where("shared >= 4")
+    """Pairs of episodes that share at least four topics: an exact join in blocks."""
+    lists = T.edges(spark, sf_dir).where("p = 'has_topic'").groupBy(F.col("s").alias("id")).agg(F.collect_set("o").alias("items"))
+    return V.overlapping_pairs(lists, least=4).select(F.col("a").alias("id"), F.col("b").alias("related"), F.col("common").alias("shared"))
 
 
 @query("WITH RECURSIVE " + T.EDGES_SQL + """, walk AS (
