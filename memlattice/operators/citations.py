@@ -18,6 +18,8 @@ from memlattice.sources.sinks import materialised
 SIZES = (4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 64)
 #: Bits of the table of title windows that every text's windows are looked up in, at least and at most.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+#: Bits of that table per title, at least half as many after rounding; and bytes of texts that are hashed at a time.
+TITLE_BITS, STRETCH = 64, 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Workers get these functions themselves, so they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -54,22 +56,43 @@ def _text_keys(table: bytes, sizes: tuple[int, ...]):
     """A function of batches (id, text) that keeps the windows whose hash has its bit in the table."""
     bits = np.uint64(len(table) * 8 - 1)
 
+    def passing(known: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for size in sizes:
+            at, h = _windows(raw, ends, size)
+            place = h.view(np.uint64) >> np.uint64(7) & bits
+            hit = (known[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            yield at[hit], h[hit]
+
+    def flush(known: np.ndarray, ids: pa.Array, rows: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """The keys of some texts: short ones together, a long one a stretch at a time."""
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        last = np.cumsum(np.array([len(t) for t in texts], np.int64))
+        ends = np.repeat(last, np.diff(last, prepend=0))
+        found = []
+        for lo in range(0, len(raw), STRETCH):
+            hi = min(lo + STRETCH + max(sizes, default=1) - 1, len(raw))
+            found += [(np.searchsorted(last, at + lo, side="right"), h) for at, h in passing(known, raw[lo:hi], np.minimum(ends[lo:hi], hi) - lo)]
+        text, keys = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.lexsort((keys, text))
+        text, keys = text[order], keys[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(rows)[text[first]])), pa.array(keys[first])], names=["id", "key"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(table, np.uint8)
         for batch in batches:
+            rows, texts, size = [], [], 0
             for row, text in enumerate(batch.column("text").to_pylist()):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                found = []
-                for size in sizes:
-                    for lo in range(0, max(len(raw) - size + 1, 0), 1 << 20):  # a long text a stretch at a time
-                        part = raw[lo : lo + (1 << 20) + size - 1]
-                        h = _windows(part, np.full(len(part), len(part)), size)[1]
-                        place = h.view(np.uint64) >> np.uint64(7) & bits
-                        hit = known[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1
-                        found.append(np.unique(h[hit.astype(bool)]))
-                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([row] * len(keys), pa.int32())), pa.array(keys, pa.int64())], names=["id", "key"])
+                data = text.encode()
+                if texts and size + len(data) > STRETCH:
+                    yield from flush(known, batch.column("id"), rows, texts)
+                    rows, texts, size = [], [], 0
+                rows.append(row)
+                texts.append(data)
+                size += len(data)
+            yield from flush(known, batch.column("id"), rows, texts)
 
     return run
 
@@ -89,7 +112,7 @@ def cited_documents(texts: DataFrame, titles: DataFrame, least: int = 4) -> Data
 
     `texts` has id and text, `titles` doc and title; both are lower-cased with single spaces, titles without punctuation
     at their ends.  A title's key is the hash of its first bytes, as many as the largest of SIZES it has.  Every window of those sizes of
-    every text is hashed where the text is read, and looked up in a table of bits that is broadcast (eight a title, 2 KB
+    every text is hashed where the text is read, and looked up in a table of bits that is broadcast (32 to 64 a title, 8 KB
     to 16 MB); those that pass are joined with the titles by key, and the whole title is then checked in the text.  With more titles
     than the table has room for, more windows are joined and the result is the same.
 
@@ -98,9 +121,11 @@ def cited_documents(texts: DataFrame, titles: DataFrame, least: int = 4) -> Data
     known = titles.where("doc IS NOT NULL AND title IS NOT NULL").select("doc", X.normal_title(F.col("title")).alias("title")).where(F.length("title") >= least).distinct()
     kinds = f"doc {titles.schema['doc'].dataType.simpleString()}, title string, key long"
     named = materialised(known.where(F.octet_length("title") >= min(SIZES)).mapInArrow(_title_keys, kinds))
-    size = max((s for s in (1 << k for k in range(16, 28)) if s <= max(8 * named.count(), LEAST_BITS)), default=LEAST_BITS)
+    size = max((s for s in (1 << k for k in range(16, 28)) if s <= max(TITLE_BITS * named.count(), LEAST_BITS)), default=LEAST_BITS)
     used = sorted(r.n for r in named.select(F.octet_length("title").alias("n")).select(F.greatest(*[F.when(F.col("n") >= s, F.lit(s)).otherwise(0) for s in SIZES]).alias("n")).distinct().collect())
     body = texts.where("id IS NOT NULL AND text IS NOT NULL").select("id", F.regexp_replace(F.lower("text"), r"\s+", " ").alias("text"))
     keys = body.mapInArrow(_text_keys(_bit_table(named, min(size, MOST_BITS)), tuple(used)), f"id {texts.schema['id'].dataType.simpleString()}, key long")
-    pairs = keys.join(named, "key").select("id", "doc", "title").distinct()
-    return pairs.join(body, "id").where(F.col("text").contains(F.col("title"))).select("id", "doc").distinct()
+    # the titles that may be in a text are gathered, so a text meets them in one row
+    pairs = keys.join(named, "key").groupBy("id").agg(F.collect_set(F.struct("doc", "title")).alias("_t"))
+    inside = F.filter("_t", lambda t: F.contains(F.col("text"), t["title"]))
+    return pairs.join(body, "id").select("id", F.explode(F.transform(inside, lambda t: t["doc"])).alias("doc")).distinct()

@@ -51,6 +51,26 @@ def test_windows_end_inside_a_text_and_long_texts_are_cut(spark):
     assert cite(spark, [], ["title"]) == set() == cite(spark, ["title"], [])
 
 
+def test_few_windows_pass_that_no_title_begins_with(spark):
+    """What the table of bits lets through is joined and shuffled: with many titles it stays near what they have."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    titles = spark.createDataFrame([(i, word()) for i in range(20_000)], "doc long, title string")
+    texts = spark.createDataFrame([(i, " ".join(word() for _ in range(40))) for i in range(20)], "id long, text string")
+    passed = []
+    real = I._text_keys
+
+    def counted(table, sizes):
+        run = real(table, sizes)
+        passed.append(sum(b.num_rows for b in run(iter(texts.toArrow().to_batches()))))
+        return run
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(I, "_text_keys", counted)
+        assert I.cited_documents(texts, titles).count() == 0
+    assert passed[0] < 20 * 400 * 0.06  # 8 bits a title: about one in six
+
+
 def test_every_node_gets_its_negatives(spark):
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(1000)] + [(None,), ("n1",)], "node string")
     none = spark.createDataFrame([], "a string, b string")
