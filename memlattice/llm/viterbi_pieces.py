@@ -193,11 +193,15 @@ class Automaton:
         table = np.array(keys, np.int64).reshape(-1, 3)
         self.piece = np.full(nodes, -1, np.int32)
         self.piece[list(piece_of)] = list(piece_of.values())
+        self.piece[0] = -1  # the root, where a walk that fails ends
         self.score = np.full(int(self.piece.max(initial=0)) + 2, -np.inf)  # the last one, at index -1, is no piece
         self.score[list(piece_of.values())] = [score_of[n] for n in piece_of]
         self.bits = max(int(4 * len(table)).bit_length(), 4)
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.child = np.zeros(1 << self.bits, np.int32)
+        self.inner = np.zeros(nodes, bool)  # nodes that lead on
+        self.inner[table[:, 0]] = True
+        self.inner[0] = False
         left = np.arange(len(table))
         key = table[:, 0] * self.letters + table[:, 1]
         slot = self._slot(key)
@@ -226,21 +230,23 @@ class Automaton:
             again = again[~hit & (found >= 0)]
         return out
 
-    def matches(self, codes: np.ndarray, size: int, longest: int) -> np.ndarray:
-        """(longest + 1, size) ids of the piece of each length that begins at each of the first `size` places; -1 where none does."""
-        out = np.full((longest + 1, size), -1, np.int32)
-        at, node = np.flatnonzero(codes[:size]), np.zeros(0, np.int32)
+    def matches(self, codes: np.ndarray, size: int, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length, 0 to `longest`, the places among the first `size` where a piece of it begins, ascending, and its id."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        found = [none] * (longest + 1)
+        codes = np.append(codes, np.zeros(longest, codes.dtype))  # 0 leads nowhere
+        at = np.flatnonzero(codes[:size])
         node = np.zeros(len(at), np.int32)
         for length in range(1, longest + 1):
-            inside = at + length <= len(codes)
-            at, node = at[inside], node[inside]
-            node = self.step(node, codes[at + length - 1])
-            on = node > 0
-            at, node = at[on], node[on]
+            node = self.step(node, codes[length - 1 :].take(at))
+            ids = self.piece.take(node)
+            ends = np.flatnonzero(ids >= 0)
+            found[length] = at.take(ends), ids.take(ends)
+            on = np.flatnonzero(self.inner.take(node))
+            at, node = at.take(on), node.take(on)
             if not len(at):
                 break
-            out[length, at] = self.piece[node]
-        return out
+        return found
 
 
 class LaneViterbi:
@@ -253,6 +259,7 @@ class LaneViterbi:
         self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
         self.flat = np.frombuffer(b"".join(self.pieces.bytes_of), np.uint8)
         self.byte_ids = np.array(self.pieces.byte_ids, np.int32)
+        self.score = self.auto.score.astype(np.float32)
         self.meetings = 0  # commits because the paths of a lane had met
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,13 +286,12 @@ class LaneViterbi:
     def _block(self, points: np.ndarray, codes: np.ndarray, shown: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids settled from `base` on, their places, and up to where they are settled."""
         longest, size = self.pieces.longest, min(BLOCK_CHARS, len(codes) - base)
-        piece = self.auto.matches(codes[base : base + size + longest], size, longest)
-        spans = np.zeros(size + longest + 1, np.int64)
+        matched = self.auto.matches(codes[base : base + size + longest], size, longest)
+        reached = np.arange(1, size + 1)
         for length in range(2, longest + 1):
-            begins = np.flatnonzero(piece[length] >= 0)
-            np.add.at(spans, begins + 1, 1) if len(begins) < 64 else spans.__iadd__(np.bincount(begins + 1, minlength=len(spans)))
-            np.add.at(spans, begins + length, -1) if len(begins) < 64 else spans.__isub__(np.bincount(begins + length, minlength=len(spans)))
-        cuts = np.flatnonzero(np.cumsum(spans)[: size + 1] == 0)  # boundaries that all paths pass; 0 is one
+            reached[matched[length][0]] = matched[length][0] + length
+        reached = np.maximum.accumulate(reached)
+        cuts = np.append(0, np.flatnonzero(reached == np.arange(1, size + 1)) + 1)  # boundaries that all paths pass; 0 is one
         if len(cuts) == 1:
             return self._alone(points, codes, shown, base)
         long = np.flatnonzero(np.diff(cuts) > LONGEST_LANE)
@@ -294,26 +300,37 @@ class LaneViterbi:
             return self._alone(points, codes, shown, base)
         starts = np.unique(cuts[np.searchsorted(cuts, np.arange(0, end, LANE))])
         starts = starts[starts < end]
-        ids, places = self._lanes(points[base : base + end], shown[base : base + end], piece, starts, np.diff(starts, append=end))
+        ids, places = self._lanes(points[base : base + end], shown[base : base + end], matched, starts, np.diff(starts, append=end))
         return ids, places + base, base + end
 
-    def _lanes(self, points: np.ndarray, shown: np.ndarray, piece: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _lanes(self, points: np.ndarray, shown: np.ndarray, matched: list[tuple[np.ndarray, np.ndarray]], starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         longest, size = self.pieces.longest, len(points)
         lengths = np.array([*range(longest, 1, -1), 0, 1])  # earlier starts win ties; 0 is the fallback
         reach = np.maximum(lengths, 1)
-        worth = np.full((size + 1, len(lengths)), -np.inf, np.float32)  # of the piece of each length that ends at a place; files have 32-bit scores
         bare = longest - 1  # the column of the fallback, whose cost may need more than 32 bits
-        for k, length in enumerate(lengths.tolist()):
-            if length == 0:
-                worth[1:, k] = 0.0
-            elif length <= size:
-                worth[length:, k] = self.auto.score[piece[length, : size - length + 1]]
         order = np.argsort(-lens, kind="stable")
         starts, lens = starts[order], lens[order]
+        open_ = np.searchsorted(-lens, -np.arange(1, int(lens[0]) + 2), side="right")  # lanes that have a t-th position
+        steps = np.cumsum(open_) - open_
+        # rows in the order of steps, so that a step reads a stretch of memory and not a place in each lane's
+        lane = np.argsort(starts)
+        ahead = np.repeat(starts[lane], lens[lane])
+        row = np.zeros(size + 1, np.int64)
+        row[1:] = steps[np.arange(size) - ahead] + np.repeat(lane, lens[lane])
+        worth = np.full((size, len(lengths)), -np.inf, np.float32)  # of the piece of each length that ends at a place; files have 32-bit scores
+        worth[:, bare] = 0.0
+        cells, named = worth.reshape(-1), np.full((longest + 1) * size, -1, np.int32)
+        for k, length in enumerate(lengths.tolist()):
+            if length:
+                begins, ids = matched[length]
+                inside = int(np.searchsorted(begins, size - length, side="right"))
+                begins, ids = begins[:inside], ids[:inside]
+                cells[row[length:].take(begins) * len(lengths) + k] = self.score.take(ids)
+                named[length * size : (length + 1) * size][begins] = ids
         ring, met = np.full((len(starts), longest), -np.inf), np.zeros((len(starts), longest), np.int32)
         ring[:, 0] = 0.0
         base, mark = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
-        back, stops = np.zeros(size + 1, np.uint8), np.zeros(size + 1, bool)
+        back, stops = np.zeros(size, np.uint8), np.zeros(size + 1, bool)
 
         def commit(lanes: np.ndarray, upto: np.ndarray) -> None:
             """Note where the pieces of the paths to `upto` end."""
@@ -323,20 +340,18 @@ class LaneViterbi:
             at, first = at[on], first[on]
             while len(at):
                 stops[at] = True
-                at = at - reach[back[at]]
-                on = at > first
-                at, first = at[on], first[on]
+                at = at - reach.take(back.take(row.take(at)))
+                on = np.flatnonzero(at > first)
+                at, first = at.take(on), first.take(on)
 
-        open_ = np.searchsorted(-lens, -np.arange(1, int(lens[0]) + 2), side="right").tolist()  # lanes that have a t-th position
-        for t, (n, later) in enumerate(zip(open_, open_[1:], strict=False), 1):
+        for t, (at, n, later) in enumerate(zip(steps.tolist(), open_.tolist(), open_[1:].tolist(), strict=False), 1):
             slots = (t - reach) % longest
             value = ring[:n].take(slots, axis=1)
-            end = starts[:n] + t
-            value += worth[end]
+            value += worth[at : at + n]
             value[:, bare] += self.pieces.fallback
             own = value.argmax(axis=1)
             rows = np.arange(n)
-            back[end] = own
+            back[at : at + n] = own
             ring[:n, t % longest] = value[rows, own]
             met[:n, t % longest] = met[rows, slots[own]]
             if later < n:
@@ -350,15 +365,15 @@ class LaneViterbi:
                     mark[one] = t
                     met[one] = t - (t - np.arange(longest)) % longest
         at = np.flatnonzero(stops)
-        length = lengths[back[at]]
+        length = lengths[back[row[at]]]
         begins = at - np.maximum(length, 1)
         seen = shown[begins]
-        return self._ids(points, piece, begins[seen], length[seen])
+        return self._ids(points, named, begins[seen], length[seen])
 
-    def _ids(self, points: np.ndarray, piece: np.ndarray, begins: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, points: np.ndarray, named: np.ndarray, begins: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids at places; an uncovered character gives those of its bytes."""
         bare = np.flatnonzero(length == 0)
-        ids = piece[length, begins]
+        ids = named.take(length * len(points) + begins)
         if not len(bare):
             return ids, begins
         raw = ["".join(map(chr, (p,))).encode("utf-8", "surrogatepass") for p in points[begins[bare]].tolist()]

@@ -427,6 +427,25 @@ def test_lanes_commit_where_their_paths_meet(monkeypatch):
         assert coder.meetings > 0.5 * len(text) / coder.pieces.longest * (lane - 2 * coder.pieces.longest) / lane
 
 
+def test_matches_are_the_places_where_pieces_begin():
+    coder = viterbi_pieces.LaneViterbi(viterbi_pieces.default_pieces())
+    p, text = coder.pieces, "\u2581the\u2581unbelievable\u2581caf\u00e9\0\U0001f9ff\u2581\u2581abc"
+    size = len(text) - 2  # pieces may end beyond the places asked for
+    codes = coder.auto.code[[ord(c) for c in text]]
+    found = coder.auto.matches(codes, size, p.longest)
+    want = [[] for _ in range(p.longest + 1)]
+    for at in range(size):
+        node = p.trie
+        for k, c in enumerate(text[at:], 1):
+            node = node.get(c)
+            if node is None:
+                break
+            if "" in node:
+                want[k].append((at, node[""][1]))
+    assert [list(zip(places.tolist(), ids.tolist(), strict=True)) for places, ids in found] == want
+    assert sum(map(len, want)) < size * p.longest / 3  # no row for every place and length
+
+
 def test_viterbi_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "c")], "doc_id long, text string")
     got = viterbi_pieces.encode_and_decode(df).collect()
