@@ -55,6 +55,8 @@ from memlattice.llm.shared import BIN, BOOL, DBL, INT, LONG, partitions_for, pos
 END, BEGIN = np.uint64(0xFFFFFFFFFFFFFFF1), np.uint64(0x0000000000000007)
 #: Pairs a task gathers before it sends them on.
 GATHER = 1 << 21
+#: Tokens scored at once, or a longer text: n-grams that repeat within them are looked up once.
+SCORE_TOKENS = 1 << 19
 
 
 def buckets_for(parts: int) -> int:
@@ -77,6 +79,25 @@ def tokens_of(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield lo, hi, out, at + np.arange(rows + 1)
 
 
+def joined_tokens(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of words and ends, index of each row's first token) of neighbouring blocks, up to about SCORE_TOKENS tokens."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        begin = np.cumsum([0] + [len(tokens) for tokens, _ in held])
+        return np.concatenate([tokens for tokens, _ in held]), np.concatenate([starts[:-1] + b for (_, starts), b in zip(held, begin, strict=False)] + [begin[-1:]])
+
+    for _, _, tokens, starts in tokens_of(col):
+        if held and size + len(tokens) > SCORE_TOKENS:
+            yield joined()
+            held, size = [], 0
+        held.append((tokens, starts))
+        size += len(tokens)
+    if held:
+        yield joined()
+
+
 def _save(path: str, **arrays: np.ndarray) -> None:
     for name, values in arrays.items():
         target = f"{path}.{name}.npy"
@@ -281,6 +302,19 @@ def _opened_files(path: str, names: tuple[str, ...]) -> tuple | None:
     return tuple(_FORMS.get(n, _map)(path, n) for n in names) if os.path.exists(f"{path}.{names[0]}.npy") else None
 
 
+def _stretches(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each stretch, one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _order(values: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of numbers from 0 up to `most`, counted out in digits of 16 bits."""
+    order = np.argsort(values.astype(np.uint16), kind="stable")
+    for shift in range(16, int(most).bit_length(), 16):
+        order = order[np.argsort((values >> shift).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, from, to) of runs of equal values."""
     if not len(sorted_values):
@@ -390,10 +424,13 @@ def _told(level: int, counts: np.ndarray) -> pa.RecordBatch:
 def _combined(parts: list[Entries]) -> Entries:
     """Entries of several sorted or unsorted parts, equal ones added."""
     context, word, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((word, context))
-    context, word, count = context[order], word[order], count[order]
     if not len(context):
         return context, word, count
+    order = np.argsort(context, kind="stable")  # sorted parts are merged
+    ranks = context[order]
+    key = (np.cumsum(np.append(False, ranks[1:] != ranks[:-1]), dtype=np.uint64) << np.uint64(32)) | word[order]
+    order = order[np.argsort(key, kind="stable")]  # in order but for contexts of several parts
+    context, word, count = context[order], word[order], count[order]
     first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
     return context[first], word[first], np.add.reduceat(count, first)
 
@@ -443,7 +480,7 @@ def _by_bucket(entries: Entries, bits: int) -> pa.RecordBatch | None:
     if not len(context):
         return None
     bucket = bucket_of(context, bits)
-    order = np.argsort(bucket, kind="stable")
+    order = _order(bucket, 1 << bits)
     bucket = bucket[order]
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(bucket)]
     parts = [(int(bucket[lo]), _blob(tuple(x[order[lo:hi]] for x in entries))) for lo, hi in zip(cut, cut[1:], strict=False)]
@@ -597,40 +634,57 @@ class Scorer:
                 out[lo:hi] = files[0][ids[lo:hi] - self.base[b]]
         return out
 
-    def _level(self, level: int, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probabilities of words after contexts of one order, from those of the order below."""
+    def _level(self, level: int, contexts: np.ndarray, at: np.ndarray, ids: np.ndarray, where: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of words after contexts of one order, from those of the order below; which pairs there are, and each token's.
+
+        A token is word `ids[where]` after `contexts[at]`, which is -1 where it has an unknown word.  Each context is looked up once,
+        and each word after it once: it has a gain of its own and the weight of the order below.
+        """
         d = np.array([0.0, *self.model.discounts[level - 1]])
-        out = lower.copy()
-        order = np.flatnonzero(context >= 0)
-        bucket = bucket_of(context[order], self.model.bits)
-        by_bucket = np.argsort(bucket, kind="stable")
-        order, bucket = order[by_bucket], bucket[by_bucket]
+        key = at * len(ids) + where
+        order = _order(key, len(contexts) * len(ids))
+        key = key[order]
+        fresh = np.append(True, key[1:] != key[:-1])
+        own = np.empty(len(key), np.int64)
+        own[order] = np.cumsum(fresh) - 1
+        head, last = np.divmod(key[fresh], len(ids))
+        follows = ids[last]
+        begin = np.searchsorted(head, np.arange(len(contexts) + 1))
+        gain, rest = np.zeros(len(head)), np.ones(len(head))
+        heads = np.flatnonzero(contexts >= 0)
+        bucket = bucket_of(contexts[heads], self.model.bits)
+        order = _order(bucket, 1 << self.model.bits)
+        heads, bucket = heads[order], bucket[order]
         for b, lo, hi in _runs(bucket):
             files = _opened_files(self.model.file(level, b), ("context", "start", "total", "once", "twice", "word", "count", "lone", "follower"))
             if files is None:
                 continue
-            contexts, start, total, once, twice, words, counts, lone, follower = files
-            rows = order[lo:hi]
-            high, low = _scattered(context[rows].astype(np.uint64), self.model.vocabulary)
-            own = np.argsort(high)  # neighbours are looked up one after another
-            rows, high, low = rows[own], high[own], low[own]
-            fresh = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))
-            own, high, low = np.cumsum(fresh) - 1, high[fresh], low[fresh]
-            at = lone.find(high, low)[own]
-            some, at = rows[at >= 0], at[at >= 0]
-            out[some] = np.where(follower[at] == word[some], max(1 - d[1], 0), 0.0) + d[1] * lower[some]
-            at = contexts.find(high, low)
-            seen = at[own] >= 0
-            rows, own, at = rows[seen], own[seen], np.maximum(at, 0)
-            if not len(rows):
+            listed, start, total, once, twice, words, counts, lone, follower = files
+            mine = heads[lo:hi]
+            high, low = _scattered(contexts[mine].astype(np.uint64), self.model.vocabulary)
+            near = np.argsort(high)  # neighbours are looked up one after another
+            mine, high, low = mine[near], high[near], low[near]
+            at = lone.find(high, low)
+            seen = np.flatnonzero(at >= 0)
+            first, sizes = begin[mine[seen]], begin[mine[seen] + 1] - begin[mine[seen]]
+            rows = _stretches(first, sizes)
+            gain[rows] = np.where(np.repeat(follower[at[seen]], sizes) == follows[rows], max(1 - d[1], 0), 0.0)
+            rest[rows] = d[1]
+            left = np.flatnonzero(at < 0)
+            at = listed.find(high[left], low[left])
+            seen = left[at >= 0]
+            at = at[at >= 0]
+            if not len(at):
                 continue
-            first, last = start[at].astype(np.int64), start[at + 1].astype(np.int64)
+            low, high = start[at].astype(np.int64), start[at + 1].astype(np.int64)
             one, two, whole = once[at], twice[at], total[at]
-            rest = (d[1] * one + d[2] * two + d[3] * (last - first - one - two)) / whole
-            place = _within(words, first[own], last[own], word[rows], self.model.vocabulary)
+            first, sizes = begin[mine[seen]], begin[mine[seen] + 1] - begin[mine[seen]]
+            rows = _stretches(first, sizes)
+            rest[rows] = np.repeat((d[1] * one + d[2] * two + d[3] * (high - low - one - two)) / whole, sizes)
+            place = _within(words, np.repeat(low, sizes), np.repeat(high, sizes), follows[rows], self.model.vocabulary)
             c = np.where(place >= 0, counts[np.maximum(place, 0)], 0)
-            out[rows] = np.maximum(c - d[np.minimum(c, 3)], 0) / whole[own] + rest[own] * lower[rows]
-        return out
+            gain[rows] = np.maximum(c - d[np.minimum(c, 3)], 0) / np.repeat(whole, sizes)
+        return gain[own] + rest[own] * lower, head, last, own
 
     def score(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(base score, model score, known tokens) of each row of a block."""
@@ -644,9 +698,14 @@ class Scorer:
         base = np.log10((counts + 1) / (m.tokens + m.vocabulary + 1))
         e = np.array([0.0, *(m.discounts[0] if m.discounts else (0.5, 0.5, 0.5))])
         lower = np.maximum(after - e[np.minimum(after, 3)], 0) / max(m.contexts_total, 1) + m.spread / (m.vocabulary + 1)
-        w, p = ids[where], lower[where]
+        p, contexts, last = lower[where], np.append(ids, m.vocabulary), where  # the last one begins a text
         for level in range(2, m.order + 1):
-            p = self._level(level, _contexts(w, starts, m.vocabulary, level), w, p)
+            if level == 3:
+                contexts = np.where((contexts[head] >= 0) & (ids[word] >= 0), (contexts[head] << 32) | ids[word], -1)
+                contexts = np.append(contexts, (m.vocabulary << 32) | m.vocabulary)
+            at = np.append(0, last[:-1])
+            at[starts[:-1]] = len(contexts) - 1
+            p, head, word, last = self._level(level, contexts, at, ids, where, p)
         add = lambda x: np.add.reduceat(x, starts[:-1])
         return add(base[where]), add(np.log10(p)), add(known[where].astype(np.int64))
 
@@ -674,7 +733,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         model = shared.value
         scorer = _scorer(model)
         for batch in batches:
-            found = [(np.diff(starts), *scorer.score(tokens, starts)) for _, _, tokens, starts in tokens_of(batch.column("text"))]
+            found = [(np.diff(starts), *scorer.score(tokens, starts)) for tokens, starts in joined_tokens(batch.column("text"))]
             if not found:
                 continue
             n, base, score, known = (np.concatenate(x) for x in zip(*found, strict=True))

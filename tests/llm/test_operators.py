@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from memlattice.llm import exact_dedup, langid, neardup, ngram_lm, packing, rans_store, sharding, viterbi_pieces
@@ -369,6 +370,22 @@ def test_kneser_ney_without_text(empty, spark):
     assert (r.train_tokens, r.n_tokens, r.score) == (0, 3, 0.0)
 
 
+def test_kneser_ney_looks_up_repeated_ngrams_once(spark, tmp_path, monkeypatch):
+    texts = [f"one two three four {w} two three five {w}" for w in ("six", "seven", "eight")] * 2
+    model = ngram_lm.train_model(spark.createDataFrame([(t,) for t in texts], "text string"), f"file://{tmp_path}/lm")
+    scorer, asked, plain = ngram_lm.Scorer(model), [], ngram_lm._within
+    monkeypatch.setattr(ngram_lm, "_within", lambda values, low, high, wanted, most: asked.append(len(wanted)) or plain(values, low, high, wanted, most))
+    some = ["two three unseen", *texts[:3]]
+    once = list(ngram_lm.joined_tokens(pa.array(some)))
+    one = scorer.score(*once[0])
+    lookups = sum(asked)
+    many = scorer.score(*next(ngram_lm.joined_tokens(pa.array(some * 50))))
+    assert sum(asked) == 2 * lookups  # as many again, not fifty times as many
+    assert all((np.tile(a, 50) == b).all() for a, b in zip(one, many, strict=True))
+    monkeypatch.setattr(ngram_lm, "SCORE_TOKENS", 1)
+    assert all((a == b).all() for a, b in zip(scorer.score(*next(ngram_lm.joined_tokens(pa.array(some)))), one, strict=True))
+
+
 # --- 7: pieces
 
 
