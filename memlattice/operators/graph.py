@@ -112,10 +112,10 @@ def propagate_labels(links: DataFrame) -> DataFrame:
     labels = materialised(both.groupBy("node").agg(F.least(F.col("node"), F.min("nb")).alias("component")))
     while True:
         heard = both.join(labels.select(F.col("node").alias("nb"), "component"), "nb").groupBy("node").agg(F.min("component").alias("_m"))
-        least = labels.join(heard, "node", "left").select("node", F.least("component", "_m").alias("component"))
+        least = labels.join(heard, "node", "left").select("node", F.least("component", "_m").alias("component"), F.col("component").alias("_was"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("_c"))
-        after = materialised(least.join(jump, "component", "left").select("node", F.coalesce("_c", "component").alias("component")))
-        changed = after.alias("a").join(labels.alias("b"), "node").where("a.component <> b.component").limit(1).count()
-        labels = after
+        after = materialised(least.join(jump, "component", "left").select("node", F.coalesce("_c", "component").alias("component"), "_was"))
+        changed = after.where("component <> _was").limit(1).count()
+        labels = after.select("node", "component")
         if not changed:
             return labels

@@ -57,10 +57,10 @@ def inject(nodes: DataFrame, edges: DataFrame, requests: DataFrame, seed: int) -
 
     A kind whose candidate a subgraph has not, and a center without nodes, are left out.  Clones are made first and take their original's links, then links are
     stripped, then a follows edge that is left is broken, then edges and nodes are added, so a later anomaly may undo an
-    earlier one (an orphan can be given an edge), as in any sequence of accidents.
+    earlier one (an orphan can be given an edge), as in any sequence of accidents.  Nodes and edges are written once and read by all that follows.
     """
-    nodes = nodes.where("center IS NOT NULL AND node IS NOT NULL").groupBy("center", "node").agg(F.min("content").alias("content"))
-    edges = edges.where("center IS NOT NULL AND s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").select("center", "s", "p", "o").distinct()
+    nodes = materialised(nodes.where("center IS NOT NULL AND node IS NOT NULL").groupBy("center", "node").agg(F.min("content").alias("content")))
+    edges = materialised(edges.where("center IS NOT NULL AND s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").select("center", "s", "p", "o").distinct())
     asked = materialised(requests.select("center", "kind").distinct().join(nodes.select("center").distinct(), "center", "left_semi"))
     of = lambda prefix, table=nodes: table.where(F.col("node").startswith(prefix))
     planted = {}
@@ -119,9 +119,11 @@ def detect(nodes: DataFrame, edges: DataFrame, domains: dict[str, tuple[str, str
     * type_violation: an end of an edge whose kind its declared property does not allow;
     * isolated_cluster: in a component of two nodes or more over the links that the center is not in;
     * stale_abstraction: it abstracts what is no node.
+
+    Nodes and edges are written once and read by the rules; rules on predicates share a pass over the edges.
     """
-    nodes = nodes.where("center IS NOT NULL AND node IS NOT NULL").groupBy("center", "node").agg(F.min("content").alias("content"))
-    edges = edges.where("center IS NOT NULL AND s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").select("center", "s", "p", "o")
+    nodes = materialised(nodes.where("center IS NOT NULL AND node IS NOT NULL").groupBy("center", "node").agg(F.min("content").alias("content")))
+    edges = materialised(edges.where("center IS NOT NULL AND s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").select("center", "s", "p", "o"))
     links = edges.where(F.col("p").isin(*LINKS))
     named = lambda df, kind: df.select("center", "node", F.lit(kind).alias("kind")).distinct()
     ends = links.select("center", F.explode(F.array("s", "o")).alias("node")).distinct()
@@ -134,13 +136,13 @@ def detect(nodes: DataFrame, edges: DataFrame, domains: dict[str, tuple[str, str
         out.append(named(signed.join(twice, ["center", "_h"], "left_semi"), kind))
     alone = nodes.join(ends, ["center", "node"], "left_anti")
     out += [named(alone.where("node LIKE 'D:%'"), KINDS[3]), named(alone.where("startswith(node, 'ep_')"), KINDS[4])]
-    for p, kind in (("follows", KINDS[5]), ("abstracts", KINDS[8])):
-        dead = edges.where(F.col("p") == p).join(nodes.select("center", F.col("node").alias("o")), ["center", "o"], "left_anti")
-        out.append(named(dead.withColumn("node", F.col("s")), kind))
+    dead = edges.where("p IN ('follows', 'abstracts')").join(nodes.select("center", F.col("node").alias("o")), ["center", "o"], "left_anti")
+    out.append(dead.select("center", F.col("s").alias("node"), F.when(F.col("p") == "follows", KINDS[5]).otherwise(KINDS[8]).alias("kind")).distinct())
+    wrong = F.array().cast("array<string>")  # the ends of an edge that its property does not allow
     for p, (domain, reach) in (domains or DOMAINS).items():
-        some = edges.where(F.col("p") == p)
-        out.append(named(some.where(X.node_kind(F.col("s")) != domain).withColumn("node", F.col("s")), KINDS[6]))
-        out.append(named(some.where(is_node(F.col("o")) & (X.node_kind(F.col("o")) != reach)).withColumn("node", F.col("o")), KINDS[6]))
+        bad = [F.when(X.node_kind(F.col("s")) != domain, F.col("s")), F.when(is_node(F.col("o")) & (X.node_kind(F.col("o")) != reach), F.col("o"))]
+        wrong = F.when(F.col("p") == p, F.array_compact(F.array(*bad))).otherwise(wrong)
+    out.append(named(edges.select("center", F.explode(wrong).alias("node")), KINDS[6]))
     inside = links.join(nodes.select("center", F.col("node").alias("s")), ["center", "s"], "left_semi").join(nodes.select("center", F.col("node").alias("o")), ["center", "o"], "left_semi")
     key = lambda c: F.concat_ws("\u0001", "center", c)
     labels = propagate_labels(inside.where("s <> o").select(key("s").alias("s"), key("o").alias("o")))

@@ -185,7 +185,7 @@ def clean_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def injected_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted anomalies of all nine kinds against what the rules find, per kind."""
     nodes, edges = planted_graph(spark, sf_dir)
-    wanted = J.requested(nodes.select("center"), 7)
+    wanted = J.requested(T.episodes(spark, sf_dir).select(F.col("user").alias("center")), 7)
     after, linked, planted = J.inject(nodes, edges, wanted, 7)
     return J.recall_by_kind(planted, J.detect(after, linked)).select("kind", "planted", "detected", F.round("recall", 6).alias("recall"))
 

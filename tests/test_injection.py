@@ -105,3 +105,22 @@ def test_budget_keeps_both_sides(spark):
             rest = sorted(((n, k) for x, n, k in anomalies if x == c), key=lambda r: order(*r))[: max(0, most - len(mine))]
             want |= {(c, n, "identity_drift") for n in mine} | {(c, *r) for r in rest}
         assert rows(J.decision_budget(d, a, most, 4)) == want
+
+
+def test_subgraphs_are_read_once(spark, tables):
+    read = [spark.sparkContext.accumulator(0) for _ in tables]
+
+    def counted(df, seen):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    nodes, edges = (counted(df, seen) for df, seen in zip(tables, read, strict=True))
+    wanted = J.requested(tables[0].select("center"), 7)
+    J.inject(nodes, edges, wanted, 7)[2].count()
+    assert [seen.value for seen in read] == [df.count() for df in tables]
+    J.detect(nodes, edges).count()
+    assert [seen.value for seen in read] == [2 * df.count() for df in tables]
