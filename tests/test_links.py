@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from memlattice.sources import tables as T
 from memlattice.functions import language as N
 from memlattice.operators import citations as I
 from memlattice.operators import memory as M
@@ -127,3 +128,12 @@ def test_asserted_states(spark):
 def test_fields(spark, line, want):
     got = spark.range(1).select(N.field(F.lit(line)).alias("a")).first().a
     assert (got and tuple(got)) == want
+
+
+def test_what_one_task_sends_is_written_by_several(spark, small, monkeypatch):
+    monkeypatch.setattr(T, "WRITE_BYTES", "64k")
+    rows = spark.range(0, 300000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("s"), F.lit("child_of").alias("p"))
+    found = T.stored(spark, small, "one_sender", ["conversations"], lambda: rows, "p")
+    assert len(found.inputFiles()) > 1
+    assert found.agg(F.count("s"), F.countDistinct("s")).first() == (300000, 300000)
+    assert found.columns == ["s", "p"]
