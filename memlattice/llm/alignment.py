@@ -10,9 +10,11 @@ lies in one A and one B token, so the labelled bytes in order are the links.
 Neither tokenizer joins anything across a single space between two visible characters (the
 files are tested for that, else texts stay whole), so a text's ids are those of its runs between
 such spaces; a worker keeps the ids of the runs it has met by their 64-bit hashes, up to
-CACHE_RUNS of them.  Texts are encoded and labelled in blocks of at most BLOCK_BYTES (a longer
-text is a block of its own), and a block is one row of a written table: per document the digest of its groups
-and its distinct linked id pairs as numbers into the block's own list of pairs.  Only
+CACHE_RUNS of them.  Texts are encoded and labelled in pieces of at most PIECE_BYTES, which bound a worker's
+memory; a longer text is cut where runs begin (a run is whole), and its pieces' counts, pairs and digest are put together.
+Texts of at most BLOCK_BYTES (or one longer text) are a block, one row of a written table: per document the digest of its groups
+and its distinct linked id pairs as numbers into the block's own list of pairs.  Row groups of that table
+hold a few blocks, so neither its writer nor its readers hold all blocks of a task.  Only
 these lists are shuffled: pairs are counted over all blocks (numbers of documents, partial sums
 first), each block's pairs fetch their counts in a shuffled join, which adaptive execution
 splits at hot pairs, and come back to their block.  What is broadcast is one row per id of A.
@@ -31,6 +33,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -43,8 +46,10 @@ from pyspark.sql import types as T
 from memlattice.llm.bytekernel import byte_hashes, row_blocks, text_bytes
 from memlattice.llm.shared import LONG, STR, narrow, schema, ship, written
 
-#: Bytes of text that are one block, runs that are encoded at once, and runs that a worker keeps.
-BLOCK_BYTES, AT_ONCE, CACHE_RUNS = 4 << 20, 4096, 400_000
+#: Bytes of text that are one block, bytes that are aligned at once, runs that are encoded at once, and runs that a worker keeps.
+BLOCK_BYTES, PIECE_BYTES, AT_ONCE, CACHE_RUNS = 4 << 20, 1 << 19, 4096, 400_000
+#: Bytes of a row group of blocks; Parquet's writer looks at them after every row.
+GROUP_BYTES = 16 << 20
 #: Labels of a byte: none, A-end, B-end, both.
 LABELS = np.frombuffer(b".ABX", np.uint8)
 _GROUP = re.compile(rb"[.AB]*X")
@@ -101,6 +106,10 @@ def _starts(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
+def _spaced(texts: list[str | None]) -> list[bytes]:
+    return [b" " + t.encode() if t else b"" for t in texts]
+
+
 class Ids:
     """Id lists that grow at the end, found by number."""
 
@@ -189,26 +198,25 @@ class Aligner:
 
     def _learn(self, hashes: np.ndarray, runs: list[bytes]) -> None:
         """Encode new runs, given with their ascending hashes; what either file does not spell again has no ids."""
-        lists_a: list[list[int]] = []
-        lists_b: list[list[int]] = []
+        parts: list[list[tuple[np.ndarray, ...]]] = [[], []]
         for lo in range(0, len(runs), AT_ONCE):
-            some = [r.decode() for r in runs[lo : lo + AT_ONCE]]
-            lists_a += [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            lists_b += self.b.encode([r[1:] for r in some], num_threads=1)  # B adds the space that every run begins with
-        raw, size = np.frombuffer(b"".join(runs), np.uint8), np.array([len(r) for r in runs], np.int64)
-        at, found = np.searchsorted(self.keys, hashes), []
-        for lists, spelled in ((lists_a, self.spelled_a), (lists_b, self.spelled_b)):
-            count = np.array([len(x) for x in lists], np.int64)
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(count.sum()))
-            found.append((flat, count, fits(spelled, flat, count, raw, size)))
+            part = runs[lo : lo + AT_ONCE]
+            some = [r.decode() for r in part]
+            raw, size = np.frombuffer(b"".join(part), np.uint8), np.array([len(r) for r in part], np.int64)
+            lists_a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            lists_b = self.b.encode([r[1:] for r in some], num_threads=1)  # B adds the space that every run begins with
+            for done, lists, spelled in zip(parts, (lists_a, lists_b), (self.spelled_a, self.spelled_b), strict=True):
+                count = np.array([len(x) for x in lists], np.int64)
+                flat = np.fromiter(chain.from_iterable(lists), np.int32, int(count.sum()))
+                done.append((flat, count, fits(spelled, flat, count, raw, size)))
+        at, found = np.searchsorted(self.keys, hashes), [[np.concatenate(x) for x in zip(*done, strict=True)] for done in parts]
         good = found[0][2] & found[1][2]
         for kept, (flat, count, _) in zip((self.kept_a, self.kept_b), found, strict=True):
             kept.insert(at, flat[np.repeat(good, count)], np.where(good, count, 0))
         self.keys, self.good = np.insert(self.keys, at, hashes), np.insert(self.good, at, good)
 
-    def _runs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _runs(self, whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number of each run among those kept, where each text's runs begin and the total)."""
-        whole = [b" " + t.encode() if t else b"" for t in texts]
         data, offsets = b"".join(whole), _starts(np.array([len(w) for w in whole], np.int64))
         raw = np.frombuffer(data, np.uint8)
         begins = run_starts(raw, offsets) if self.splits else offsets[:-1][np.diff(offsets) > 0]
@@ -229,18 +237,22 @@ class Aligner:
 
     def align(self, texts: list[str | None]) -> Aligned:
         """All tokens, groups and links of some texts."""
-        run, at = self._runs(texts)
+        return self.align_bytes(_spaced(texts))
+
+    def align_bytes(self, whole: list[bytes]) -> Aligned:
+        """The same, of texts or their pieces as bytes that begin with a space."""
+        run, at = self._runs(whole)
         spoilt = _starts(~self.good[run])[at]
-        run_text = np.repeat(np.arange(len(texts)), np.diff(at))
+        run_text = np.repeat(np.arange(len(whole)), np.diff(at))
         use = (np.diff(spoilt) == 0)[run_text]  # a text has all its tokens or none
         run, run_text = run[use], run_text[use]
         (ids_a, n_a), (ids_b, n_b) = self.kept_a.take(run), self.kept_b.take(run)
-        at_a, at_b = (_starts(np.bincount(run_text, n, len(texts)).astype(np.int64)) for n in (n_a, n_b))
+        at_a, at_b = (_starts(np.bincount(run_text, n, len(whole)).astype(np.int64)) for n in (n_a, n_b))
         ends_a, ends_b = np.cumsum(self.spelled_a.sizes(ids_a)), np.cumsum(self.spelled_b.sizes(ids_b))
         label = np.zeros(int(ends_a[-1]) if len(ends_a) else 0, np.uint8)
         label[ends_a - 1] = 1
         label[ends_b - 1] |= 2
-        spans = np.fromiter((m.end() for m in _GROUP.finditer(LABELS[label].tobytes())), np.int64)
+        spans = np.cumsum(np.fromiter(map(len, _GROUP.findall(LABELS[label].tobytes())), np.int64))  # groups leave no gap
         marked = np.flatnonzero(label)
         kind = label[marked]
         seen_a, seen_b = _starts(kind & 1), _starts(kind >> 1)
@@ -252,8 +264,8 @@ class Aligner:
             ids_a[seen_a[:-1]], ids_b[seen_b[:-1]], np.searchsorted(marked, bytes_at),
         )
 
-    def group_digests(self, x: Aligned) -> list[str]:
-        """SHA-256 of each text's `a1,a2|b1;a3|b2,b3`; empty without tokens."""
+    def group_bytes(self, x: Aligned) -> tuple[bytes, list[int]]:
+        """(`a1,a2|b1;a3|b2,b3;` of all texts one after another, where each text's begins and the total)."""
         before_a, before_b = _starts(x.group_a), _starts(x.group_b)
         n = len(x.ids_a) + len(x.ids_b)
         ids, mark = np.zeros(n, np.int64), np.full(n, ord(","), np.uint8)
@@ -269,9 +281,29 @@ class Aligner:
             some = np.flatnonzero(size > k)
             out[at[some] + k] = self.digits[ids[some], k]
         out[at[:-1] + size] = mark
-        data, cuts = out.tobytes(), at[x.at_a + x.at_b].tolist()
+        return out.tobytes(), at[x.at_a + x.at_b].tolist()
+
+    def group_digests(self, x: Aligned) -> list[str]:
+        """SHA-256 of each text's `a1,a2|b1;a3|b2,b3`; empty without tokens."""
+        data, cuts = self.group_bytes(x)
         return [hashlib.sha256(data[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
+    def cut(self, whole: bytes) -> Iterator[bytes]:
+        """A long text in pieces that begin where runs do, of at most PIECE_BYTES each or one longer run."""
+        lo, reach = 0, PIECE_BYTES
+        while self.splits and lo + PIECE_BYTES < len(whole):
+            raw = np.frombuffer(whole, np.uint8, min(reach + 2, len(whole) - lo), lo)
+            begins = run_starts(raw, np.array([0, len(raw)]))
+            if len(begins) > 1:
+                n = int(begins[begins <= PIECE_BYTES][-1]) or int(begins[1])
+                yield whole[lo : lo + n]
+                lo, reach = lo + n, PIECE_BYTES
+            elif lo + reach < len(whole):  # no run begins so far
+                reach *= 2
+            else:
+                break
+        yield whole[lo:]
+
 
 @lru_cache(maxsize=2)
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -306,7 +338,7 @@ def token_groups(docs: DataFrame, files: tuple[str, str] | None = None) -> DataF
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _blocks(batch):
+            for ids, texts in _blocks(batch, PIECE_BYTES):
                 x = aligner(path_a, path_b).align(texts)
                 columns = [_lists(x.ids_a, x.at_a), _lists(x.ids_b, x.at_b), _lists(x.group_a, x.at_groups), _lists(x.group_b, x.at_groups)]
                 yield pa.RecordBatch.from_arrays([ids, *columns], names=GROUPS.names)
@@ -314,34 +346,69 @@ def token_groups(docs: DataFrame, files: tuple[str, str] | None = None) -> DataF
     return narrow(docs).mapInArrow(work, GROUPS)
 
 
+def _text_pairs(x: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, pair of ids as one number, how often it links) of all distinct pairs of every text, in order."""
+    pairs, own = np.unique(x.link_a.astype(np.int64) << 32 | x.link_b.astype(np.int64), return_inverse=True)
+    text = np.repeat(np.arange(len(x.at_links) - 1), np.diff(x.at_links))
+    each, times = np.unique(text * max(len(pairs), 1) + own, return_counts=True)
+    held, pair = np.divmod(each, max(len(pairs), 1))
+    return held, pairs[pair], times
+
+
+def _long_text(tools: Aligner, whole: bytes) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
+    """(its numbers of tokens, groups and links, digest, distinct pairs, how often each links) of a text in pieces."""
+    sizes, digest, pairs, times, mark = np.zeros(4, np.int64), hashlib.sha256(), np.zeros(0, np.int64), np.zeros(0, np.int64), b""
+    for piece in tools.cut(whole):
+        x = tools.align_bytes([piece])
+        if not len(x.ids_a):  # a text has all its tokens or none
+            return np.zeros(4, np.int64), "", pairs[:0], times[:0]
+        sizes += [len(x.ids_a), len(x.ids_b), len(x.group_a), len(x.link_a)]
+        digest.update(mark + tools.group_bytes(x)[0][:-1])
+        _, more, again = _text_pairs(x)
+        pairs, own = np.unique(np.concatenate([pairs, more]), return_inverse=True)
+        times, mark = np.bincount(own, np.concatenate([times, again]), len(pairs)).astype(np.int64), b";"
+    return sizes, digest.hexdigest(), pairs, times
+
+
+def _block_row(tools: Aligner, number: int, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    """The row of a block, whose texts are aligned piece by piece."""
+    whole = _spaced(texts)
+    sizes, digests, held, keys, times = [], [], [], [], []
+    for lo, hi in row_blocks(_starts(np.array([len(w) for w in whole], np.int64)), PIECE_BYTES):
+        if len(whole[lo]) > PIECE_BYTES:
+            size, digest, pair, often = _long_text(tools, whole[lo])
+            size, digest, text = size[:, None], [digest], np.zeros(len(pair), np.int64)
+        else:
+            x = tools.align_bytes(whole[lo:hi])
+            size, digest = np.diff([x.at_a, x.at_b, x.at_groups, x.at_links]), tools.group_digests(x)
+            text, pair, often = _text_pairs(x)
+        for found, some in zip((sizes, held, keys, times), (size, text + lo, pair, often), strict=True):
+            found.append(some)
+        digests += digest
+    pairs, pair = np.unique(np.concatenate(keys), return_inverse=True)
+    at = np.searchsorted(np.concatenate(held), np.arange(len(texts) + 1))
+    arrays = [
+        ids.to_numpy(zero_copy_only=False) if not ids.null_count else ids, *np.concatenate(sizes, axis=1), digests,
+        pairs, np.bincount(pair, minlength=len(pairs)), at, pair, np.concatenate(times),
+    ]
+    columns = [pa.array([number], pa.int64())]
+    for values, field in zip(arrays, BLOCKS.fields[1:], strict=True):
+        kind = pa.string() if field.dataType == T.ArrayType(STR) else pa.int32() if field.dataType == _INTS else pa.int64()
+        flat = values if isinstance(values, pa.Array) else pa.array(values, kind)
+        columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind)))
+    return pa.RecordBatch.from_arrays(columns, names=BLOCKS.names)
+
+
 def aligned_blocks(docs: DataFrame, files: tuple[str, str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per block; `pair` and `times` are the distinct pairs of its texts and how often they link, from `at` on."""
     path_a, path_b = files or default_files()
     ship(docs.sparkSession)
 
-    def row(number: int, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-        tools = aligner(path_a, path_b)
-        x = tools.align(texts)
-        pairs, own = np.unique(x.link_a.astype(np.int64) << 32 | x.link_b.astype(np.int64), return_inverse=True)
-        text = np.repeat(np.arange(len(texts)), np.diff(x.at_links))
-        each, times = np.unique(text * max(len(pairs), 1) + own, return_counts=True)
-        held, pair = np.divmod(each, max(len(pairs), 1))
-        arrays = [
-            ids.to_numpy(zero_copy_only=False) if not ids.null_count else ids, np.diff(x.at_a), np.diff(x.at_b), np.diff(x.at_groups), np.diff(x.at_links), tools.group_digests(x),
-            pairs, np.bincount(pair, minlength=len(pairs)), np.searchsorted(held, np.arange(len(texts) + 1)), pair, times,
-        ]
-        columns = [pa.array([number], pa.int64())]
-        for values, field in zip(arrays, BLOCKS.fields[1:], strict=True):
-            kind = pa.string() if field.dataType == T.ArrayType(STR) else pa.int32() if field.dataType == _INTS else pa.int64()
-            flat = values if isinstance(values, pa.Array) else pa.array(values, kind)
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind)))
-        return pa.RecordBatch.from_arrays(columns, names=BLOCKS.names)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for ids, texts in _blocks(batch, block_bytes):
-                yield row(number, ids, texts)
+                yield _block_row(aligner(path_a, path_b), number, ids, texts)
                 number += 1
 
     return narrow(docs).mapInArrow(work, BLOCKS)
@@ -359,7 +426,8 @@ def pair_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def align_documents(docs: DataFrame, files: tuple[str, str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: tokens, groups, links, links of highest count, the sum of their counts, and the groups' digest."""
-    blocks = written(aligned_blocks(docs, files, block_bytes), "aligned", compression="zstd")
+    groups = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1"}
+    blocks = written(aligned_blocks(docs, files, block_bytes), "aligned", compression="zstd", **groups)
     listed, counts = pair_counts(blocks.select("block", "pairs", "holders"))
     counts = written(counts, "pair-counts")
     looked = listed.select(F.col("block").alias("home"), "pair").join(counts, "pair")
